@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op2_html_text
 from .packing import op10_packing
+from .pii import op5_pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_html_text": op2_html_text,
+        "op5_pii": op5_pii,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_packing": op10_packing,
     }
