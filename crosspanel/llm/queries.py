@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op2_html_text
+from .minhash import op7_minhash
 from .packing import op10_packing
 from .pii import op5_pii
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_text": op2_html_text,
         "op5_pii": op5_pii,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_minhash": op7_minhash,
         "op10_packing": op10_packing,
     }
 
