@@ -15,6 +15,7 @@ null doc_id are packed too; further columns are ignored; an empty table gives no
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -27,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import Merges, merge_all
 from .shared import CHUNK_BYTES, Scratch
 
 SEQUENCE = 2048
 END_ID = 0
-#: Words, and runs between white space, whose ids a worker remembers. This only saves time.
-MEMORY_WORDS = 400_000
+#: Runs between white space whose ids a worker remembers. This only saves time.
+MEMORY_RUNS = 150_000
 #: Pieces of one length and salt, on average at most.
 SALT_ROWS = 100_000
 LEAST_SALTS = 64
@@ -49,23 +51,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Either(dict):
-    """A mapping with a second one for what it lacks."""
-
-    def __init__(self, first: dict, second: dict) -> None:
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key: str) -> bytes:
-        return self.first[key]
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is visible in Latin-1, else the next free one from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
 class WordTokenizer:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary splits texts into words that are encoded independently, so that the ids of a
-    word are remembered. Texts with characters or marks that might be normalised across words go
-    through the tokenizer whole.
+    The vocabulary splits texts into words that are encoded independently: the ids of frequent
+    runs between white space are remembered, new words are merged many at a time. Texts with
+    characters or marks that might be normalised across words go through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,44 +71,55 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int64)
+        self.merges = Merges(ids[:, 0], ids[:, 1], np.arange(len(ids)), ids[:, 2])
+        self.inner = np.array([vocab[c] for c in byte_characters()], np.int64)
+        self.final = np.array([vocab[c + model["end_of_word_suffix"]] for c in byte_characters()], np.int64)
         self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words."""
+        raw = [w.encode() for w in words]
+        lens = np.array([len(w) for w in raw], np.int64)
+        symbols = np.frombuffer(b"".join(raw), np.uint8)
+        last = np.zeros(len(symbols), bool)
+        last[np.cumsum(lens) - 1] = True
+        ids, counts = merge_all(np.where(last, self.final[symbols], self.inner[symbols]), lens, self.merges)
+        flat, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _runs(self, runs: list[str]) -> dict[str, bytes]:
         """Ids of runs without white space, from those of their words."""
         split = [(x,) if x.isalpha() else WORDS.findall(x) for x in runs]
-        new = {w for x in split for w in x}
-        new.difference_update(self.words)
-        fresh = list(new)
-        ids = dict(zip(fresh, self._ids(fresh), strict=True))
-        if len(self.words) < MEMORY_WORDS:
-            self.words.update(ids)
-            get = self.words.__getitem__
-        else:
-            get = _Either(self.words, ids).__getitem__
-        return {x: b"".join(map(get, y)) for x, y in zip(runs, split, strict=True)}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        words = list({w for x in split for w in x})
+        get = dict(zip(words, self._words(words), strict=True)).__getitem__ if words else None
+        return {x: get(y[0]) if len(y) == 1 else b"".join(map(get, y)) for x, y in zip(runs, split, strict=True)}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; call with about CHUNK_BYTES of texts."""
         split = [t.lower().split() if SAFE.fullmatch(t) and "<|" not in t else None for t in texts]
-        new: set[str] = set()
+        seen: set[str] = set()
         for run in split:
             if run is not None:
-                new.update(run)
-        total = len(new)
-        new.difference_update(self.runs)
-        if len(new) > 0.5 * total and len(self.runs) >= MEMORY_WORDS:
-            self.runs, self.words = {}, {}
-            new = {x for run in split if run is not None for x in run}
-        extra = self._runs(list(new))
-        if len(self.runs) < MEMORY_WORDS:
-            self.runs.update(extra)
+                seen.update(run)
+        new = seen.difference(self.runs)
+        if len(self.runs) >= MEMORY_RUNS and len(new) > 0.7 * len(seen):
+            self.runs = {}
+            new = seen
+        known = self._runs(list(new))
+        if len(self.runs) < MEMORY_RUNS:
+            self.runs.update(known)
             get = self.runs.__getitem__
         else:
-            get = _Either(self.runs, extra).__getitem__
+            known.update((x, self.runs[x]) for x in seen.difference(new))
+            get = known.__getitem__
         for t, run in zip(texts, split, strict=True):
             yield self._ids([t])[0] if run is None else b"".join(map(get, run))
 
