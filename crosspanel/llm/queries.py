@@ -11,6 +11,7 @@ from .html_text import op2_html_text
 from .minhash import op7_minhash
 from .packing import op10_packing
 from .pii import op5_pii
+from .substring_dedup import OP8_SQL, op8_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +20,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": op5_pii,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_minhash": op7_minhash,
+        "op8_substring_dedup": op8_substring_dedup,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL}
