@@ -12,11 +12,13 @@ from .minhash import op7_minhash
 from .packing import op10_packing
 from .pii import op5_pii
 from .substring_dedup import OP8_SQL, op8_substring_dedup
+from .vector_search import OP4_SQL, op4_vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_html_text": op2_html_text,
+        "op4_vector_search": op4_vector_search,
         "op5_pii": op5_pii,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_minhash": op7_minhash,
@@ -26,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op4_vector_search": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL}
