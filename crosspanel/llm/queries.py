@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_text import op2_html_text
+from .language_id import op3_language_id
 from .minhash import op7_minhash
 from .packing import op10_packing
 from .pii import op5_pii
@@ -18,6 +19,7 @@ from .vector_search import OP4_SQL, op4_vector_search
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_html_text": op2_html_text,
+        "op3_language_id": op3_language_id,
         "op4_vector_search": op4_vector_search,
         "op5_pii": op5_pii,
         "op6_exact_dedup": op6_exact_dedup,
