@@ -11,6 +11,7 @@ from .html_text import op2_html_text
 from .language_id import op3_language_id
 from .minhash import op7_minhash
 from .packing import op10_packing
+from .perplexity import op1_quality
 from .pii import op5_pii
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .vector_search import OP4_SQL, op4_vector_search
@@ -18,6 +19,7 @@ from .vector_search import OP4_SQL, op4_vector_search
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_html_text": op2_html_text,
         "op3_language_id": op3_language_id,
         "op4_vector_search": op4_vector_search,
