@@ -16,7 +16,7 @@ import numpy as np
 
 from .shared import mix
 
-NEVER = np.int64(2**62)
+NEVER = np.int32(2**31 - 1)
 #: Symbols beyond which a sequence takes the heap.
 LONG = 48
 
@@ -30,7 +30,7 @@ class Merges:
         size = 1 << self.bits
         self.keys = np.full(size, np.uint64(2**64 - 1))
         self.ranks = np.full(size, NEVER)
-        self.merged = np.zeros(size, np.int64)
+        self.merged = np.zeros(size, np.int32)
         todo, slot, self.probes = np.arange(len(keys)), self._slot(keys), 1
         while len(todo):
             empty = self.keys[slot[todo]] == np.uint64(2**64 - 1)
@@ -136,16 +136,15 @@ def _matrix(symbols, starts, lens, rows, width, merges, keys, rate, out, kept, c
     size = lens[rows].astype(np.int64)
     inside = cols < size[:, None]
     at = np.minimum(starts[rows][:, None] + cols, max(len(symbols) - 1, 0))
-    s = np.where(inside, symbols[at], 0) if len(symbols) else np.zeros((len(rows), width), np.int64)
-    pos = np.broadcast_to(np.append(cols, width), (len(rows), width + 1)).copy()
-    pos[:, :width][~inside] = np.broadcast_to(size[:, None], inside.shape)[~inside]
-    pos[:, width] = size
+    s = np.where(inside, symbols[at], 0).astype(np.int32) if len(symbols) else np.zeros((len(rows), width), np.int32)
+    pos = None if keys is None else np.minimum(np.arange(width + 1), size[:, None]).astype(np.int8)
     pairs = inside[:, 1:]
-    rank = np.full((len(rows), width), NEVER)
+    rank = np.full((len(rows), width), NEVER, np.int32)
     y, x = np.nonzero(pairs)
     if len(y):
         rank[y, x] = _ranks(s, pos, y, x, merges, None if keys is None else keys[rows], rate)
     live, size_live = np.arange(len(rows)), size.copy()
+    own = None if keys is None else keys[rows]
 
     def finish(done: np.ndarray) -> None:
         which = rows[live[done]]
@@ -156,14 +155,13 @@ def _matrix(symbols, starts, lens, rows, width, merges, keys, rate, out, kept, c
         kept[where[valid]] = True
         counts[which] = n
 
-    own = None if keys is None else keys[rows]
     while len(live):
         best = rank.argmin(1)
         over = rank[np.arange(len(live)), best] == NEVER
         if over.any():
             finish(np.flatnonzero(over))
             go = ~over
-            s, pos, rank, live, size_live, best = s[go], pos[go], rank[go], live[go], size_live[go], best[go]
+            s, pos, rank, live, size_live, best = s[go], pos if pos is None else pos[go], rank[go], live[go], size_live[go], best[go]
             own = own if own is None else own[go]
             if not len(live):
                 break
@@ -172,8 +170,9 @@ def _matrix(symbols, starts, lens, rows, width, merges, keys, rate, out, kept, c
         later = cols > best[:, None]
         s = np.where(later, np.concatenate((s[:, 1:], s[:, :1]), 1), s)
         s[r, best] = merges.merged[slot]
-        pos = np.where(np.append(cols, width) > best[:, None], np.concatenate((pos[:, 1:], pos[:, -1:]), 1), pos)
-        rank = np.where(later, np.concatenate((rank[:, 1:], np.full((len(live), 1), NEVER)), 1), rank)
+        if pos is not None:
+            pos = np.where(np.append(cols, width) > best[:, None], np.concatenate((pos[:, 1:], pos[:, -1:]), 1), pos)
+        rank = np.where(later, np.concatenate((rank[:, 1:], np.full((len(live), 1), NEVER, np.int32)), 1), rank)
         size_live = size_live - 1
         rank[r, best] = NEVER
         y = np.flatnonzero(best + 1 < size_live)

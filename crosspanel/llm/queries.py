@@ -12,6 +12,7 @@ from .language_id import op3_language_id
 from .minhash import op7_minhash
 from .packing import op10_packing
 from .perplexity import op1_quality
+from .pieces import op9_pieces
 from .pii import op5_pii
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .vector_search import OP4_SQL, op4_vector_search
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_minhash": op7_minhash,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_pieces": op9_pieces,
         "op10_packing": op10_packing,
     }
 
