@@ -6,15 +6,17 @@ sets are one vertex from the start (its smallest doc_id), so that copies cost on
 
 A link needs a pair that shares a bucket, agrees on AGREE minima (four standard deviations below
 the threshold) and passes on the full sets. Only links between vertices that are not yet
-connected are looked for, in three rounds:
+connected are looked for:
 
-1. each vertex against the most similar first member of its buckets;
-2. in buckets that still hold several components, every vertex outside the largest component
-   against all members in blocks of BLOCK x BLOCK, its TOP most similar partners first;
-3. the same with all remaining partners, so that TOP leaves nothing out.
+1. each vertex is held against the most similar first member of its buckets;
+2. in buckets that still hold several components, every vertex outside the largest component is
+   held against all members, in blocks of BLOCK x BLOCK. A first pass, on signatures alone, marks
+   the members that have a possible partner; the second brings their full sets together and
+   checks each possible pair in the first bucket that it shares, most similar partners first and
+   only while its ends are not connected in the block.
 
-A bucket therefore costs its size times the vertices that the first round left over, in blocks
-of fixed size, and emits no pair that signatures rule out.
+A bucket therefore costs its size times the vertices that the first round left over, in blocks of
+fixed size, and emits at most one row a member, never its pairs.
 
 Defined results: null texts and texts without words have an empty set and no links; a null doc_id
 is a vertex of its own (component_id null, kept); rows that repeat a doc_id are one vertex;
@@ -29,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import components
 from .shared import Scratch, chunks, mix, narrow, runs_of, word_hashes
@@ -39,7 +40,6 @@ ROWS = HASHES // BANDS
 #: Shared minima of 128 that a pair of similarity 0.8 has but for 3 in 100,000.
 AGREE = 84
 BLOCK = 256
-TOP = 8
 
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,6 +97,15 @@ def described(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, signature binary")
 
 
+def _bucket_hashes(signatures: np.ndarray) -> np.ndarray:
+    """Each signature's buckets, a column for each band."""
+    minima = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), minima.shape[:2]).copy()
+    for j in range(ROWS):
+        total = mix(total * _A[0] + minima[:, :, j])
+    return total.view(np.int64)
+
+
 def _buckets(vertices: DataFrame) -> DataFrame:
     """(bucket, id) for every band of every vertex."""
 
@@ -104,11 +113,8 @@ def _buckets(vertices: DataFrame) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 ids = b.column(0)[lo : lo + 2000]
-                minima = _fixed(b.column(1)[lo : lo + 2000], "<u4").reshape(-1, BANDS, ROWS).astype(np.uint64)
-                total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), minima.shape[:2]).copy()
-                for j in range(ROWS):
-                    total = mix(total * _A[0] + minima[:, :, j])
-                yield pa.RecordBatch.from_arrays([pa.array(total.ravel().view(np.int64)), pa.array(np.repeat(ids.to_numpy(), BANDS))], names=["bucket", "id"])
+                found = _bucket_hashes(_fixed(b.column(1)[lo : lo + 2000], "<u4"))
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(ids.to_numpy(), BANDS))], names=["bucket", "id"])
 
     return vertices.select("id", "signature").mapInArrow(run, "bucket long, id long")
 
@@ -129,10 +135,9 @@ def _agreeing(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, agree int")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. pairs must be a written table."""
-    ids = pairs.select("a").union(pairs.select(F.col("b"))).toDF("doc_id").distinct()
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(narrow(ids, 2 * pairs.count()), "doc_id", "left_semi")
+def _full_sets(docs: DataFrame, ids: DataFrame, rows: int, words: int) -> DataFrame:
+    """(id, members): the sorted sets of the wanted ids."""
+    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(narrow(ids.toDF("doc_id"), rows), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,83 +145,163 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
             for lo, hi in chunks(texts):
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([s.tobytes() for s in shingle_sets(texts[lo:hi], words)], pa.binary())], names=["id", "members"])
 
-    full = wanted.mapInArrow(sets, "id long, members binary")
+    return wanted.mapInArrow(sets, "id long, members binary")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. pairs must be a written table."""
+    ids = pairs.select("a").union(pairs.select("b")).distinct()
+    full = _full_sets(docs, ids, 2 * pairs.count(), words)
     joined = pairs.select("a", "b").join(full.toDF("b", "m_b"), "b").join(full.toDF("a", "m_a"), "a").select("a", "b", "m_a", "m_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok, last, held = [], None, None
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = x.as_py(), np.frombuffer(y.as_py(), np.uint64)
-                if x != last:
-                    last, held = x, np.frombuffer(x, np.uint64)
-                common = int((held[np.minimum(np.searchsorted(held, y), len(held) - 1)] == y).sum()) if len(held) else 0
-                ok.append(100 * common >= percent * (len(held) + len(y) - common))
+            ok = [_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return joined.mapInArrow(compare, "a long, b long")
 
 
-def _blocked(members: DataFrame, labels: DataFrame, vertices: DataFrame, percent: int, top: int) -> DataFrame:
-    """(a, b, agree): pairs across components in buckets that hold several, from blocks of members."""
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, id, root, main, n_left, n_right) of buckets that hold several components.
+
+    main is the largest; n_left and n_right are the blocks of the members outside it and of all.
+    """
     now = members.join(labels.toDF("id", "root"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"))
-    main = main.where("parts > 1").select("bucket", F.col("most.root").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("n_left"), F.ceil(F.col("all") / BLOCK).cast("int").alias("n_right"))
-    open_ = now.join(main, "bucket").join(vertices.select("id", "n", "signature"), "id")
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    count = lambda n: F.ceil(n / BLOCK).cast("int")
+    return now.join(main.select("bucket", F.col("most.root").alias("main"), count(F.col("all") - F.col("most.n")).alias("n_left"), count(F.col("all")).alias("n_right")), "bucket")
+
+
+def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Blocks (bucket, i, j) of members outside the largest component (side 0) and of all members (side 1), one after the other."""
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = open_.where("root <> main").select("bucket", block("n_left").alias("i"), each("n_right").alias("j"), F.lit(0).alias("side"), "id", "root", "n", "signature")
-    right = open_.select("bucket", each("n_left").alias("i"), block("n_right").alias("j"), F.lit(1).alias("side"), "id", "root", "n", "signature")
-    dealt = left.union(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    left = rows.where("root <> main").select("bucket", block("n_left").alias("i"), each("n_right").alias("j"), F.lit(0).alias("side"), *columns)
+    right = rows.select("bucket", each("n_left").alias("i"), block("n_right").alias("j"), F.lit(1).alias("side"), *columns)
+    return left.union(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+
 
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        """From whole blocks, one after the other."""
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int, int]]:
+    """Tables with the ranges of one block: rows lo to mid are its side 0, mid to hi its side 1."""
+
+    def parts(rows: pa.Table) -> Iterator[tuple[pa.Table, int, int, int]]:
         keys = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], 1)
-        cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]))
-        side, ids, root, n = (rows[c].to_numpy() for c in ("side", "id", "root", "n"))
-        marks = np.frombuffer(b"".join(rows["signature"].to_pylist()), "<u4").reshape(len(keys), -1)
-        a, b, agree = [], [], []
+        cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)])).tolist()
+        firsts = np.cumsum(rows["side"].to_numpy() == 0).tolist()
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            mid = lo + int((side[lo:hi] == 0).sum())
+            yield rows, lo, lo + firsts[hi - 1] - (firsts[lo - 1] if lo else 0), hi
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        differs = np.zeros(rows.num_rows, bool)
+        for c in ("bucket", "i", "j"):
+            differs |= rows[c].to_numpy() != rows[c][-1].as_py()
+        done = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+        if done:
+            yield from parts(rows.slice(0, done).combine_chunks())
+            held = rows.slice(done).combine_chunks().to_batches()
+    if held:
+        yield from parts(pa.Table.from_batches(held).combine_chunks())
+
+
+class _Columns:
+    """A table's columns as arrays, made once."""
+
+    def __init__(self) -> None:
+        self.table = None
+
+    def of(self, rows: pa.Table) -> _Columns:
+        if rows is not self.table:
+            self.table = rows
+            self.bucket, self.id, self.root, self.n = (rows[c].to_numpy() for c in ("bucket", "id", "root", "n"))
+            self.marks = _fixed(rows["signature"].combine_chunks(), "<u4")
+        return self
+
+    def partners(self, x: int, mid: int, hi: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of mid to hi that may be linked to row x and are of other components, and which minima they share."""
+        n, own = self.n[mid:hi], self.n[x]
+        y = mid + np.flatnonzero((self.root[mid:hi] != self.root[x]) & (100 * np.minimum(n, own) >= percent * np.maximum(n, own)))
+        same = self.marks[y] == self.marks[x]
+        ok = same.sum(1) >= AGREE
+        return y[ok], same[ok]
+
+
+def _marked(members: DataFrame, labels: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id) of members that may be linked to one of another component, by their signatures."""
+    rows = _open(members, labels).join(vertices, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = _Columns()
+        for table, lo, mid, hi in _whole_blocks(batches):
+            c = columns.of(table)
+            hit = np.zeros(hi - lo, bool)
+            for x in range(lo, mid):
+                y, _ = c.partners(x, mid, hi, percent)
+                if len(y):
+                    hit[x - lo] = True
+                    hit[y - lo] = True
+            if hit.any():
+                ids = np.unique(c.id[lo:hi][hit])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c.bucket[lo])), pa.array(ids)], names=["bucket", "id"])
+
+    return _dealt(rows, ["id", "root", "n", "signature"]).mapInArrow(run, "bucket long, id long").distinct()
+
+
+def _linked(docs: DataFrame, marked: DataFrame, labels: DataFrame, vertices: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): verified links that connect the components of marked members, a forest in each block."""
+    ids = marked.select("id").distinct()
+    rows = _open(marked, labels).join(vertices, "id").join(_full_sets(docs, ids, ids.count(), words), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = _Columns()
+        for table, lo, mid, hi in _whole_blocks(batches):
+            c = columns.of(table)
+            band = int((_bucket_hashes(c.marks[lo : lo + 1])[0] == c.bucket[lo]).argmax())
+            joined: dict[int, int] = {}
+
+            def top(r: int, joined: dict[int, int] = joined) -> int:
+                while r in joined:
+                    r = joined[r]
+                return r
+
+            sets: dict[int, np.ndarray] = {}
+
+            def full(i: int, sets: dict[int, np.ndarray] = sets, table: pa.Table = table) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = np.frombuffer(table["members"][i].as_py(), np.uint64)
+                return sets[i]
+
+            a, b = [], []
             for x in range(lo, mid):
-                y = mid + np.flatnonzero((root[mid:hi] != root[x]) & (100 * np.minimum(n[mid:hi], n[x]) >= percent * np.maximum(n[mid:hi], n[x])))
+                y, same = c.partners(x, mid, hi, percent)
                 if not len(y):
                     continue
-                same = (marks[y] == marks[x]).sum(1)
-                y, same = y[same >= AGREE], same[same >= AGREE]
-                if top and len(y) > top:
-                    best = np.lexsort((ids[y], -same))[:top]
-                    y, same = y[best], same[best]
-                a += [np.minimum(ids[y], ids[x])]
-                b += [np.maximum(ids[y], ids[x])]
-                agree += [same.astype(np.int32)]
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b, agree)], names=["a", "b", "agree"])
+                here = same.reshape(len(y), BANDS, ROWS).all(2).argmax(1) == band
+                y = y[here][np.argsort(-same[here].sum(1), kind="stable")]
+                for z in y.tolist():
+                    r, s = top(int(c.root[x])), top(int(c.root[z]))
+                    if r != s and _similar(full(x), full(z), percent):
+                        joined[max(r, s)] = min(r, s)
+                        a.append(int(c.id[x]))
+                        b.append(int(c.id[z]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            last = [rows[c][-1].as_py() for c in ("bucket", "i", "j")]
-            differs = np.zeros(rows.num_rows, bool)
-            for c, x in zip(("bucket", "i", "j"), last, strict=True):
-                differs |= rows[c].to_numpy() != x
-            done = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-            if done:
-                yield from pairs(rows.slice(0, done))
-                held = rows.slice(done).combine_chunks().to_batches()
-        if held:
-            yield from pairs(pa.Table.from_batches(held))
-
-    found = dealt.mapInArrow(run, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    if not top:
-        return found
-    one = found.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a")))
-    return one.where(f"rank <= {top}").drop("rank")
+    return _dealt(rows, ["id", "root", "n", "signature", "members"]).mapInArrow(run, "a long, b long")
 
 
 def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -246,14 +331,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch, word
     none = spark.createDataFrame([], "u long, v long")
     links = scratch.save(_verified(docs, tried, words, percent), "links_1")
     labels = _merged(none, links, scratch, "parts_1")
-    # second and third round: what the first left over, against whole buckets
-    for n, top in ((2, TOP), (3, 0)):
-        pairs = _blocked(members, labels, vertices, percent, top).select("a", "b").join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"tried_{n}")
-        if pairs.isEmpty():
-            break
-        labels = _merged(labels, scratch.save(_verified(docs, pairs, words, percent), f"links_{n}"), scratch, f"parts_{n}")
-        tried = tried.union(pairs)
+    # second round: what the first left over, against whole buckets
+    marked = scratch.save(_marked(members, labels, vertices, percent), "marked")
+    links = scratch.save(_linked(docs, marked, labels, vertices, words, percent), "links_2")
+    labels = _merged(labels, links, scratch, "parts_2")
     out = rows.select("doc_id", "n_shingles", "key_a", "key_b").join(groups.drop("n_shingles"), ["key_a", "key_b"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).alias("id"))
     out = out.join(labels.toDF("id", "root"), "id", "left")
