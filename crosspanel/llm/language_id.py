@@ -31,8 +31,8 @@ from .grams import KneserNey, ORDER, SortedHashes, WIDTH, packed, sums
 from .shared import CHUNK_BYTES
 
 #: Bytes of sampled text a language, for the models and again for calibration.
-TRAIN_BYTES = 6_000_000
-CALIBRATE_BYTES = 3_000_000
+TRAIN_BYTES = 3_000_000
+CALIBRATE_BYTES = 600_000
 #: Share of calibration texts of a language whose cross-entropy is accepted.
 REJECT = 0.995
 
@@ -99,7 +99,8 @@ class Identifier:
     def calibrate(self, texts: list[str], truth: list[str]) -> None:
         if not texts:
             return
-        entropies, counts = self.entropies(texts)
+        parts = [self.entropies(texts[i : i + 50]) for i in range(0, len(texts), 50)]
+        entropies, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
         best = entropies.argmin(1)
         right = np.array([self.languages[b] == t for b, t in zip(best, truth, strict=True)], float)
         gap = self.gap(entropies, counts)
@@ -159,13 +160,13 @@ def train(docs: DataFrame) -> Identifier:
     """An identifier from labelled rows (doc_id, lang, text)."""
     docs = docs.where("lang is not null and text is not null and doc_id is not null")
     sample, share = _sampled(docs, TRAIN_BYTES, 0)
-    counted = _counted(sample).toArrow()
-    langs = np.array(counted["lang"].to_pylist(), object)
-    grams, n = counted["gram"].to_numpy().view(np.uint64), counted["n"].to_numpy()
-    names = sorted(set(langs.tolist()))
+    counted = _counted(sample).orderBy("lang", "gram").toArrow()
+    langs = counted["lang"].combine_chunks().dictionary_encode()
+    grams, n, of = counted["gram"].to_numpy().view(np.uint64), counted["n"].to_numpy(), langs.indices.to_numpy()
+    names = langs.dictionary.to_pylist()
     models = []
-    for name in names:
-        own = np.flatnonzero(langs == name)
+    for k in range(len(names)):
+        own = np.flatnonzero(of == k)
         order = own[np.argsort(grams[own])]
         models.append(KneserNey(grams[order], n[order]))
     if not names:
