@@ -38,12 +38,10 @@ WINDOW = 13
 #: Bits of a fingerprint.
 BITS = 56
 #: Windows that a map task sorts at a time, and windows of a shard on average.
-BLOCK_WINDOWS = 1_500_000
-SHARD_WINDOWS = 2_000_000
+BLOCK_WINDOWS = 800_000
+SHARD_WINDOWS = 1_000_000
 LEAST_SHARDS = 64
 MAX_RUNS = 4
-#: Bytes of verified passages that may be broadcast to the documents after a sum; else both are shuffled.
-BROADCAST_BYTES = 32 << 20
 
 NEW, RUN, HITS = 0, 1, 2
 _ROWS = "kind int, key int, payload binary"
@@ -259,10 +257,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, batches: list, scratch
         found = part if found is None else found.union(part)
     passages = scratch.save(found, "passages")
     verified = passages.join(_source_digests(docs, passages), ["source", "source_place", "n"])
-    lists = scratch.save(verified.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "digest")).alias("passages")), "lists")
-    size = lists.agg(F.coalesce(F.sum(F.size("passages") * 48 + 64), F.lit(0))).first()[0]
-    lists = lists.withColumnRenamed("doc_id", "id")
-    lists = F.broadcast(lists) if size <= BROADCAST_BYTES else lists
+    lists = verified.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "digest")).alias("passages")).withColumnRenamed("doc_id", "id")
     joined = docs.select(F.col("doc_id").cast("long"), "text").join(lists, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
