@@ -116,3 +116,13 @@ def last_value(x: Column | str, spec: WindowSpec | None = None) -> Column:
 def island(same: Column, keys: tuple[str, ...] = (TICKER,), order: str = SESSION) -> Column:
     """Number of the run a row is in: a new one begins wherever `same` is not true."""
     return F.sum(F.when(same, 0).otherwise(1)).over(running(keys, order))
+
+
+def rolling_fit(y: Column | str, x: Column | str, spec: WindowSpec) -> tuple[Column, Column]:
+    """Correlation and slope of y on x over a frame, from moments; NULL without variation."""
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    mx, my = F.avg(x).over(spec), F.avg(y).over(spec)
+    cov, vx, vy = F.avg(x * y).over(spec) - mx * my, F.avg(x * x).over(spec) - mx * mx, F.avg(y * y).over(spec) - my * my
+    return F.when((vx > 1e-14) & (vy > 1e-14), cov / F.sqrt(vx * vy)), F.when(vx > 1e-14, cov / vx)
