@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.scalars import annualised, symmetric_growth
 from .windows import weighted
 
-BY_QUARTER = Window.partitionBy("ticker").orderBy("q")
+def by_quarter() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("q")
 
 
-def frame(n: int, end: int = 0):  # noqa: ANN201
+def frame(n: int, end: int = 0) -> WindowSpec:
     """Quarters by value, so that gaps do not shift the frame."""
-    return BY_QUARTER.rangeBetween(end - n + 1, end)
+    return by_quarter().rangeBetween(end - n + 1, end)
 
 
 def trailing_sum(x: str, n: int = 4, least: int | None = None, end: int = 0) -> Column:
@@ -35,7 +36,7 @@ def forward_growth(x: str) -> Column:
 
 def year_on_year(rows: DataFrame, x: str, name: str) -> DataFrame:
     """Adds the symmetric growth on the quarter four earlier (by value)."""
-    before = F.first(x).over(BY_QUARTER.rangeBetween(-4, -4))
+    before = F.first(x).over(by_quarter().rangeBetween(-4, -4))
     return rows.withColumn(name, symmetric_growth(F.col(x), before))
 
 
@@ -43,7 +44,7 @@ def smoothed_growth(rows: DataFrame, x: str, half_life: float = 4.0) -> DataFram
     """Adds hsg, the exponentially weighted mean of yearly growth, and hsg_sd, its deviation."""
     out = year_on_year(rows, x, "yoy")
     w = F.pow(F.lit(2.0), (F.col("q") - F.max("q").over(Window.partitionBy("ticker"))) / F.lit(half_life))
-    spec = BY_QUARTER.rangeBetween(Window.unboundedPreceding, 0)
+    spec = by_quarter().rangeBetween(Window.unboundedPreceding, 0)
     y = F.col("yoy")
     mean, square = weighted(y, w, spec), weighted(y * y, w, spec)
     return out.select("*", mean.alias("hsg"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("hsg_sd"))

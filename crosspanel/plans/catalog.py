@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import characteristics, portfolio, regimes, scores  # noqa: F401
+from . import characteristics, portfolio, regimes, relational, scores  # noqa: F401
 from .registry import ORACLE, QUERIES, Query
 
 
