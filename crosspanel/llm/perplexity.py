@@ -4,14 +4,15 @@ The model is an interpolated modified Kneser-Ney model of character 4-grams for
 trained on all trusted texts but those of a held-out fold. Its counts, contexts and lower orders
 are tables sharded by n-gram; probabilities come from joins of those tables, order by order, for
 exactly the n-grams that the documents hold. Documents are gathered in compressed blocks of about
-BLOCK_BYTES; a block asks for each of its distinct n-grams once and gets the probabilities back by
-a join, after which each of its documents is scored. No task holds more than a block and its
-n-grams, and nothing of the model goes to the driver but four counts of counts an order and
-language.
+BLOCK_BYTES; a block asks each shard of the n-grams once, by a sorted and packed list of those
+that it holds, and gets their probabilities back by a merge join with the shard, after which each
+of its documents is scored. No task holds more than a block and its n-grams, or a shard and the
+lists for it; nothing of the model goes to the driver.
 
-A document is kept if its bits per character lie between two language-specific limits: the LOW and
-HIGH quantiles of the held-out trusted texts, moved away from their median by MARGIN of their
-distance. Repetitive text lies below, noise above.
+A document is kept if its bits per character lie between two language-specific limits: the LOW
+quantile of all trusted texts and the HIGH quantile of the held-out ones, each moved away from the
+median by MARGIN of their distance. Repetitive text lies below, noise above. (Texts that the model
+has seen are a little more probable, so that they belong to the lower limit, not to the upper.)
 
 Defined results: null and white texts are not kept (no cross_entropy); a null lang is the language
 `und`; documents of a language without held-out trusted text are kept; rows that repeat a doc_id
@@ -32,9 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grams import ORDER, SortedHashes, WIDTH, packed, sums
-from .shared import Scratch, narrow
+from .shared import Scratch, mix, narrow
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
+#: Blocks are written once and shuffled once; a high level costs less than their bytes do.
+BLOCK_LEVEL = 12
+#: Shards of the n-grams: so many at least, and one for so many blocks.
+LEAST_SHARDS, SHARD_BLOCKS = 64, 256
 LOW, HIGH, MARGIN = 0.001, 0.999, 0.25
 #: Of so many parts of the trusted texts, one is held out for the limits.
 FOLDS = 5
@@ -84,11 +89,29 @@ def _distinct(langs: list[str], texts: list[str]) -> dict[str, tuple[np.ndarray,
     return out
 
 
-def _gram_batches(found: dict[str, tuple[np.ndarray, np.ndarray]], head: list | None = None) -> Iterator[pa.RecordBatch]:
+def _gram_batches(found: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for lang, (grams, n) in found.items():
         if len(grams):
-            first, name = ([pa.array(np.full(len(grams), head[0]))], ["block"]) if head else ([], [])
-            yield pa.RecordBatch.from_arrays([*first, pa.array([lang] * len(grams), pa.string()), pa.array(_strings(grams), pa.string()), pa.array(n)], names=[*name, "lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(_strings(grams), pa.string()), pa.array(n)], names=["lang", "gram", "n"])
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """An array by byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
+
+def _expand(payload: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pack(grams: np.ndarray) -> bytes:
+    """A sorted list of n-grams, as differences."""
+    return _squeeze(np.diff(grams, prepend=np.uint64(0)).astype("<u8"))
+
+
+def _unpack(payload: bytes) -> np.ndarray:
+    return np.cumsum(_expand(payload, "<u8"), dtype=np.uint64)
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -110,7 +133,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         def block() -> pa.RecordBatch:
             head = json.dumps([ids, langs, [len(t) for t in texts]]).encode()
             raw = len(head).to_bytes(8, "little") + head + "".join(texts).encode()
-            return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(62)], pa.int64()), pa.array([zstandard.ZstdCompressor(level=3).compress(raw)], pa.binary())], names=["block", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(62)], pa.int64()), pa.array([zstandard.ZstdCompressor(level=BLOCK_LEVEL).compress(raw)], pa.binary())], names=["block", "payload"])
 
         for b in batches:
             for doc, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -138,16 +161,53 @@ def _opened(payload: bytes) -> tuple[list, list[str], list[str]]:
     return ids, langs, texts
 
 
-def asked(table: DataFrame) -> DataFrame:
-    """(block, lang, gram): the distinct n-grams of each block."""
+def asked(table: DataFrame, shards: int) -> DataFrame:
+    """(block, lang, shard, grams): the distinct n-grams of each block, packed for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, payload in zip(b.column(0), b.column(1), strict=True):
                 _, langs, texts = _opened(payload.as_py())
-                yield from _gram_batches(_distinct(langs, texts), [block.as_py()])
-
-    return table.mapInArrow(run, "block long, lang string, gram string, n long").drop("n")
+                for lang, (grams, _) in _distinct(langs, texts).items():
+                    of = (mix(grams) % np.uint64(shards)).astype(np.int64)
+                    lists = [(k, _pack(own)) for k in range(shards) if len(own := grams[of == k])]
+                    if lists:
+                        k, packs = zip(*lists, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(k), pa.int64()), pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(packs, pa.binary())], names=["block", "lang", "shard", "grams"])
+
+    return table.mapInArrow(run, "block long, lang string, shard int, grams binary")
+
+
+def wanted(lists: DataFrame) -> DataFrame:
+    """(shard, lang, gram): the distinct n-grams of all blocks."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        by: dict[str, np.ndarray] = {}
+        for lang, grams in zip(rows["lang"].to_pylist(), rows["grams"].to_pylist(), strict=True):
+            by[lang] = np.union1d(by.get(lang, np.zeros(0, np.uint64)), _unpack(grams))
+        shard = rows["shard"][0].as_py()
+        parts = [pa.table({"shard": pa.array([shard] * len(g), pa.int32()), "lang": pa.array([lang] * len(g), pa.string()), "gram": pa.array(_strings(g), pa.string())}) for lang, g in by.items()]
+        return pa.concat_tables(parts)
+
+    return lists.groupBy("shard").applyInArrow(run, "shard int, lang string, gram string")
+
+
+def _answer(lists: pa.Table, model: pa.Table) -> pa.Table:
+    """Each list of a shard with its n-grams' probabilities."""
+    if not lists.num_rows or not model.num_rows:
+        return pa.table({"block": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "grams": pa.array([], pa.binary()), "p": pa.array([], pa.binary())})
+    names = np.array(model["lang"].to_pylist(), object)
+    grams, p = _packed_strings(model["gram"].to_pylist()), model["p"].to_numpy(zero_copy_only=False).astype("<f4")
+    sorted_: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for lang in set(names.tolist()):
+        own = np.flatnonzero(names == lang)
+        own = own[np.argsort(grams[own])]
+        sorted_[lang] = grams[own], p[own]
+    out = []
+    for lang, pack in zip(lists["lang"].to_pylist(), lists["grams"].to_pylist(), strict=True):
+        keys, values = sorted_[lang]
+        out.append(_squeeze(values[np.searchsorted(keys, _unpack(pack))]))
+    return pa.table({"block": lists["block"], "lang": lists["lang"], "grams": lists["grams"], "p": pa.array(out, pa.binary())})
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -159,7 +219,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 
 def probabilities(counts: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(lang, gram, p) for the wanted full-order n-grams; p is null in languages without counts."""
+    """(shard, lang, gram, p) for the wanted full-order n-grams; p is null in languages without counts."""
     orders = {ORDER: counts}
     needs = {ORDER: wanted}
     for k in range(ORDER - 1, 0, -1):
@@ -173,14 +233,14 @@ def probabilities(counts: DataFrame, wanted: DataFrame, scratch: Scratch) -> Dat
         taken = F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = orders[k].join(narrow(d, d.count()), "lang").select("lang", "gram", a, taken.alias("taken"), F.substring("gram", 1, k - 1).alias("context"))
         contexts = rows.groupBy("lang", "context").agg(F.sum("a").alias("total"), F.sum("taken").alias("mass"))
-        need = needs[k].select("lang", "gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+        need = needs[k].select(*(["shard"] if k == ORDER else []), "lang", "gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
         if below is None:
             need = need.join(narrow(floor, floor.count()), "lang", "left").withColumnRenamed("p", "lower")
         else:
             need = need.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"], "left")
         need = need.join(rows.select("lang", "gram", "a", "taken"), ["lang", "gram"], "left").join(contexts, ["lang", "context"], "left")
         p = F.coalesce(F.greatest(F.col("a") - F.col("taken"), F.lit(0.0)) / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("mass") / F.col("total"), F.lit(1.0)) * F.col("lower")
-        below = scratch.save(need.select("lang", "gram", p.alias("p")), f"p_{k}")
+        below = scratch.save(need.select(*(["shard"] if k == ORDER else []), "lang", "gram", p.alias("p")), f"p_{k}")
     return below
 
 
@@ -189,13 +249,16 @@ def _score(texts: pa.Table, grams: pa.Table) -> pa.Table:
     ids, langs, bits = [], [], []
     if texts.num_rows:
         ids, langs, docs = _opened(texts["payload"][0].as_py())
-        known = np.array(grams["lang"].to_pylist(), object)
+        lists: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for lang, keys, p in zip(*(grams[c].to_pylist() for c in ("lang", "grams", "p")), strict=True):
+            lists.setdefault(lang, []).append((_unpack(keys), _expand(p, "<f4")))
         bits = [None] * len(ids)
         of = np.array(langs, object)
         for lang in set(langs):
-            own = np.flatnonzero(known == lang)
-            logs = np.append(-np.log2(grams["p"].to_numpy(zero_copy_only=False)[own].astype(float)), np.nan)
-            index = SortedHashes(_packed_strings(grams["gram"].take(pa.array(own)).to_pylist()))
+            found = lists.get(lang, [])
+            keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.uint64)
+            logs = np.append(-np.log2(np.concatenate([p for _, p in found]).astype(float)) if found else np.zeros(0), np.nan)
+            index = SortedHashes(keys)
             mine = np.flatnonzero(of == lang).tolist()
             lo = 0
             while lo < len(mine):
@@ -220,15 +283,18 @@ def classified(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch
     fitted = trusted.where(~held_out)
     counts = scratch.save(counted(docs.join(narrow(fitted, fitted.count()), "doc_id", "left_semi")), f"counts_{ORDER}")
     table = scratch.save(blocks(docs), "blocks")
-    grams = scratch.save(asked(table), "asked")
-    p = probabilities(counts, grams.select("lang", "gram").distinct(), scratch)
-    answers = grams.join(p, ["lang", "gram"]).select("block", "lang", "gram", F.col("p").cast("float"))
+    shards = max(LEAST_SHARDS, -(-table.count() // SHARD_BLOCKS))
+    lists = scratch.save(asked(table, shards), "asked")
+    p = probabilities(counts, scratch.save(wanted(lists), f"wanted_{ORDER}"), scratch)
+    answers = lists.groupBy("shard").cogroup(p.groupBy("shard")).applyInArrow(_answer, "block long, lang string, grams binary, p binary")
     scores = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, cross_entropy double, empty boolean")
     scores = scratch.save(scores, "scores")
-    known = scores.join(trusted.where(held_out), "doc_id", "left_semi").where("cross_entropy is not null")
-    limits = known.groupBy("lang").agg(F.percentile_approx("cross_entropy", F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH)), 10000).alias("q"))
-    away = lambda q: F.col("q")[1] + (1 + MARGIN) * (F.col("q")[q] - F.col("q")[1])
-    limits = scratch.save(limits.select("lang", away(0).alias("low"), away(2).alias("high")), "limits")
+    known = scores.join(trusted.withColumn("held_out", held_out), "doc_id").where("cross_entropy is not null")
+    share = F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH))
+    unseen = F.when(F.col("held_out"), F.col("cross_entropy"))
+    limits = known.groupBy("lang").agg(F.percentile_approx("cross_entropy", share, 10000).alias("all"), F.percentile_approx(unseen, share, 10000).alias("unseen")).where("unseen is not null")
+    away = lambda name, q: F.col(name)[1] + (1 + MARGIN) * (F.col(name)[q] - F.col(name)[1])
+    limits = scratch.save(limits.select("lang", away("all", 0).alias("low"), away("unseen", 2).alias("high")), "limits")
     out = scores.join(narrow(limits, limits.count()), "lang", "left")
     kept = ~F.col("empty") & F.coalesce(F.col("cross_entropy").between(F.col("low"), F.col("high")), F.lit(True))
     return out.select("doc_id", "lang", "cross_entropy", F.pow(F.lit(2.0), "cross_entropy").alias("perplexity"), "low", "high", kept.alias("kept"))
