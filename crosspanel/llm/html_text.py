@@ -200,7 +200,7 @@ def _cut(root: Node) -> None:
     nodes = _order(root)
     _measure(nodes)
     for n in nodes:
-        if n.tag in ("ul", "ol", "div", "section", "table", "dl") and n.links >= 3 and n.linked >= 0.8 * n.chars and n not in core:
+        if n.tag in ("ul", "ol", "div", "section", "table", "td", "dl") and n.links >= 3 and n.linked >= 0.8 * n.chars and n not in core:
             n.cut = True
 
 
