@@ -114,17 +114,19 @@ def word_hashes(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.
         held, size = [], 0
 
     for i, text in enumerate(texts):
-        while len(text) > CHUNK_BYTES:
-            ends = np.flatnonzero(_WHITE[np.frombuffer(text, np.uint8, CHUNK_BYTES)])
-            if len(ends):
-                cut = int(ends[-1])
-            else:
-                later = np.flatnonzero(_WHITE[np.frombuffer(text, np.uint8)])
-                cut = int(later[0]) if len(later) else len(text)
+        at = 0
+        while len(text) - at > CHUNK_BYTES:
+            ends = np.flatnonzero(_WHITE[np.frombuffer(text, np.uint8, CHUNK_BYTES, at)])
+            if len(ends) and ends[-1]:
+                cut = at + int(ends[-1])
+            else:  # a word that is longer than a chunk
+                later = np.flatnonzero(_WHITE[np.frombuffer(text, np.uint8, offset=at + 1)])
+                cut = at + 1 + int(later[0]) if len(later) else len(text)
             flush()
-            held, size = [(i, text[:cut])], cut
+            held, size = [(i, text[at:cut])], cut - at
             flush()
-            text = text[cut:]
+            at = cut
+        text = text[at:] if at else text
         held.append((i, text))
         size += len(text)
         if size >= CHUNK_BYTES:
