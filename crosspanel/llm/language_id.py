@@ -61,7 +61,7 @@ class Identifier:
         self.languages = languages
         self.floor = np.log2([m.floor for m in models]).astype(np.float32)
         self.index, self.scores, self.contexts, self.gammas = [], [], [], []
-        for k in range(1, ORDER + 1):
+        for k in range(1, ORDER + 1) if models else ():
             keys = np.unique(np.concatenate([m.keys[k - 1] for m in models]))
             self.index.append(SortedHashes(keys))
             self.scores.append(np.stack([np.log2(m.probability(keys, k)) for m in models], 1).astype(np.float32))
