@@ -123,9 +123,9 @@ def mean_reversion(panel: DataFrame, p: Params, resid: str = "resid") -> DataFra
     out = out.withColumn("k", F.when(ok, -F.log("b")))
     sigma = F.sqrt(F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0)))
     mean = (F.col("my") - F.col("b") * F.col("mx")) / (1 - F.col("b"))
-    out = out.withColumn("distance", F.when(ok & (sigma > 0), (F.col("level") - mean) / (sigma / F.sqrt(2 * F.col("k")))))
-    recent = -F.sum(F.coalesce(resid, F.lit(0.0))).over(trailing(p.reversal))
-    out = out.withColumn("recent", F.when(F.col("distance").isNotNull(), recent)).withColumn("away", -F.col("distance"))
+    out = out.withColumn("distance", F.when(ok & (sigma > 1e-6), (F.col("level") - mean) / (sigma / F.sqrt(2 * F.col("k")))))
+    recent = F.round(-F.sum(F.coalesce(resid, F.lit(0.0))).over(trailing(p.reversal)), 9) + F.lit(0.0)
+    out = out.withColumn("recent", F.when(F.col("distance").isNotNull(), recent)).withColumn("away", F.round(-F.col("distance"), 6))
     weight = F.least(F.lit(1.0), F.lit(p.ou_half_life) / (F.log(F.lit(2.0)) / F.col("k")))
     out = out.withColumn("blend", weight * percent_rank("away") + (1 - weight) * percent_rank("recent"))
     return out.withColumn("ou", zscore("blend")).drop("level", "before", "n", "mx", "my", "sxx", "sxy", "syy", "b", "recent", "away", "blend")

@@ -73,7 +73,7 @@ def spearman(rows: DataFrame, x: str, y: str, *keys: str, least: int = 3, shrink
     """(keys, n, ic): correlation of average ranks; shrink scales it by (n - 1) / n, as mixed denominators do."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = both.select(*keys, average_rank(x, *keys).alias("rx"), average_rank(y, *keys).alias("ry"))
-    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("ic")).where(F.col("n") >= least)
+    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("ic")).where(F.col("n") >= least)
     return out.withColumn("ic", F.col("ic") * (F.col("n") - 1) / F.col("n")) if shrink else out
 
 

@@ -170,12 +170,12 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT *, lag(y0) OVER (PARTITION BY ticker ORDER BY ix) AS x FROM l),
 c AS (SELECT *, CASE WHEN x IS NOT NULL THEN y0 END AS y FROM b),
 m AS (SELECT ticker, ix, y0, count(x) OVER f AS n, avg(x) OVER f AS mx, avg(y) OVER f AS my, avg(x * x) OVER f AS xx, avg(x * y) OVER f AS xy, avg(y * y) OVER f AS yy,
-  -sum(coalesce(resid, 0.0)) OVER (PARTITION BY ticker ORDER BY ix ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS recent
+  round(-sum(coalesce(resid, 0.0)) OVER (PARTITION BY ticker ORDER BY ix ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 9) + 0.0 AS recent
   FROM c WINDOW f AS (PARTITION BY ticker ORDER BY ix ROWS BETWEEN 28 PRECEDING AND CURRENT ROW)),
 s AS (SELECT *, CASE WHEN n >= 14 AND xx - mx * mx > 1e-12 THEN (xy - mx * my) / (xx - mx * mx) END AS slope FROM m),
 k AS (SELECT *, CASE WHEN slope > 0 AND slope < 1 THEN -ln(slope) END AS k, sqrt(greatest((yy - my * my) - slope * (xy - mx * my), 0.0)) AS sigma FROM s),
-d AS (SELECT *, CASE WHEN k IS NOT NULL AND sigma > 0 THEN (y0 - (my - slope * mx) / (1 - slope)) / (sigma / sqrt(2 * k)) END AS distance FROM k),
-e AS (SELECT *, -distance AS away, CASE WHEN distance IS NOT NULL THEN recent END AS rec FROM d),
+d AS (SELECT *, CASE WHEN k IS NOT NULL AND sigma > 1e-6 THEN (y0 - (my - slope * mx) / (1 - slope)) / (sigma / sqrt(2 * k)) END AS distance FROM k),
+e AS (SELECT *, round(-distance, 6) AS away, CASE WHEN distance IS NOT NULL THEN recent END AS rec FROM d),
 g AS (SELECT ticker, ix, distance, least(1.0, 10.0 / (ln(2.0) / k)) * ("""
     + pct("away")
     + ") + (1 - least(1.0, 10.0 / (ln(2.0) / k))) * ("

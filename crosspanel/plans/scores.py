@@ -153,7 +153,7 @@ def c8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c8_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
     fwd = sc.forward_residual(base(spark, sf_dir), P.horizon).select("ix", "ticker", "fwd")
     by = sc.spearman(multiples(spark, sf_dir).join(fwd, ["ix", "ticker"]), "value", "fwd", "ix", "metric", "sector")
-    return by.groupBy("ix", "metric").agg(r(F.sum(F.col("ic") * F.col("n")) / F.sum(F.when(F.col("ic").isNotNull(), F.col("n")))).alias("ic"))
+    return by.groupBy("ix", "metric").agg(r(F.try_divide(F.sum(F.col("ic") * F.col("n")), F.sum(F.when(F.col("ic").isNotNull(), F.col("n"))))).alias("ic"))
 
 
 @query(
@@ -200,11 +200,11 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return momentum_ic(spark, sf_dir).select("ix", "n", r("ic").alias("ic"))
 
 
-@query("d2_annual_summary", IC_SQL + " SELECT year, count(ic) AS n, round(avg(ic), 6) + 0.0 AS mean, round(stddev_samp(ic), 6) + 0.0 AS sd, round(CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) END, 5) + 0.0 AS icir, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS hit FROM ics WHERE ic IS NOT NULL GROUP BY year")
+@query("d2_annual_summary", IC_SQL + " SELECT year, count(ic) AS n, round(avg(ic), 6) + 0.0 AS mean, round(stddev_samp(ic), 6) + 0.0 AS sd, round(CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) END, 5) + 0.0 AS icir, round(avg(CASE WHEN ic > 1e-9 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS hit FROM ics WHERE ic IS NOT NULL GROUP BY year")
 def d2_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = momentum_ic(spark, sf_dir).where("ic is not null").groupBy("year")
     sd = F.stddev_samp("ic")
-    return by.agg(F.count("ic").alias("n"), r(F.avg("ic")).alias("mean"), r(sd).alias("sd"), r(F.when(sd > 0, F.avg("ic") / sd), 5).alias("icir"), r(F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0))).alias("hit"))
+    return by.agg(F.count("ic").alias("n"), r(F.avg("ic")).alias("mean"), r(sd).alias("sd"), r(F.when(sd > 0, F.avg("ic") / sd), 5).alias("icir"), r(F.avg(F.when(F.col("ic") > 1e-9, 1.0).otherwise(0.0))).alias("hit"))
 
 
 RATES_SQL = """, lv AS (SELECT ix, round(avg(close), 4) AS level FROM panel GROUP BY ix),
