@@ -116,7 +116,7 @@ def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a8_dynamic_size",
-    """, s AS (SELECT ticker, ix, close, CASE WHEN ix % 13 = 0 THEN size END / close AS q FROM mkt),
+    """, s AS (SELECT ticker, ix, close, CASE WHEN close > open THEN size END / close AS q FROM mkt),
 h AS (SELECT ticker, ix, ln(coalesce(last_value(q IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
   first_value(q IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ix ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) * close) AS x FROM s)
 SELECT ticker, ix, round(x, 6) + 0.0 AS log_size, round("""
@@ -124,7 +124,7 @@ SELECT ticker, ix, round(x, 6) + 0.0 AS log_size, round("""
     + ", 6) + 0.0 AS size_z FROM h",
 )
 def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reported = base(spark, sf_dir).withColumn("size", F.when(F.col("ix") % 13 == 0, F.col("size")))
+    reported = base(spark, sf_dir).withColumn("size", F.when(F.col("close") > F.col("open"), F.col("size")))
     return ch.dynamic_size(reported).select("ticker", "ix", r("log_size").alias("log_size"), r("size_z").alias("size_z"))
 
 
@@ -144,7 +144,7 @@ def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a11_short_interest",
-    """, s AS (SELECT ticker, ix, CASE WHEN ix % 2 = 0 THEN volume / size END AS a, CASE WHEN ix % 2 = 0 AND volume IS NOT NULL THEN least(greatest(volume / 500.0, 0.0), 1.0) END AS b FROM mkt),
+    """, s AS (SELECT ticker, ix, CASE WHEN close > open THEN volume / size END AS a, CASE WHEN close > open AND volume IS NOT NULL THEN least(greatest(volume / 500.0, 0.0), 1.0) END AS b FROM mkt),
 c AS (SELECT ticker, ix, ("""
     + z("a")
     + " + "
@@ -154,8 +154,8 @@ l AS (SELECT ticker, ix, last_value(x IGNORE NULLS) OVER (PARTITION BY ticker OR
 SELECT ticker, ix, round(coalesce(x, median(x) OVER (PARTITION BY ix)), 6) + 0.0 AS si FROM l""",
 )
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    even = F.col("ix") % 2 == 0
-    raw = base(spark, sf_dir).withColumn("a", F.when(even, F.col("volume") / F.col("size"))).withColumn("b", F.when(even, F.col("volume") / 500.0))
+    known = F.col("close") > F.col("open")
+    raw = base(spark, sf_dir).withColumn("a", F.when(known, F.col("volume") / F.col("size"))).withColumn("b", F.when(known, F.col("volume") / 500.0))
     return ch.short_interest(raw, "a", "b").select("ticker", "ix", r("si").alias("si"))
 
 

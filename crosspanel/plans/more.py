@@ -93,12 +93,12 @@ def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
     "f13_all_metrics",
     "WITH "
     + QUARTER_SQL
-    + f", b AS (SELECT ticker, q, {_ts('rev', 4, 4, 0)} AS s, {_ts('cost', 4, 4, 0)} AS c, {_ts('inc', 4, 4, 0)} AS e FROM qs) SELECT ticker, q, round(s, 4) + 0.0 AS ltm_rev, round(CASE WHEN s <> 0 THEN c / s END, 6) + 0.0 AS cost_share, round(CASE WHEN s <> 0 THEN e / s END, 6) + 0.0 AS income_share, round(CASE WHEN s <> 0 THEN (1000.0 + q) / s END, 6) + 0.0 AS ps FROM b",
+    + f", b AS (SELECT ticker, q, {_ts('rev', 4, 4, 0)} AS s, {_ts('cost', 4, 4, 0)} AS c, {_ts('inc', 4, 4, 0)} AS e FROM qs) SELECT ticker, q, round(s, 6) + 0.0 AS ltm_rev, round(CASE WHEN s <> 0 THEN c / s END, 6) + 0.0 AS cost_share, round(CASE WHEN s <> 0 THEN e / s END, 6) + 0.0 AS income_share, round(CASE WHEN s <> 0 THEN (1000.0 + q) / s END, 6) + 0.0 AS ps FROM b",
     panel=False,
 )
 def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, c, e = (fu.trailing_sum(x) for x in ("rev", "cost", "inc"))
-    return quarters(spark, sf_dir).select("ticker", "q", r(s, 4).alias("ltm_rev"), r(sf.safe_div(c, s)).alias("cost_share"), r(sf.safe_div(e, s)).alias("income_share"), r(sf.safe_div(F.lit(1000.0) + F.col("q"), s)).alias("ps"))
+    return quarters(spark, sf_dir).select("ticker", "q", r(s, 6).alias("ltm_rev"), r(sf.safe_div(c, s)).alias("cost_share"), r(sf.safe_div(e, s)).alias("income_share"), r(sf.safe_div(F.lit(1000.0) + F.col("q"), s)).alias("ps"))
 
 
 @query(

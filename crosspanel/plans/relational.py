@@ -97,26 +97,26 @@ def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.as_of(left, right, ["c"], "t", ["last_price"]).select("l_orderkey", "l_linenumber", "last_price")
 
 
-@query("j2_as_of_strict", """, q AS (SELECT ticker, ix, round(close, 4) AS before_close FROM panel WHERE ix % 5 = 0 AND close IS NOT NULL)
+@query("j2_as_of_strict", """, q AS (SELECT ticker, ix, close AS before_close FROM panel WHERE close > open)
 SELECT ticker, ix, before_close FROM (SELECT p.ticker, p.ix, q.before_close, row_number() OVER (PARTITION BY p.ticker, p.ix ORDER BY q.ix DESC) AS k FROM panel p LEFT JOIN q ON q.ticker = p.ticker AND q.ix < p.ix) WHERE k = 1""")
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = base(spark, sf_dir)
-    right = panel.where("ix % 5 = 0 and close is not null").select("ticker", "ix", F.round("close", 4).alias("before_close"))
+    right = panel.where("close > open").select("ticker", "ix", F.col("close").alias("before_close"))
     return jn.as_of(panel.select("ticker", "ix"), right, ["ticker"], "ix", ["before_close"], strict=True)
 
 
-@query("j3_next_session", "SELECT d AS date, (SELECT min(s) FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS s FROM lineitem WHERE l_suppkey = 1) WHERE s >= d) AS session FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1999-12-01', INTERVAL 30 DAY)) AS DATE) AS d)", panel=False)
+@query("j3_next_session", "SELECT d AS date, (SELECT min(s) FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS s FROM lineitem WHERE l_quantity > 49) WHERE s >= d) AS session FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1999-12-01', INTERVAL 30 DAY)) AS DATE) AS d)", panel=False)
 def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions = read(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate").where("l_suppkey = 1").select(F.to_date("l_shipdate").alias("session")).distinct()
+    sessions = read(spark, sf_dir, "lineitem", "l_quantity", "l_shipdate").where("l_quantity > 49").select(F.to_date("l_shipdate").alias("session")).distinct()
     dates = spark.range(1).select(F.explode(F.expr("sequence(date'1996-01-01', date'1999-12-01', interval 30 days)")).alias("date"))
     return jn.next_session(dates, sessions)
 
 
-VINTAGE_SQL = """v AS (SELECT l_partkey AS ticker, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS q, CAST(o_orderdate AS DATE) AS download, l_extendedprice AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey <= 200)"""
+VINTAGE_SQL = """v AS (SELECT l_partkey AS ticker, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS q, CAST(o_orderdate AS DATE) AS download, l_extendedprice AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 
 
 def vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "lineitem", *ITEMS).where("l_partkey <= 200")
+    items = read(spark, sf_dir, "lineitem", *ITEMS)
     orders = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").withColumnRenamed("o_orderkey", "l_orderkey")
     q = (F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1).cast("int")
     return items.join(orders, "l_orderkey").select(F.col("l_partkey").alias("ticker"), q.alias("q"), F.to_date("o_orderdate").alias("download"), F.col("l_extendedprice").alias("value"))
@@ -128,13 +128,13 @@ def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.latest_vintage(vintages(spark, sf_dir), known, ["ticker"], "q", "download", "value")
 
 
-QUARTER_SQL = """qs AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS q, round(sum(l_extendedprice) / 1000, 4) AS rev, round(sum(l_extendedprice * l_discount) / 1000, 4) AS cost, round(sum(l_quantity) - 600, 4) AS inc FROM lineitem WHERE l_suppkey <= 60 GROUP BY 1, 2)"""
+QUARTER_SQL = """qs AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS q, round(sum(l_extendedprice) / 1000, 6) AS rev, round(sum(l_extendedprice * l_discount) / 1000, 8) AS cost, round(sum(l_quantity) - 600, 4) AS inc FROM lineitem GROUP BY 1, 2)"""
 
 
 def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_quantity").where("l_suppkey <= 60")
+    items = read(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_quantity")
     q = (F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1).cast("int")
-    return items.groupBy(F.col("l_suppkey").cast("string").alias("ticker"), q.alias("q")).agg(F.round(F.sum("l_extendedprice") / 1000, 4).alias("rev"), F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")) / 1000, 4).alias("cost"), F.round(F.sum("l_quantity") - 600, 4).alias("inc"))
+    return items.groupBy(F.col("l_suppkey").cast("string").alias("ticker"), q.alias("q")).agg(F.round(F.sum("l_extendedprice") / 1000, 6).alias("rev"), F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")) / 1000, 8).alias("cost"), F.round(F.sum("l_quantity") - 600, 4).alias("inc"))
 
 
 def _ts(x: str, n: int, least: int, end: int) -> str:
@@ -187,25 +187,25 @@ def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticker", "q", r(level).alias("level"), r(past).alias("past"), r(level - past).alias("delta"))
 
 
-@query("f11_size", ", sh AS (SELECT ticker, min(ix) AS first_ix FROM panel WHERE volume IS NOT NULL GROUP BY ticker), fs AS (SELECT p.ticker, volume AS earliest FROM panel p JOIN sh ON sh.ticker = p.ticker AND p.ix = first_ix), h AS (SELECT ticker, ix, close, last_value(CASE WHEN ix % 13 = 5 THEN volume END IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ix) AS v FROM panel) SELECT ticker, ix, round(coalesce(v, earliest) * close / 1000000, 6) + 0.0 AS size FROM h JOIN fs USING (ticker)")
+@query("f11_size", ", sh AS (SELECT ticker, min(ix) AS first_ix FROM panel WHERE volume IS NOT NULL GROUP BY ticker), fs AS (SELECT p.ticker, volume AS earliest FROM panel p JOIN sh ON sh.ticker = p.ticker AND p.ix = first_ix), h AS (SELECT ticker, ix, close, last_value(CASE WHEN close > open THEN volume END IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ix) AS v FROM panel) SELECT ticker, ix, round(coalesce(v, earliest) * close / 1000000, 6) + 0.0 AS size FROM h JOIN fs USING (ticker)")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = base(spark, sf_dir)
     early = panel.where("volume is not null").groupBy("ticker").agg(F.min_by("volume", "ix").alias("earliest"))
-    held = F.last(F.when(F.col("ix") % 13 == 5, F.col("volume")), ignorenulls=True).over(Window.partitionBy("ticker").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0))
+    held = F.last(F.when(F.col("close") > F.col("open"), F.col("volume")), ignorenulls=True).over(Window.partitionBy("ticker").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0))
     return panel.withColumn("v", held).join(early, "ticker").select("ticker", "ix", r(F.coalesce("v", "earliest") * F.col("close") / 1_000_000).alias("size"))
 
 
-@query("f12_free_cash_flow", "WITH " + QUARTER_SQL + " SELECT ticker, q, round(inc - coalesce(CASE WHEN q % 3 > 0 THEN cost END, 0), 4) + 0.0 AS fcf FROM qs", panel=False)
+@query("f12_free_cash_flow", "WITH " + QUARTER_SQL + " SELECT ticker, q, round(inc - coalesce(CASE WHEN inc > 0 THEN cost END, 0), 8) + 0.0 AS fcf FROM qs", panel=False)
 def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quarters(spark, sf_dir)
-    long = rows.select("ticker", "q", F.lit("cfo").alias("metric"), F.col("inc").alias("value")).unionByName(rows.where("q % 3 > 0").select("ticker", "q", F.lit("capex").alias("metric"), (-F.col("cost")).alias("value")))
-    return fu.wide(long, ["cfo", "capex"]).select("ticker", "q", r(F.col("cfo") + F.coalesce("capex", F.lit(0.0)), 4).alias("fcf"))
+    long = rows.select("ticker", "q", F.lit("cfo").alias("metric"), F.col("inc").alias("value")).unionByName(rows.where("inc > 0").select("ticker", "q", F.lit("capex").alias("metric"), (-F.col("cost")).alias("value")))
+    return fu.wide(long, ["cfo", "capex"]).select("ticker", "q", r(F.col("cfo") + F.coalesce("capex", F.lit(0.0)), 8).alias("fcf"))
 
 
 @query("f14_legacy_redating")
 def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quarters(spark, sf_dir).select("ticker", "q", F.col("rev").alias("value"))
-    legacy = rows.where("q >= 7990").select("ticker", (F.col("q") % 5).alias("row"), (F.col("q") - 7990).alias("col"), "value")
+    legacy = rows.select("ticker", F.floor(F.col("q") / 4).cast("int").alias("row"), (F.col("q") % 4).alias("col"), "value")
     return fu.redated(legacy, rows)
 
 
@@ -261,9 +261,9 @@ def _folder(spark: SparkSession) -> str:
 
 @query("t1_upsert", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey", panel=False)
 def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders", "o_custkey", "o_orderkey")
+    rows = read(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderstatus")
     table = store.Table(spark, _folder(spark))
-    table.append(rows.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey")))
+    table.append(rows.where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey")))
     table.upsert(rows.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey")), ["o_custkey"])
     return table.read()
 
