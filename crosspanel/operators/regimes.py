@@ -122,53 +122,58 @@ def quintile_indices(panel: DataFrame, half_life: float) -> DataFrame:
 def fit_hmm(x: np.ndarray, states: int = 3, steps: int = 60, starts: int = 4, seed: int = 7, warm: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """Gaussian hidden Markov model by Baum-Welch; states in the order of their variance.
 
-    Returns start, transition, mean, variance and the log-likelihood of the best restart.
+    All restarts (and the warm one) run side by side. Returns start, transition, mean, variance and
+    the log-likelihood of the best.
     """
     rng = np.random.default_rng(seed)
-    best = None
-    for k in range(starts + (warm is not None)):
-        if warm is not None and k == 0:
-            pi, a, mu, var = (np.array(v, float) for v in warm)
-        else:
-            pi, a = np.full(states, 1 / states), np.full((states, states), 0.1 / max(states - 1, 1))
-            np.fill_diagonal(a, 0.9)
-            mu = x.mean() + x.std() * rng.normal(0, 0.3, states)
-            var = x.var() * np.sort(rng.uniform(0.2, 2.5, states))
-        last = -np.inf
-        for _ in range(steps):
-            alpha, beta, scale, b = _forward_backward(x, pi, a, mu, var)
-            ll = float(np.log(scale).sum())
-            gamma = alpha * beta
-            gamma /= gamma.sum(1, keepdims=True)
-            xi = (alpha[:-1, :, None] * a[None] * (b[1:] * beta[1:])[:, None, :] / scale[1:, None, None]).sum(0)
-            pi, a = gamma[0], xi / np.maximum(xi.sum(1, keepdims=True), 1e-300)
-            n = np.maximum(gamma.sum(0), 1e-9)
-            mu = (gamma * x[:, None]).sum(0) / n
-            var = np.maximum((gamma * (x[:, None] - mu) ** 2).sum(0) / n, x.var() * 1e-3 + 1e-12)
-            if abs(ll - last) < 1e-7 * abs(ll):
-                break
-            last = ll
-        if best is None or ll > best[4]:
-            o = np.argsort(var)
-            best = (pi[o], a[np.ix_(o, o)], mu[o], var[o], ll)
-    return best
+    n = starts + (warm is not None)
+    pi = np.full((n, states), 1 / states)
+    a = np.full((n, states, states), 0.1 / max(states - 1, 1))
+    a[:, np.arange(states), np.arange(states)] = 0.9
+    mu = x.mean() + x.std() * rng.normal(0, 0.3, (n, states))
+    var = x.var() * np.sort(rng.uniform(0.2, 2.5, (n, states)), axis=1)
+    if warm is not None:
+        pi[0], a[0], mu[0], var[0] = (np.asarray(v, float) for v in warm)
+    last = np.full(n, -np.inf)
+    for _ in range(steps):
+        alpha, beta, scale, b = _forward_backward(x, pi, a, mu, var)
+        ll = np.log(scale).sum(0)
+        gamma = alpha * beta
+        gamma /= gamma.sum(2, keepdims=True)
+        xi = np.einsum("tri,trj->rij", alpha[:-1] / scale[1:, :, None], b[1:] * beta[1:]) * a
+        pi, a = gamma[0], xi / np.maximum(xi.sum(2, keepdims=True), 1e-300)
+        weight = np.maximum(gamma.sum(0), 1e-9)
+        mu = (gamma * x[:, None, None]).sum(0) / weight
+        var = np.maximum((gamma * (x[:, None, None] - mu) ** 2).sum(0) / weight, x.var() * 1e-3 + 1e-12)
+        if (np.abs(ll - last) < 1e-7 * np.abs(ll)).all():
+            break
+        last = ll
+    best = int(ll.argmax())
+    o = np.argsort(var[best])
+    return pi[best][o], a[best][np.ix_(o, o)], mu[best][o], var[best][o], float(ll[best])
 
 
 def _forward_backward(x, pi, a, mu, var):  # noqa: ANN001, ANN202
-    b = np.exp(-0.5 * (x[:, None] - mu) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
-    n, k = b.shape
-    alpha, beta, scale = np.empty((n, k)), np.ones((n, k)), np.empty(n)
+    """Scaled forward and backward variables, scales and densities: (time, model, state) arrays."""
+    b = np.exp(-0.5 * (x[:, None, None] - mu) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
+    alpha, beta, scale = np.empty_like(b), np.ones_like(b), np.empty(b.shape[:2])
     f = pi * b[0]
-    for t in range(n):
+    for t in range(len(x)):
         if t:
-            f = (alpha[t - 1] @ a) * b[t]
-        scale[t] = f.sum()
-        alpha[t] = f / scale[t]
-    for t in range(n - 2, -1, -1):
-        beta[t] = (a @ (b[t + 1] * beta[t + 1])) / scale[t + 1]
+            f = np.einsum("ri,rij->rj", alpha[t - 1], a) * b[t]
+        scale[t] = f.sum(1)
+        alpha[t] = f / scale[t][:, None]
+    for t in range(len(x) - 2, -1, -1):
+        beta[t] = np.einsum("rij,rj->ri", a, b[t + 1] * beta[t + 1]) / scale[t + 1][:, None]
     return alpha, beta, scale, b
 
 
+def filtered(x: np.ndarray, model: tuple) -> np.ndarray:
+    """Probabilities of the states at each time, given the past."""
+    pi, a, mu, var = (np.asarray(v)[None] for v in model[:4])
+    return _forward_backward(x, pi, a, mu, var)[0][:, 0]
+
+
 def volatility_states(returns: DataFrame, window: int, step: int) -> DataFrame:
     """(asset, ix, n_obs, p_low, p_med, p_high, vol_low, vol_high): filtered state probabilities at every step-th session.
 
@@ -183,7 +188,7 @@ def volatility_states(returns: DataFrame, window: int, step: int) -> DataFrame:
             part = x[end - window : end]
             fitted = fit_hmm(part, warm=warm)
             warm = fitted[:4]
-            alpha = _forward_backward(part, *fitted[:4])[0]
+            alpha = filtered(part, fitted)
             vol = np.sqrt(fitted[3])
             out.append((rows["asset"].iloc[0], int(at[end - 1]), window, *alpha[-1].tolist(), float(vol[0]), float(vol[-1])))
         return pd.DataFrame(out, columns=["asset", "ix", "n_obs", "p_low", "p_med", "p_high", "vol_low", "vol_high"])

@@ -96,7 +96,7 @@ def test_hmm_finds_the_volatile_state():
     x = np.concatenate([RNG.normal(0, 0.01, 150), RNG.normal(0, 0.05, 150)])
     pi, a, mu, var, ll = rg.fit_hmm(x, states=2)
     assert var[0] < var[1] and np.allclose(a.sum(1), 1) and abs(np.sqrt(var[1]) - 0.05) < 0.015
-    alpha = rg._forward_backward(x, pi, a, mu, var)[0]
+    alpha = rg.filtered(x, (pi, a, mu, var))
     assert alpha[:150, 0].mean() > 0.8 and alpha[150:, 1].mean() > 0.8
 
 
