@@ -170,16 +170,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return joined.mapInArrow(compare, "a long, b long")
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(bucket, id, root, main, n_left, n_right) of buckets that hold several components.
 
-    main is the largest; n_left and n_right are the blocks of the members outside it and of all.
+    main is the largest; n_left and n_right are the blocks of the members outside it and of all. It
+    is a written table, so that the join with a bucket of very many members can be split.
     """
     now = members.join(labels.toDF("id", "root"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     count = lambda n: F.ceil(n / BLOCK).cast("int")
-    return now.join(main.select("bucket", F.col("most.root").alias("main"), count(F.col("all") - F.col("most.n")).alias("n_left"), count(F.col("all")).alias("n_right")), "bucket")
+    main = scratch.save(main.select("bucket", F.col("most.root").alias("main"), count(F.col("all") - F.col("most.n")).alias("n_left"), count(F.col("all")).alias("n_right")), name)
+    return now.join(main, "bucket")
 
 
 def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -240,9 +242,9 @@ class _Columns:
         return y[ok], same[ok]
 
 
-def _marked(members: DataFrame, labels: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+def _marked(members: DataFrame, labels: DataFrame, vertices: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(bucket, id) of members that may be linked to one of another component, by their signatures."""
-    rows = _open(members, labels).join(vertices, "id")
+    rows = _open(members, labels, scratch, "open_buckets").join(vertices, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _Columns()
@@ -261,10 +263,10 @@ def _marked(members: DataFrame, labels: DataFrame, vertices: DataFrame, percent:
     return _dealt(rows, ["id", "root", "n", "signature"]).mapInArrow(run, "bucket long, id long").distinct()
 
 
-def _linked(docs: DataFrame, marked: DataFrame, labels: DataFrame, vertices: DataFrame, words: int, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, marked: DataFrame, labels: DataFrame, vertices: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): verified links that connect the components of marked members, a forest in each block."""
     ids = marked.select("id").distinct()
-    rows = _open(marked, labels).join(vertices, "id").join(_full_sets(docs, ids, ids.count(), words), "id")
+    rows = _open(marked, labels, scratch, "marked_buckets").join(vertices, "id").join(_full_sets(docs, ids, ids.count(), words), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _Columns()
@@ -332,8 +334,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch, word
     links = scratch.save(_verified(docs, tried, words, percent), "links_1")
     labels = _merged(none, links, scratch, "parts_1")
     # second round: what the first left over, against whole buckets
-    marked = scratch.save(_marked(members, labels, vertices, percent), "marked")
-    links = scratch.save(_linked(docs, marked, labels, vertices, words, percent), "links_2")
+    marked = scratch.save(_marked(members, labels, vertices, percent, scratch), "marked")
+    links = scratch.save(_linked(docs, marked, labels, vertices, words, percent, scratch), "links_2")
     labels = _merged(labels, links, scratch, "parts_2")
     out = rows.select("doc_id", "n_shingles", "key_a", "key_b").join(groups.drop("n_shingles"), ["key_a", "key_b"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).alias("id"))
