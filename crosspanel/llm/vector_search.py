@@ -3,8 +3,9 @@
 Vectors are rotated by one fixed random orthogonal matrix. A vector's code is the signs of its
 rotated components; with its norm and the inner product of its direction and its code it gives an
 unbiased estimate of any inner product and a bound on the estimate's error, which holds for each
-pair but with a chance of about exp(-EPSILON**2 / 2). In a block, a candidate is reranked on the
-original vectors unless its upper bound is below the k-th best lower bound.
+pair but with a chance of about exp(-EPSILON**2 / 2). In a block, the candidates of best estimate
+are scored on the original vectors first; all others are, too, whose upper bound reaches the k-th
+best of those scores.
 
 Queries and candidates are dealt into blocks of fixed size by a hash of their ids; each pair of
 blocks is one group, which returns at most k rows for each of its queries.
@@ -17,20 +18,26 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import Scratch
 
-EPSILON = 5.0
+EPSILON = 3.0
+#: Candidates, in k, that are scored first.
+FIRST = 4
 #: Rows in a block, on average.
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
 
 
+@functools.cache
 def rotation(dim: int) -> np.ndarray:
     """A random orthogonal matrix, the same for each dim."""
     q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
@@ -57,17 +64,17 @@ def _bounds(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, fit: np.n
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.array(column.combine_chunks().flatten(), np.float64).reshape(-1, dim)
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
 
 
 def _search(k: int):
     def search(rows: pa.Table) -> pa.Table:
         """One block of queries against one block of candidates, for each length of vectors."""
         out: list[tuple[np.ndarray, ...]] = []
-        lengths = np.array([len(v) for v in rows["vector"]]) if rows.num_rows else np.zeros(0, int)
+        lengths = pc.list_value_length(rows["vector"]).to_numpy()
         for dim in np.unique(lengths):
             part = rows.filter(pa.array(lengths == dim))
-            asks = np.array(part["asks"].to_pylist(), bool)
+            asks = part["asks"].to_numpy()
             ids, vectors = part["id"].to_numpy(), _matrix(part["vector"], int(dim))
             if not asks.any() or asks.all():
                 continue
@@ -77,9 +84,17 @@ def _search(k: int):
                 estimate, width = _bounds(q[lo : lo + 256], codes, norms, fit, int(dim))
                 own = q_ids[lo : lo + 256, None] == c_ids
                 estimate[own] = -np.inf
-                low = np.where(own, -np.inf, estimate - width)
-                kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
-                chosen = (estimate + width >= kth[:, None]) & ~own
+                reach = estimate + width
+                if len(c) > FIRST * k:
+                    best = np.argpartition(-estimate, FIRST * k, axis=1)[:, : FIRST * k]
+                    exact = np.einsum("qkd,qd->qk", c[best], q[lo : lo + 256])
+                    exact[np.take_along_axis(own, best, 1)] = -np.inf
+                    kth = np.partition(exact, -k, axis=1)[:, -k]
+                    # a little less, so that equal scores summed in another order stay
+                    chosen = (reach >= (kth - 1e-9 * np.abs(kth))[:, None]) & ~own
+                    np.put_along_axis(chosen, best, ~np.take_along_axis(own, best, 1), 1)
+                else:
+                    chosen = ~own
                 for i in range(len(estimate)):
                     at = np.flatnonzero(chosen[i])
                     score = (c[at] * q[lo + i]).sum(1)
