@@ -41,7 +41,7 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars "
     "footer header masthead comment comments commentlist disqus replies reply respond cookie cookies consent gdpr notice notices notification popup modal overlay share sharing social "
-    "related recommended recommendations newsletter subscribe subscription signup login toolbar pagination pager widget widgets skip toc outbrain taboola copyright paywall rail".split()
+    "related recommended recommendations newsletter subscribe subscription signup login toolbar pagination pager widget widgets skip toc outbrain taboola copyright paywall rail aside sidenav topbar submenu menubar teaser teasers banners alert disclaimer".split()
 )
 #: Those that are cut even where the element holds most of the page's text.
 READERS = frozenset("comment comments commentlist disqus replies respond".split())
