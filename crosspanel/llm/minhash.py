@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, chunks, mix, narrow, runs_of, word_hashes
+from .shared import Scratch, chunks, mix, narrow, runs_of, trim, word_hashes
 
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
@@ -93,6 +93,7 @@ def described(docs: DataFrame, words: int) -> DataFrame:
                         marks[i] = row.tobytes()
                         keys[0, i], keys[1, i] = mix(sets[i]).sum(), mix(sets[i] ^ np.uint64(0x5851F42D4C957F2D)).sum()
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(sizes), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "key_a", "key_b", "signature"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, signature binary")
 
@@ -166,6 +167,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
         for b in batches:
             ok = [_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        trim()
 
     return joined.mapInArrow(compare, "a long, b long")
 

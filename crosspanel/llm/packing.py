@@ -34,7 +34,7 @@ from .shared import CHUNK_BYTES, Scratch
 SEQUENCE = 2048
 END_ID = 0
 #: Runs between white space whose ids a worker remembers. This only saves time.
-MEMORY_RUNS = 300_000
+MEMORY_RUNS = 100_000
 #: Pieces of one length and salt, on average at most.
 SALT_ROWS = 100_000
 LEAST_SALTS = 64

@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grams import ORDER, SortedHashes, WIDTH, packed, sums
-from .shared import Scratch, mix, narrow
+from .shared import Scratch, mix, narrow, trim
 
 BLOCK_BYTES = 12 << 20
+#: In the pipeline, whose other stages share the workers' memory and which has more room on disk.
+STAGE_BLOCK_BYTES = 3 << 20
 #: Blocks are written once and shuffled once; a high level costs less than their bytes do.
 BLOCK_LEVEL = 12
 #: Shards of the n-grams: so many at least, and one for so many blocks.
@@ -65,7 +67,7 @@ def _packed_strings(grams: list[str]) -> np.ndarray:
 
 
 def _distinct(langs: list[str], texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Distinct n-grams of each language and their counts, a megabyte of text at a time."""
+    """Distinct n-grams of each language and their counts, half a megabyte of text at a time."""
     parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     held: dict[str, list[str]] = {}
     size: dict[str, int] = {}
@@ -78,7 +80,7 @@ def _distinct(langs: list[str], texts: list[str]) -> dict[str, tuple[np.ndarray,
     for lang, text in zip(langs, texts, strict=True):
         held.setdefault(lang, []).append(text)
         size[lang] = size.get(lang, 0) + len(text)
-        if size[lang] > 1 << 20:
+        if size[lang] > 1 << 19:
             flush(lang)
     for lang in list(held):
         flush(lang)
@@ -118,13 +120,22 @@ def counted(docs: DataFrame) -> DataFrame:
     """(lang, gram, a): full-order counts of (lang, text), summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, texts, size = [], [], 0
         for b in batches:
-            yield from _gram_batches(_distinct(b.column(0).to_pylist(), [_plain(t.as_py()) for t in b.column(1)]))
+            langs += b.column(0).to_pylist()
+            texts += [_plain(t.as_py()) for t in b.column(1)]
+            size += b.column(1).nbytes
+            if size >= BLOCK_BYTES:
+                yield from _gram_batches(_distinct(langs, texts))
+                langs, texts, size = [], [], 0
+        yield from _gram_batches(_distinct(langs, texts))
+        del langs, texts
+        trim()
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("a"))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, payload): the documents (doc_id, lang, text), compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +152,13 @@ def blocks(docs: DataFrame) -> DataFrame:
                 langs.append(lang)
                 texts.append(_plain(text.as_py()))
                 size += len(texts[-1])
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield block()
                     ids, langs, texts, size = [], [], [], 0
         if ids:
             yield block()
+        del ids, langs, texts
+        trim()
 
     return docs.mapInArrow(run, "block long, payload binary")
 
@@ -154,7 +167,8 @@ def _opened(payload: bytes) -> tuple[list, list[str], list[str]]:
     raw = zstandard.ZstdDecompressor().decompress(payload)
     cut = 8 + int.from_bytes(raw[:8], "little")
     ids, langs, lens = json.loads(raw[8:cut])
-    whole, texts, at = raw[cut:].decode(), [], 0
+    whole, texts, at = str(memoryview(raw)[cut:], "utf-8"), [], 0
+    del raw
     for n in lens:
         texts.append(whole[at : at + n])
         at += n
@@ -175,6 +189,8 @@ def asked(table: DataFrame, shards: int) -> DataFrame:
                         k, packs = zip(*lists, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(k), pa.int64()), pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(packs, pa.binary())], names=["block", "lang", "shard", "grams"])
 
+        trim()
+
     return table.mapInArrow(run, "block long, lang string, shard int, grams binary")
 
 
@@ -263,7 +279,7 @@ def _score(texts: pa.Table, grams: pa.Table) -> pa.Table:
             lo = 0
             while lo < len(mine):
                 part, size = [], 0
-                while lo + len(part) < len(mine) and size < 1 << 20:
+                while lo + len(part) < len(mine) and size < 1 << 18:
                     part.append(docs[mine[lo + len(part)]])
                     size += len(part[-1])
                 codes, counts = packed(part)
@@ -272,17 +288,19 @@ def _score(texts: pa.Table, grams: pa.Table) -> pa.Table:
                     bits[i] = s / n if n and s == s else None
                 lo += len(part)
     empty = [not d for d in docs] if texts.num_rows else []
+    docs = None
+    trim()
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "cross_entropy": pa.array(bits, pa.float64()), "empty": pa.array(empty, pa.bool_())})
 
 
-def classified(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
+def classified(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, lang, cross_entropy, perplexity, low, high, kept) of every row of docs (doc_id, lang, text); trusted holds ids."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     trusted = scratch.save(trusted.where("doc_id is not null").select(F.col("doc_id").cast("long")).distinct(), "trusted")
     held_out = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)) == 0
     fitted = trusted.where(~held_out)
     counts = scratch.save(counted(docs.join(narrow(fitted, fitted.count()), "doc_id", "left_semi")), f"counts_{ORDER}")
-    table = scratch.save(blocks(docs), "blocks")
+    table = scratch.save(blocks(docs, block_bytes), "blocks")
     shards = max(LEAST_SHARDS, -(-table.count() // SHARD_BLOCKS))
     lists = scratch.save(asked(table, shards), "asked")
     p = probabilities(counts, scratch.save(wanted(lists), f"wanted_{ORDER}"), scratch)
@@ -314,5 +332,5 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: documents that the classifier rejects go."""
     from .exact_dedup import drop_ids
 
-    found = classified(spark, docs.select("doc_id", "lang", "text"), _trusted(spark, sf_dir), Scratch(spark, "quality_stage"))
+    found = classified(spark, docs.select("doc_id", "lang", "text"), _trusted(spark, sf_dir), Scratch(spark, "quality_stage"), STAGE_BLOCK_BYTES)
     return drop_ids(docs, found.where("not kept").select("doc_id"))

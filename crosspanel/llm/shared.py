@@ -9,19 +9,26 @@ files, so no stage needs an in-memory copy.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one or two narrow columns that may be broadcast after a count (about 16 MB of payload).
 BROADCAST_ROWS = 1_000_000
+#: Rows that a Python stage gets at a time while a scratch table is written; texts and sets can be long.
+BATCH_ROWS = 1000
 #: Bytes of text that the hashing functions hold at a time.
 CHUNK_BYTES = 1 << 20
 
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -45,7 +52,12 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back: the new frame's lineage starts at the files."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(BATCH_ROWS if int(before) <= 0 else min(int(before), BATCH_ROWS)))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
@@ -61,6 +73,13 @@ class Scratch:
             return
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; Python workers are reused and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def narrow(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast only if its counted rows are few; else the join shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
