@@ -10,9 +10,11 @@ of its documents is scored. No task holds more than a block and its n-grams, or
 lists for it; nothing of the model goes to the driver.
 
 A document is kept if its bits per character lie between two language-specific limits: the LOW
-quantile of all trusted texts and the HIGH quantile of the held-out ones, each moved away from the
-median by MARGIN of their distance. Repetitive text lies below, noise above. (Texts that the model
-has seen are a little more probable, so that they belong to the lower limit, not to the upper.)
+quantile of all trusted texts and the HIGH quantile of the held-out ones. Repetitive text lies
+below, noise above. (Texts that the model has seen are a little more probable, so that they belong
+to the lower limit, not to the upper.) A mean over few characters scatters with the root of their
+number; so distances from the median are shrunk by it in texts of under FULL_CHARS characters, both
+in the quantiles and in the documents, and low and high are the limits for a text of that length.
 
 Defined results: null and white texts are not kept (no cross_entropy); a null lang is the language
 `und`; documents of a language without held-out trusted text are kept; rows that repeat a doc_id
@@ -42,7 +44,9 @@ STAGE_BLOCK_BYTES = 3 << 20
 BLOCK_LEVEL = 12
 #: Shards of the n-grams: so many at least, and one for so many blocks.
 LEAST_SHARDS, SHARD_BLOCKS = 64, 256
-LOW, HIGH, MARGIN = 0.001, 0.999, 0.25
+LOW, HIGH = 0.01, 0.98
+#: Shorter texts scatter more.
+FULL_CHARS = 500
 #: Of so many parts of the trusted texts, one is held out for the limits.
 FOLDS = 5
 
@@ -262,7 +266,7 @@ def probabilities(counts: DataFrame, wanted: DataFrame, scratch: Scratch) -> Dat
 
 def _score(texts: pa.Table, grams: pa.Table) -> pa.Table:
     """Documents of one block with their bits per character."""
-    ids, langs, bits = [], [], []
+    ids, langs, bits, chars = [], [], [], []
     if texts.num_rows:
         ids, langs, docs = _opened(texts["payload"][0].as_py())
         lists: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -287,10 +291,11 @@ def _score(texts: pa.Table, grams: pa.Table) -> pa.Table:
                 for i, s, n in zip(mine[lo : lo + len(part)], total.tolist(), counts.tolist(), strict=True):
                     bits[i] = s / n if n and s == s else None
                 lo += len(part)
-    empty = [not d for d in docs] if texts.num_rows else []
+    if texts.num_rows:
+        chars = [len(d) for d in docs]
     docs = None
     trim()
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "cross_entropy": pa.array(bits, pa.float64()), "empty": pa.array(empty, pa.bool_())})
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "cross_entropy": pa.array(bits, pa.float64()), "chars": pa.array(chars, pa.int32())})
 
 
 def classified(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -304,17 +309,26 @@ def classified(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch
     shards = max(LEAST_SHARDS, -(-table.count() // SHARD_BLOCKS))
     lists = scratch.save(asked(table, shards), "asked")
     p = probabilities(counts, scratch.save(wanted(lists), f"wanted_{ORDER}"), scratch)
+    for k in range(1, ORDER + 1):
+        for name in (f"counts_{k}", f"wanted_{k}", *([f"p_{k}"] if k < ORDER else [])):
+            scratch.drop(name)
     answers = lists.groupBy("shard").cogroup(p.groupBy("shard")).applyInArrow(_answer, "block long, lang string, grams binary, p binary")
-    scores = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, cross_entropy double, empty boolean")
+    scores = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, cross_entropy double, chars int")
     scores = scratch.save(scores, "scores")
+    for name in ("blocks", "asked", f"p_{ORDER}"):
+        scratch.drop(name)
     known = scores.join(trusted.withColumn("held_out", held_out), "doc_id").where("cross_entropy is not null")
-    share = F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH))
-    unseen = F.when(F.col("held_out"), F.col("cross_entropy"))
-    limits = known.groupBy("lang").agg(F.percentile_approx("cross_entropy", share, 10000).alias("all"), F.percentile_approx(unseen, share, 10000).alias("unseen")).where("unseen is not null")
-    away = lambda name, q: F.col(name)[1] + (1 + MARGIN) * (F.col(name)[q] - F.col(name)[1])
-    limits = scratch.save(limits.select("lang", away("all", 0).alias("low"), away("unseen", 2).alias("high")), "limits")
+    unseen = lambda x: F.when(F.col("held_out"), x)
+    quantile = lambda x, q: F.percentile_approx(x, F.lit(q), 10000)
+    shrunk = F.sqrt(F.least(F.col("chars") / F.lit(float(FULL_CHARS)), F.lit(1.0)))
+    bits = F.col("cross_entropy")
+    medians = known.groupBy("lang").agg(quantile(bits, 0.5).alias("mid"), quantile(unseen(bits), 0.5).alias("mid_unseen")).where("mid_unseen is not null")
+    medians = scratch.save(medians, "medians")
+    away = known.join(narrow(medians, medians.count()), "lang").groupBy("lang", "mid", "mid_unseen")
+    limits = scratch.save(away.agg(quantile((bits - F.col("mid")) * shrunk, LOW).alias("below"), quantile(unseen(bits - F.col("mid_unseen")) * shrunk, HIGH).alias("above")), "limits")
     out = scores.join(narrow(limits, limits.count()), "lang", "left")
-    kept = ~F.col("empty") & F.coalesce(F.col("cross_entropy").between(F.col("low"), F.col("high")), F.lit(True))
+    out = out.withColumn("low", F.col("mid") + F.try_divide(F.col("below"), shrunk)).withColumn("high", F.col("mid_unseen") + F.try_divide(F.col("above"), shrunk))
+    kept = (F.col("chars") > 0) & F.coalesce(bits.between(F.col("low"), F.col("high")), F.lit(True))
     return out.select("doc_id", "lang", "cross_entropy", F.pow(F.lit(2.0), "cross_entropy").alias("perplexity"), "low", "high", kept.alias("kept"))
 
 

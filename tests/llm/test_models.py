@@ -134,6 +134,20 @@ def test_quality_scores_equal_the_model(spark):
     assert np.mean([kept[i] for i in range(60)]) > 0.9
 
 
+def test_quality_limits_are_quantiles_that_one_odd_text_does_not_move(spark):
+    good = sentences(1, 300)
+    held = spark.range(300).where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0).orderBy("id").first().id
+    odd = "Zq!x "  # a very short trusted text that is held out
+    junk = [t.replace(" ", " | ") for t in sentences(1, 40)] + [" ".join(["Qx#" * 4, *t.split()[:40], "Zq!x" * 9]) for t in sentences(2, 40)]
+    values = [(i, odd if i == held else t) for i, t in enumerate(good)] + [(1000 + i, t) for i, t in enumerate(junk)]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in values], "doc_id long, lang string, text string").repartition(3)
+    got = {r.doc_id: r for r in classified(spark, docs, spark.createDataFrame([(i,) for i in range(300)], "doc_id long"), Scratch(spark, "t")).collect()}
+    assert got[held].cross_entropy > max(got[i].cross_entropy for i in range(300) if i != held)
+    assert not any(got[1000 + i].kept for i in range(80))
+    assert np.mean([got[i].kept for i in range(300)]) > 0.95
+    assert got[held].high > got[(held + 1) % 300].high  # a short text may scatter more
+
+
 def test_quality_without_trusted_text_keeps(spark, sf_dir, empty_dir, docs):
     assert op1_quality(spark, empty_dir).count() == 0
     none = classified(spark, docs.select("doc_id", "lang", "text"), spark.createDataFrame([], "doc_id long"), Scratch(spark, "t")).collect()
