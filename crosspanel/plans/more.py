@@ -13,7 +13,7 @@ from ..operators import fundamentals as fu
 from ..operators import portfolio as pf
 from ..operators import scores as sc
 from .characteristics import rank
-from .registry import base, query, r
+from .registry import base, query, r, rebalances
 from .relational import QUARTER_SQL, VINTAGE_SQL, _sym, _ts, quarters, vintages
 from .scores import METRIC_SQL, SPREAD_SQL, WEIGHT_SQL, CLIP_SQL, ic_sql, quality_scores, regime, spreads, weights
 
@@ -118,15 +118,17 @@ def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g3_covariances")
 def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ix, model, condition, mean variance, asymmetry) of each covariance model at some sessions."""
-    panel = base(spark, sf_dir).where("ret is not null").select("ticker", "ix", "ret")
-    at = spark.createDataFrame([(x,) for x in (150, 250, 350)], "at int")
-    rows = panel.join(F.broadcast(at), (F.col("ix") < F.col("at")) & (F.col("ix") >= F.col("at") - 104))
+    """(ix, model, condition, mean variance, asymmetry) of each covariance model at every rebalance that half a window of sessions precedes."""
+    whole = base(spark, sf_dir)
+    panel = whole.where("ret is not null").select("ticker", "ix", "ret")
+    rows = panel.join(F.broadcast(rebalances(whole)), (F.col("ix") < F.col("at")) & (F.col("ix") >= F.col("at") - 104))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot_table(index="ix", columns="ticker", values="ret").sort_index().fillna(0.0)
         x = wide.to_numpy(float)
         out = []
+        if len(x) < 52:
+            return pd.DataFrame(out, columns=["ix", "model", "condition", "variance", "symmetric"])
         for name, cov in pf.covariances(x, np.column_stack([np.ones(x.shape[1]), x.mean(0)]), 26.0).items():
             values = np.linalg.eigvalsh(cov)
             out.append((int(rows["at"].iloc[0]), name, round(float(np.log10(values[-1] / max(values[0], 1e-18))), 3), round(float(np.diag(cov).mean()), 8), bool(np.allclose(cov, cov.T))))

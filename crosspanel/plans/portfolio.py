@@ -12,7 +12,7 @@ from ..operators import cross_section as cs
 from ..operators import portfolio as pf
 from ..operators.windows import rolling_fit, zscore
 from .characteristics import z
-from .registry import base, query, r
+from .registry import base, query, r, rebalances
 
 P = small()
 
@@ -154,7 +154,8 @@ def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def optimised(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = base(spark, sf_dir)
-    rows = ch.market_beta(ch.price_momentum(panel, 27, 1), P).where("ix % 26 = 0 and momentum_z is not null").select("ix", "ticker", F.col("momentum_z").alias("score"), "beta")
+    at = F.broadcast(rebalances(panel).select(F.col("at").alias("ix")))
+    rows = ch.market_beta(ch.price_momentum(panel, 27, 1), P).join(at, "ix", "left_semi").where("momentum_z is not null").select("ix", "ticker", F.col("momentum_z").alias("score"), "beta")
     return pf.optimised_books(panel.select("ticker", "ix", "ret"), rows, P, 104)
 
 

@@ -31,6 +31,16 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_returns(weekly_panel(spark, sf_dir))
 
 
+#: Sessions from one rebalance to the next: the reference's 15 business days on a weekly panel.
+REBALANCE = 3
+
+
+def rebalances(panel: DataFrame) -> DataFrame:
+    """(at): every REBALANCE-th session from the panel's first to its last."""
+    ends = panel.agg(F.min("ix").alias("lo"), F.max("ix").alias("hi")).where("lo is not null")
+    return ends.select(F.explode(F.sequence("lo", "hi", F.lit(REBALANCE))).alias("at"))
+
+
 def r(x: Column | str, digits: int = 6) -> Column:
     """Rounded for comparison; negative zero becomes zero."""
     return F.round(F.col(x) if isinstance(x, str) else x, digits) + F.lit(0.0)

@@ -15,6 +15,7 @@ from crosspanel.operators import portfolio as pf
 from crosspanel.operators import regimes as rg
 from crosspanel.operators import scores as sc
 from crosspanel.operators import windows as wi
+from crosspanel.plans.catalog import all_queries
 from crosspanel.sources.store import Table, from_state, json_state
 from crosspanel.streaming import events as ev
 
@@ -82,6 +83,17 @@ def test_books_sum_to_one_and_caps_hold(spark):
     assert {r["count"] for r in pf.sector_capped(scores, 10, 1).groupBy("ix").count().collect()} == {10}
 
 
+def test_books_and_covariances_are_solved_at_every_rebalance(spark, tmp_path):
+    days = [datetime.date(1995, 1, 2) + datetime.timedelta(weeks=w) for w in range(7, 480)]  # later than any list of sessions
+    parts = [(k, f"Brand#{k}") for k in range(1, 8)]
+    items = [(k, float(1 + w % 5), float((1 + w % 5) * (100 + RNG.normal() * 5)), d) for w, d in enumerate(days) for k, _ in parts]
+    spark.createDataFrame(parts, "p_partkey int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(items, "l_partkey int, l_quantity double, l_extendedprice double, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name, first in (("g3_covariances", 61), ("g4_optimised_books", 61), ("g15_model_overlap", 61)):
+        got = sorted(r.ix for r in all_queries()[name](spark, str(tmp_path)).select("ix").distinct().collect())
+        assert got == [ix for ix in range(7, 480, 3) if ix >= first], (name, got[:3], got[-1])
+
+
 def test_simulation_recovers_and_ignores_order(spark):
     rets = [0.05] * 5 + [-0.06] * 6 + [0.04] * 15
     rows = spark.createDataFrame([("s", i, r, 0.3, 0.01) for i, r in enumerate(rets)], "strategy string, ix int, ret double, turnover double, hedge double").orderBy(F.desc("ix"))
