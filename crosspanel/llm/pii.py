@@ -1,8 +1,8 @@
 """Personal data by candidate generation and gradient boosting.
 
 Fixed patterns give the base spans, which always stay. High-recall generators propose further,
-overlapping spans: spelt-out addresses, national telephone numbers, bracketed or colon addresses
-of hosts and card numbers with unusual separators. Boosted trees score each proposal by its format
+overlapping spans: spelt-out addresses, telephone numbers, bracketed or colon addresses of hosts
+and card numbers, as every run of neighbouring digit groups with a fitting count of digits. Boosted trees score each proposal by its format
 and the words around it; a threshold for each kind, calibrated for precision on generated rows
 that were not trained on, selects spans, best first and of equals the longest, that overlap no other.
 
@@ -46,10 +46,15 @@ _AT = re.compile(r" ?[\[({] ?at ?[\])}] ?| at ", re.I)
 _BEFORE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,6}", re.I)
 _HOST = re.compile(r"(?<![0-9A-Za-z.:])(?:[0-9]{1,3}(?: ?[\[({](?:\.|dot)[\])}] ?[0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7})(?![0-9A-Za-z:])")
-_NUMBER = re.compile(r"(?<![0-9A-Za-z.+/-])\(?[0-9]{2,6}\)?(?:[ ./_-]{1,3}\(?[0-9]{2,6}\)?){2,5}(?![0-9A-Za-z])")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z.+/-])\(?[0-9]{2,6}\)?(?:(?:[ ./_-]{1,3}|(?<=\)))\(?[0-9]{2,6}\)?)+(?![0-9A-Za-z])")
+_GROUP = re.compile(r"\(?([0-9]+)\)?")
+_BARE = re.compile(r"(?<![0-9A-Za-z.+/-])[0-9]{10}(?![0-9A-Za-z])")
 _PLUS = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,3}(?![0-9])")
 _SOLID = re.compile(r"(?<![0-9])[0-9]{14,19}(?![0-9])")
 
+#: Digit groups beside a span.
+_LEFT, _RIGHT = re.compile(r"[0-9]\)?[ ./_-]{0,3}\Z"), re.compile(r"[ ./_-]{0,3}\(?[0-9]")
+
 #: Words around a span that speak for its kind, or against any.
 _HINTS = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write|reach|address|correo|courriel|kontakt)\b", re.I),
@@ -115,11 +120,15 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     if _DIGIT.search(text):
         out += [(m.start(), 1, m.end()) for m in _HOST.finditer(text)]
         for m in _NUMBER.finditer(text):
-            n = len(_digits(m[0]))
-            if 14 <= n <= 19:
-                out.append((m.start(), 2, m.end()))
-            if 7 <= n <= 15:
-                out.append((m.start(), 3, m.end()))
+            groups = [(g.start(), g.end(), len(g[1])) for g in _GROUP.finditer(text, m.start(), m.end())]
+            for i, (start, _, n) in enumerate(groups):
+                for _, end, more in groups[i + 1 : i + 10]:
+                    n += more
+                    if 14 <= n <= 19:
+                        out.append((start, 2, end))
+                    if 7 <= n <= 15:
+                        out.append((start, 3, end))
+        out += [(m.start(), 3, m.end()) for m in _BARE.finditer(text)]
         out += [(m.start(), 2, m.end()) for m in _SOLID.finditer(text)]
         if "+" in text:
             out += [(m.start(), 3, m.end()) for m in _PLUS.finditer(text)]
@@ -140,6 +149,7 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
     row += [float(bool(_HINTS[KINDS[kind]].search(before + " " + after))), float(bool(_HINTS[KINDS[kind]].search(before[-20:]))), float(bool(_AGAINST.search(before[-25:])))]
     row += [float(before[-1:].isalnum()), float(before[-1:] in "#$€%=/"), float(after[:1] in "%/=:"), float(bool(re.search(r"(?:com|org|net|edu|io|de|fr|es|uk)\Z", span, re.I)))]
     row += [float(span[:1] == "0"), float(span[:1] in "3456"), float(span[:1] == "+")]
+    row += [float(bool(_LEFT.search(before))), float(bool(_RIGHT.match(after))), float(groups in ([4, 4, 4, 4], [4, 6, 5], [16])), float(groups in ([3, 3, 4], [10])), float(span.count("(") != span.count(")"))]
     return row
 
 
@@ -178,18 +188,43 @@ def _generated(rows: int, seed: int) -> Iterator[tuple[str, int, int, int, bool]
     def card_span(yes: bool) -> tuple[str, str, str]:
         seps = [".", "/", "_", "  ", " - ", "", ""]
         if yes:
-            return r.choice(["card ", "visa: ", "paid with ", "credit card ", "", f"{num(4)} "]), spaced(card(), r.choice(seps)), r.choice([" ", ".", " exp"])
+            sep = r.choice([*seps, " "])
+            tail = r.choice([" ", ".", " exp", f" {num(2)}/{num(2)} ", f" {num(3)} ", f" {spaced(card(), sep or '.')} "])
+            return r.choice(["card ", "visa: ", "paid with ", "credit card ", "", f"{num(4)} ", f"card {num(4)} "]), spaced(card(), sep), tail
+        if r.random() < 0.5:  # a card with a part of its neighbour, or a part of a card with it
+            sep = r.choice([".", "/", "_", " ", "-"])
+            whole, near = spaced(card(), sep), r.choice([num(2), num(3), f"{num(2)}/{num(2)}"])
+            lead = r.choice(["card ", "visa: ", "paid with ", ""])
+            return r.choice([(lead, f"{whole} {near}", " "), (lead, f"{near} {whole}", " "), (f"{lead}{whole[:5]}", f"{whole[5:]} {num(4)}", " "), (lead, f"{num(4)} {whole[:14]}", whole[14:] + " ")])
         return r.choice(["order ", "serial ", "ref ", "", "id ", "total "]), spaced(num(16), r.choice([*seps, " ", "-"])), r.choice([" ", "."])
 
     def phone(yes: bool) -> tuple[str, str, str]:
         if yes:
             sep = r.choice([" ", "-", ".", "-"])
+            lead, tail = r.choice(["call ", "phone: ", "tel ", "tel. ", "mobile ", "fax ", "dial ", ""]), r.choice([" ", ".", ","])
+            usual = lambda: sep.join([r.choice("23456789") + num(2), num(3), num(4)])
+            shape = r.random()
+            if shape < 0.15:
+                return lead or "call ", r.choice("23456789") + num(9), tail
+            if shape < 0.3:
+                return lead, f"({num(3)}){num(3)}-{num(4)}", tail
+            if shape < 0.45:
+                return r.choice([(f"{lead}{usual()} ", usual(), tail), (lead, usual(), f" {usual()} "), (lead, usual(), f" {num(3)} ")])
             form = r.choice(["({}) {}-{}", "({}) {} {}"]).format(num(3), num(3), num(4)) if r.random() < 0.4 else sep.join([r.choice("23456789") + num(2), num(3), num(4)])
             if r.random() < 0.2:
                 form = sep.join(["0" + r.choice("123456789"), num(2), num(2), num(2), num(2)])
             elif r.random() < 0.3:
                 form = f"+{r.randint(1, 99)} {form}"
-            return r.choice(["call ", "phone: ", "tel ", "tel. ", "mobile ", "fax ", "dial ", ""]), form, r.choice([" ", ".", ","])
+            return lead, form, tail
+        shape = r.random()
+        if shape < 0.3:  # a number with a part of its neighbour, or a part of it
+            sep, lead = r.choice([" ", "-", "."]), r.choice(["call ", "phone: ", "tel ", "mobile ", ""])
+            a, b = ([r.choice("23456789") + num(2), num(3), num(4)] for _ in range(2))
+            return r.choice([(lead, f"{sep.join(a)} {b[0]}", sep + sep.join(b[1:]) + " "), (lead + a[0] + sep, f"{sep.join(a[1:])} {b[0]}", sep + sep.join(b[1:]) + " "), (lead + sep.join(a[:2]) + sep, f"{a[2]} {sep.join(b)}", " "), (lead + a[0] + sep, sep.join(a[1:]), " "), (lead, f"({a[0]}){a[1]}", f"-{a[2]} "), (lead + f"({a[0]})", f"{a[1]}-{a[2]}", " ")])
+        if shape < 0.5:  # parts of cards and dates, counts, bare ids
+            body, sep = card(), r.choice([".", " ", "-", "/", "_"])
+            cut = r.randint(0, 1)
+            return r.choice([(f"card {body[:4]}{sep}" if cut else "card ", sep.join(body[i : i + 4] for i in range(4 * cut, 4 * cut + r.choice([8, 12]), 4)), f"{sep}{body[12:]} "), (r.choice(["Copyright ", "years ", ""]), f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}", " "), (r.choice(["on ", "date ", ""]), f"{r.randint(1900, 2030)}-{num(2)}-{num(2)} {num(2)}", f":{num(2)} "), (r.choice(["order ", "id ", "serial ", "ref ", "total ", "", word(2) + " "]), num(10), " "), (r.choice(["order ", "total ", ""]), f"{num(4)} {num(4)}", " of 2020")])
         bad = [f"{r.randint(1900, 2030)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{r.randint(1900, 2030)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(2)} {num(3)} {num(3)}", f"978-{num(1)}{num(1)}-{num(4)}-{num(3)}", f"{num(4)}-{num(4)}-{num(3)}", f"{num(2)}.{num(3)}.{num(2)}", f"{num(3)} {num(3)} {num(3)}", f"{num(4)} {num(2)} {num(4)}", f"{num(5)}-{num(5)}-{num(3)}"]
         return r.choice(["date ", "order ", "", "isbn ", "page ", "since ", "total ", word(1) + " "]), r.choice(bad), r.choice([" ", ".", " eur"])
 

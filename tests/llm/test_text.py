@@ -82,6 +82,20 @@ def test_added_spans():
     assert redact_text(text, trees, limits) == "<EMAIL> <PHONE> and <IP>"
 
 
+def test_numbers_next_to_other_numbers():
+    trees, limits = pii.model()
+    for text, want in [
+        ("card 4111.1111.1111.1111 12/27", "card <CARD> 12/27"),
+        ("1234 4111.1111.1111.1111", "1234 <CARD>"),
+        ("1234 4111 1111 1111 1111", "1234 <CARD>"),
+        ("tel 555-123-4567 555-987-6543", "tel <PHONE> <PHONE>"),
+        ("call (555)123-4567 now", "call <PHONE> now"),
+        ("call 5551234567 now", "call <PHONE> now"),
+    ]:
+        assert redact_text(text, trees, limits) == want
+    assert len(pii.proposals("12 " * 20_000)) < 20 * 20_000
+
+
 def test_pii_rows(spark, tmp_path, empty_dir):
     values = [(1, "x@y.zz at 1.2.3.4", "en", "s", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (None, "é +1 555 123 4567", "en", "s", 0)]
     df = spark.createDataFrame(values, "doc_id long, text string, lang string, source string, n_chars long")
