@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .shared import Scratch
 
-EPSILON = 3.0
+EPSILON = 5.0
 #: Candidates, in k, that are scored first.
 FIRST = 4
 #: Rows in a block, on average.

@@ -13,6 +13,7 @@ from crosspanel.llm.grams import KneserNey, SortedHashes, packed, sums
 from crosspanel.llm.language_id import Identifier, identify, normal, op3_language_id, train
 from crosspanel.llm.perplexity import classified, op1_quality
 from crosspanel.llm.shared import Scratch
+from crosspanel.llm import vector_search
 from crosspanel.llm.vector_search import nearest, op4_vector_search
 
 from .conftest import rows, sentences, table
@@ -180,6 +181,13 @@ def test_vectors(spark, tmp_path, empty_dir):
     assert op4_vector_search(spark, empty_dir).count() == 0
 
 
+def test_bounds_of_estimates_hold():
+    rng = np.random.default_rng(8)
+    q, c = rng.normal(size=(100, 64)), rng.normal(size=(20_000, 64))
+    estimate, width = vector_search._bounds(q, *vector_search.encode(c), 64)
+    assert np.mean(np.abs(q @ c.T - estimate) > width) < 1e-5
+
+
 @pytest.mark.parametrize("dim", [3, 64])
 def test_few_vectors(spark, dim):
     df = spark.createDataFrame([(i, [float(i + 1)] * dim) for i in range(4)], "vec_id long, embedding array<double>")
