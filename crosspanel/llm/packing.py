@@ -21,6 +21,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,16 @@ from .shared import CHUNK_BYTES, Scratch
 
 SEQUENCE = 2048
 END_ID = 0
-#: Runs between white space whose ids a worker remembers. This only saves time.
-MEMORY_RUNS = 100_000
+#: Words in each of the two generations that a worker remembers. This only saves time.
+MEMORY_WORDS = 100_000
 #: Pieces of one length and salt, on average at most.
 SALT_ROWS = 100_000
 LEAST_SALTS = 64
 
 #: Characters whose normal form, lower case and class are the same in every library.
 SAFE = re.compile(r"[\t-\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*+")
-WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Words of safe lower-case texts.
+WORDS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff\s]+")
 BLANK = re.compile(r"\s")
 
 
@@ -58,11 +60,29 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+class Remembered(dict):
+    """Values of keys in two generations: what is asked for again moves to the young one, so that frequent keys stay."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys without a value; the others' values are in the young generation from here on."""
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        again = new.intersection(self.old)
+        self.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        return new - again
+
+
 class WordTokenizer:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The vocabulary splits texts into words that are encoded independently: the ids of frequent
-    runs between white space are remembered, new words are merged many at a time. Texts with
+    words are remembered, new words are merged many at a time. Texts with
     characters or marks that might be normalised across words go through the tokenizer whole.
     """
 
@@ -79,7 +99,7 @@ class WordTokenizer:
         self.merges = Merges(ids[:, 0], ids[:, 1], np.arange(len(ids)), ids[:, 2])
         self.inner = np.array([vocab[c] for c in byte_characters()], np.int64)
         self.final = np.array([vocab[c + model["end_of_word_suffix"]] for c in byte_characters()], np.int64)
-        self.runs: dict[str, bytes] = {}
+        self.words = Remembered(MEMORY_WORDS)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -95,33 +115,14 @@ class WordTokenizer:
         flat, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _runs(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of runs without white space, from those of their words."""
-        split = [(x,) if x.isalpha() else WORDS.findall(x) for x in runs]
-        words = list({w for x in split for w in x})
-        get = dict(zip(words, self._words(words), strict=True)).__getitem__ if words else None
-        return {x: get(y[0]) if len(y) == 1 else b"".join(map(get, y)) for x, y in zip(runs, split, strict=True)}
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; call with about CHUNK_BYTES of texts."""
-        split = [t.lower().split() if SAFE.fullmatch(t) and "<|" not in t else None for t in texts]
-        seen: set[str] = set()
-        for run in split:
-            if run is not None:
-                seen.update(run)
-        new = seen.difference(self.runs)
-        if len(self.runs) >= MEMORY_RUNS and len(new) > 0.7 * len(seen):
-            self.runs = {}
-            new = seen
-        known = self._runs(list(new))
-        if len(self.runs) < MEMORY_RUNS:
-            self.runs.update(known)
-            get = self.runs.__getitem__
-        else:
-            known.update((x, self.runs[x]) for x in seen.difference(new))
-            get = known.__getitem__
-        for t, run in zip(texts, split, strict=True):
-            yield self._ids([t])[0] if run is None else b"".join(map(get, run))
+        split = [WORDS.findall(t.lower()) if SAFE.fullmatch(t) and "<|" not in t else None for t in texts]
+        if new := list(self.words.missing(set(chain.from_iterable(words for words in split if words)))):
+            self.words.update(zip(new, self._words(new), strict=True))
+        get = self.words.__getitem__
+        for t, words in zip(texts, split, strict=True):
+            yield self._ids([t])[0] if words is None else b"".join(map(get, words))
 
     def whole(self, text: str) -> bytes:
         """Ids of a long text, taken in parts that end before white space where that is exact."""
