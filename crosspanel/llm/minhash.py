@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, chunks, mix, narrow, runs_of, trim, word_hashes
+from .shared import HASH_BYTES, Scratch, mix, narrow, runs_of, text_parts, trim, word_hashes
 
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
@@ -67,10 +67,6 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
 def _fixed(column: pa.Array, kind: str) -> np.ndarray:
     """A binary column of equally long values as a matrix."""
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
@@ -81,9 +77,8 @@ def described(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = _bytes(b.column(1))
-            for lo, hi in chunks(texts):
-                sets = shingle_sets(texts[lo:hi], words)
+            for lo, texts in text_parts(b.column(1).cast(pa.binary()), HASH_BYTES):
+                sets = shingle_sets([x or b"" for x in texts], words)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 keys = np.zeros((2, len(sets)), np.uint64)
@@ -92,7 +87,7 @@ def described(docs: DataFrame, words: int) -> DataFrame:
                     for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
                         marks[i] = row.tobytes()
                         keys[0, i], keys[1, i] = mix(sets[i]).sum(), mix(sets[i] ^ np.uint64(0x5851F42D4C957F2D)).sum()
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(sizes), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "key_a", "key_b", "signature"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(sizes), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "key_a", "key_b", "signature"])
         trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, signature binary")
@@ -142,9 +137,10 @@ def _full_sets(docs: DataFrame, ids: DataFrame, rows: int, words: int) -> DataFr
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = _bytes(b.column(1))
-            for lo, hi in chunks(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([s.tobytes() for s in shingle_sets(texts[lo:hi], words)], pa.binary())], names=["id", "members"])
+            for lo, texts in text_parts(b.column(1).cast(pa.binary()), HASH_BYTES):
+                sets = shingle_sets([x or b"" for x in texts], words)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "members"])
+        trim()
 
     return wanted.mapInArrow(sets, "id long, members binary")
 
@@ -332,7 +328,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch, word
     hubs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     best = _agreeing(hubs, vertices, percent).groupBy("b").agg(F.max(F.struct("agree", F.negative("a").alias("a"))).alias("x"))
     tried = scratch.save(best.select(F.negative("x.a").alias("a"), "b"), "tried_1")
-    none = spark.createDataFrame([], "u long, v long")
+    none = spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
     links = scratch.save(_verified(docs, tried, words, percent), "links_1")
     labels = _merged(none, links, scratch, "parts_1")
     # second round: what the first left over, against whole buckets

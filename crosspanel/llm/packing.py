@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import Merges, merge_all
-from .shared import CHUNK_BYTES, Scratch
+from .shared import CHUNK_BYTES, Scratch, trim
 
 SEQUENCE = 2048
 END_ID = 0
@@ -87,10 +87,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
@@ -101,6 +98,14 @@ class WordTokenizer:
         self.final = np.array([vocab[c + model["end_of_word_suffix"]] for c in byte_characters()], np.int64)
         self.words = Remembered(MEMORY_WORDS)
 
+    @functools.cached_property
+    def tokenizer(self):  # noqa: ANN201
+        """The library's tokenizer; workers whose texts are all safe do without."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -139,7 +144,9 @@ class WordTokenizer:
 
 @functools.cache
 def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    out = WordTokenizer(path)
+    trim()
+    return out
 
 
 def token_pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Scratch tables cut the lineage between stages. They go to the folder named by
 ``spark.checkpoint.dir`` in the session, which executors and driver share; only where the
-setting is missing (tests) a temporary folder is made. Lost executors recompute from these
+setting is missing and the master is local (tests) a temporary folder is made. Lost executors recompute from these
 files, so no stage needs an in-memory copy.
 """
 
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Rows that a Python stage gets at a time while a scratch table is written; texts and sets can be long.
 BATCH_ROWS = 1000
-#: Bytes of text that the hashing functions hold at a time.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that Python stages hold as objects at a time, and that the hashing functions turn into arrays at a time.
+CHUNK_BYTES, HASH_BYTES = 1 << 20, 1 << 18
 
 _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,13 +45,18 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="crosspanel-")
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._quietly_remove)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and reads it back: the new frame's lineage starts at the files."""
+        """Writes df and reads it back: the new frame's lineage starts at the files.
+
+        Python stages get smaller batches meanwhile; a query of another thread would, too, at no harm to its result.
+        """
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(_BATCH)
         self.spark.conf.set(_BATCH, str(BATCH_ROWS if int(before) <= 0 else min(int(before), BATCH_ROWS)))
@@ -134,8 +140,8 @@ def word_hashes(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.
 
     for i, text in enumerate(texts):
         at = 0
-        while len(text) - at > CHUNK_BYTES:
-            ends = np.flatnonzero(_WHITE[np.frombuffer(text, np.uint8, CHUNK_BYTES, at)])
+        while len(text) - at > HASH_BYTES:
+            ends = np.flatnonzero(_WHITE[np.frombuffer(text, np.uint8, HASH_BYTES, at)])
             if len(ends) and ends[-1]:
                 cut = at + int(ends[-1])
             else:  # a word that is longer than a chunk
@@ -148,7 +154,7 @@ def word_hashes(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.
         text = text[at:] if at else text
         held.append((i, text))
         size += len(text)
-        if size >= CHUNK_BYTES:
+        if size >= HASH_BYTES:
             flush()
     flush()
     return np.concatenate(out) if out else np.zeros(0, np.uint64), counts
@@ -165,7 +171,7 @@ def runs_of(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], size: int = HASH_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about size bytes."""
     begin = total = 0
     for i, t in enumerate(texts):
@@ -175,3 +181,16 @@ def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, i
             begin, total = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def text_parts(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, list]]:
+    """A text or binary column as Python objects, in parts of about size bytes: (first row, values).
+
+    A batch is bounded by Spark's bytes and rows for one; as objects it would take several times as much.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield lo, texts.slice(lo, hi - lo).to_pylist()
+        lo = hi
