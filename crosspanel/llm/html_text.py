@@ -10,29 +10,34 @@ Text: character references decoded, white space in a block turned into one space
 and joined by one line feed; a line break tag is white space. Nothing else is dropped or cut.
 
 Defined results: null, empty or text-free pages give an empty text; plain text without markup is
-one block; repeated rows give repeated rows; null ids and urls are passed on; further columns are
-ignored, whatever they are called.
+one block; an end of the page inside a tag leaves that tag as text; repeated rows give repeated
+rows; null ids and urls are passed on; further columns are ignored, whatever they are called. Time
+and memory are linear in the page, however its tags nest.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import text_parts
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
+#: What the end of the page closes.
+OPEN_END = re.compile(r"(?:<!--|<!\[CDATA\[).*\Z", re.S)
 PARTS = re.compile(r"[a-z]+|\d+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup: skipped to their end tag.
-RAW = frozenset("script style noscript template iframe textarea title svg math object noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object noembed noframes xmp annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom mfenced menclose mspace mtable mtr mtd".split())
 PARAGRAPHS = frozenset("p pre td th blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption caption address".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CUT_TAGS = frozenset("nav footer aside form button select option datalist menu dialog head link meta input canvas audio video map".split())
@@ -46,25 +51,33 @@ CUT_WORDS = frozenset(
 #: Those that are cut even where the element holds most of the page's text.
 READERS = frozenset("comment comments commentlist disqus replies respond".split())
 GOOD_WORDS = frozenset("article body content entry main page post text blog story".split())
+#: Words that may stand beside one of those in a name that tells boilerplate as a whole.
+NEUTRAL_WORDS = GOOD_WORDS | frozenset("area bar block bottom box button buttons col column container first footer form group inner item items label last left link links list module outer panel right row section site small thread title top unit wrap wrapper".split())
 
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+P_STOPS = frozenset("table td th button caption object".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 
 
 class Node:
-    __slots__ = ("tag", "words", "role", "hidden", "up", "items", "score", "chars", "linked", "links", "cut")
+    __slots__ = ("tag", "words", "whole", "role", "hidden", "up", "items", "score", "chars", "commas", "linked", "links", "headings", "mains", "inside", "cut")
 
     def __init__(self, tag: str, attributes: str, up: Node | None) -> None:
         self.tag, self.up, self.items, self.score = tag, up, [], 0.0
         self.words, self.role, self.hidden, self.cut = frozenset(), "", False, False
-        self.chars = self.linked = self.links = 0
+        self.chars = self.commas = self.linked = self.links = self.headings = self.mains = 0
+        self.whole = False  # a name that tells boilerplate as a whole
+        self.inside = up is not None and (up.inside or up.tag in ("article", "main"))
         if attributes and not attributes.isspace():
             words: list[str] = []
             for name, value in ATTRIBUTE.findall(attributes):
                 value = value.strip("\"'")
                 match name.lower():
                     case "class" | "id":
-                        words += PARTS.findall(CAMEL.sub("-", value).lower())
+                        for one in CAMEL.sub("-", value).lower().split():
+                            parts = PARTS.findall(one)
+                            words += parts
+                            self.whole |= not CUT_WORDS.isdisjoint(parts) and all(x in CUT_WORDS or x in NEUTRAL_WORDS or x.isdigit() for x in parts)
                     case "role":
                         self.role = value.lower().strip()
                     case "hidden":
@@ -79,71 +92,68 @@ class Node:
 def parse(page: str) -> Node:
     """The tree of a page; text items are decoded."""
     root = Node("#root", "", None)
-    stack, opened = [root], Counter()
+    stack, places, not_inline = [root], defaultdict(list), [0]
+    lost: set[str] = set()  # tags without a further end tag
     at, size = 0, len(page)
+    last = page.rfind(">")
 
-    def close(count: int) -> None:
-        for _ in range(count):
-            opened[stack.pop().tag] -= 1
+    def close(to: int) -> None:
+        """Closes the elements from the place to on."""
+        while len(stack) > to:
+            places[stack.pop().tag].pop()
+        while not_inline[-1] >= to:
+            not_inline.pop()
 
-    def depth(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str] = frozenset()) -> int:
-        """How many elements to close for the innermost of tags; 0 if there is none before stop."""
-        for n in range(1, len(stack)):
-            tag = stack[-n].tag
-            if tag in tags:
-                return n
-            if tag in stop:
-                return 0
-        return 0
+    def innermost(tags: set[str] | frozenset[str]) -> int:
+        """The place of the innermost open element of tags, or 0."""
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     while at < size:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last + 1) if at <= last else None
+        if m is None or m[0].startswith("<!--") and not m[0].endswith("-->") or m[0].startswith("<![CDATA[") and not m[0].endswith("]]>"):
+            m = OPEN_END.search(page, at if m is None else m.start())
         begin = m.start() if m else size
         if begin > at:
             stack[-1].items.append(html.unescape(page[at:begin]))
         if not m:
             break
         at = m.end()
-        shut, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        shut, name, attributes = ("", "", "") if m.re is OPEN_END else (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not name:
             if page.startswith("<![CDATA[", begin):
                 stack[-1].items.append(page[begin + 9 : at].removesuffix("]]>"))
             continue
         tag = name.lower()
         if shut:
-            if opened[tag] > 0:
-                if tag in INLINE:
-                    n = 0
-                    for k in range(1, len(stack)):
-                        if stack[-k].tag == tag:
-                            n = k
-                            break
-                        if stack[-k].tag not in INLINE:
-                            break
-                    close(n)
-                else:
-                    close(depth({tag}))
+            if places[tag]:
+                to = places[tag][-1]
+                if tag not in INLINE or to > not_inline[-1]:
+                    close(to)
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+                end = None if tag in lost else re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 if end:
                     gt = page.find(">", end.start())
                     at = gt + 1 if gt >= 0 else size
-                elif tag in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"):
-                    at = size
+                else:
+                    lost.add(tag)
+                    if tag in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"):
+                        at = size
             continue
-        if tag in CLOSES_P and opened["p"] > 0:
-            close(depth({"p"}, {"table", "td", "th", "button", "caption", "object"}))
+        if tag in CLOSES_P and (to := innermost({"p"})) > innermost(P_STOPS):
+            close(to)
         if tag in CLOSES:
             inside, stop = CLOSES[tag]
-            while any(opened[x] > 0 for x in inside) and (n := depth(inside, stop)):
-                close(n)
+            while (to := innermost(inside)) > innermost(stop):
+                close(to)
         node = Node(tag, attributes, stack[-1])
         stack[-1].items.append(node)
         if tag not in VOID and not (attributes.endswith("/") and tag in INLINE):
+            if tag not in INLINE:
+                not_inline.append(len(stack))
+            places[tag].append(len(stack))
             stack.append(node)
-            opened[tag] += 1
     return root
 
 
@@ -159,16 +169,25 @@ def _order(root: Node) -> list[Node]:
 
 
 def _measure(nodes: list[Node]) -> None:
+    """Sums over each node's subtree; parents come first."""
     for n in nodes:
-        n.chars = n.linked = n.links = 0
+        n.chars = n.commas = n.linked = n.links = n.headings = n.mains = 0
     for n in reversed(nodes):
-        n.chars += sum(len(" ".join(x.split())) for x in n.items if type(x) is str)
+        for x in n.items:
+            if type(x) is str:
+                n.chars += len(" ".join(x.split()))
+                n.commas += x.count(",")
         if n.tag == "a":
             n.linked, n.links = n.chars, 1
+        n.headings += n.tag in HEADINGS
+        n.mains += n.tag in ("article", "main") and not n.words & READERS
         if n.up:
             n.up.chars += n.chars
+            n.up.commas += n.commas
             n.up.linked += n.linked
             n.up.links += n.links
+            n.up.headings += n.headings
+            n.up.mains += n.mains
 
 
 def _cut(root: Node) -> None:
@@ -187,15 +206,18 @@ def _cut(root: Node) -> None:
         if n.tag in ("#root", "html", "body", "article", "main"):
             continue
         if n.hidden or n.tag in CUT_TAGS or n.role in CUT_ROLES:
-            n.cut = n.hidden or n.tag != "form" or n not in core
+            # a form around the page is no form of the article
+            n.cut = n.hidden or n.tag != "form" or n not in core and n.chars < 0.5 * whole
         elif n.tag == "header":
-            n.cut = not any(x.tag in HEADINGS for x in _order(n)) or not _inside(n, "article", "main")
+            n.cut = not n.headings or not n.inside
             if not n.cut:
                 for x in n.items:
-                    if type(x) is Node and x.tag not in HEADINGS and not any(y.tag in HEADINGS for y in _order(x)):
+                    if type(x) is Node and not x.headings:
                         x.cut = True
         elif n.tag not in HEADINGS and n.tag not in INLINE | {"p"} and n.words & CUT_WORDS or n.tag in ("p", "span", "a") and n.words & CUT_WORDS and not n.words & GOOD_WORDS:
-            n.cut = bool(n.words & READERS) and not any(x.tag in ("article", "main") and not x.words & READERS for x in _order(n)) or n not in core and n.chars < 0.5 * whole
+            if n.inside and not n.whole and n.linked < 0.5 * n.chars:
+                continue  # such as related-work or copyright-law
+            n.cut = bool(n.words & READERS) and n.mains == (n.tag in ("article", "main") and not n.words & READERS) or n not in core and n.chars < 0.5 * whole
     # elements that only hold links, such as menus without a telling name
     nodes = _order(root)
     _measure(nodes)
@@ -204,21 +226,12 @@ def _cut(root: Node) -> None:
             n.cut = True
 
 
-def _inside(n: Node, *tags: str) -> bool:
-    while n.up is not None:
-        n = n.up
-        if n.tag in tags:
-            return True
-    return False
-
-
 def _best(root: Node, nodes: list[Node]) -> Node:
     """The container with most points; see the module's text."""
     for n in nodes:
         own = sum(len(x.strip()) for x in n.items if type(x) is str)
         if n.chars and (n.tag in PARAGRAPHS or n.tag not in INLINE and own and n.tag not in ("#root", "html", "body")):
-            text = blocks([n])
-            points = (1 + text.count(",") + min(len(text) / 100, 3)) * min(1, len(text) / 25)
+            points = (1 + n.commas + min(n.chars / 100, 3)) * min(1, n.chars / 25)
             points *= 1 - n.linked / n.chars
             up, level = n.up if n.tag in PARAGRAPHS else n, 1
             while up is not None and up.up is not None and level <= 5:
@@ -240,7 +253,7 @@ def _kept(best: Node) -> list[Node]:
     while up is not None and up.tag not in ("article", "main"):
         up = up.up
     if up is not None:
-        while up.tag == "article" and _inside(up, "article"):
+        while up.tag == "article" and up.inside:
             up = up.up
         return [up]
     if best.up is None or best.tag in ("body", "html"):
@@ -273,7 +286,7 @@ def blocks(nodes: list[Node]) -> str:
         elif type(x) is str:
             line.append(x)
         elif not x.cut:
-            if x.tag == "br" or x.tag == "img":
+            if x.tag == "br":
                 line.append(" ")
             elif x.tag in INLINE:
                 todo.extend(reversed(x.items))
@@ -301,8 +314,9 @@ def extract(docs: DataFrame, *, text: str = "html", keep: tuple[str, ...] = ("pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [main_text(x.as_py()) for x in b.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=[*keep, "text", "n_chars"])
+            for lo, pages in text_parts(b.column(len(keep))):
+                out = [main_text(x) for x in pages]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, len(out)) for c in b.columns[: len(keep)]), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=[*keep, "text", "n_chars"])
 
     chosen = docs.select(*keep, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
