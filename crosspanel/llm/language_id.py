@@ -2,23 +2,28 @@
 
 For each language an interpolated modified Kneser-Ney model of character 4-grams is fitted on the
 driver to a sample of labelled texts of about TRAIN_BYTES bytes (the documented bound: texts are
-drawn whole by a hash of their id, in proportion to the bytes there are). Letters are lower-cased,
-everything else becomes single spaces. The models' log probabilities of all sampled n-grams are
-one matrix over a sorted hash array, which tasks look up; other n-grams back off.
+drawn whole by a hash of their id, in proportion to the bytes there are, and one at least). Letters
+are lower-cased, everything else becomes single spaces. The models' log probabilities of all
+sampled n-grams are one matrix over a sorted hash array, which tasks look up; other n-grams back
+off.
 
 A text gets the language of the lowest cross-entropy per character. Its score is the probability
-that this is right, by Platt scaling of the gap to the second best on further labelled texts;
-rejected marks texts whose cross-entropy is beyond what REJECT of those texts of the language
-reach. Language, source and id are never inputs.
+that this is right, by Platt scaling of the gap to the second best on texts that the models have
+not seen: of each language's texts the share HELD_OUT, by the hash, is only for calibration
+(CALIBRATE_BYTES of it at most). rejected marks texts whose cross-entropy is beyond what REJECT of
+those texts of the language reach. Language, source and id are never inputs.
 
 Defined results: null texts and texts without letters are `und` with score 0; without any labelled
-text all are `und`; ties go to the first language in sorted order; repeated rows give repeated
-rows; null ids are passed on (held_out null); further columns are ignored.
+text all are `und`; ties go to the first language in sorted order; a language none of whose texts
+is left for calibration never rejects; texts are taken whole, long ones in parts that keep their
+context; repeated rows give repeated rows; null ids are passed on (held_out null); further columns
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,30 +33,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grams import KneserNey, ORDER, SortedHashes, WIDTH, packed, sums
-from .shared import CHUNK_BYTES
+from .shared import CHUNK_BYTES, text_parts
 
+_BLANK = re.compile(r"\s")
 #: Bytes of sampled text a language, for the models and again for calibration.
 TRAIN_BYTES = 3_000_000
 CALIBRATE_BYTES = 600_000
+#: Share of each language's texts that only calibrate.
+HELD_OUT = 0.1
+#: Characters of a long text that are scored at a time.
+PART_CHARS = 1 << 18
 #: Share of calibration texts of a language whose cross-entropy is accepted.
 REJECT = 0.995
 
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """For each character of the basic plane: 2 a letter, 1 a mark, 0 else; the last entry is for all beyond."""
-    return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x10000)] + [2], np.uint8)
+    """For each character: 2 a letter, 1 a mark, 0 else."""
+    return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
 
 
-def normal(text: str) -> str:
-    """Lower-case letters with single spaces for everything else; empty if there is no letter."""
-    raw = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    kind = _letters()[np.minimum(raw, 0x10000)]
-    if not (kind == 2).any():
-        return ""
+def _normal_part(text: str) -> tuple[str, bool]:
+    raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _letters()[raw]
     word = kind > 0
     keep = word | np.concatenate(([False], word[:-1]))
-    return np.where(word, raw, 32)[keep].astype("<u4").tobytes().decode("utf-32-le")
+    return np.where(word, raw, 32)[keep].astype("<u4").tobytes().decode("utf-32-le"), bool((kind == 2).any())
+
+
+def normal(text: str) -> str:
+    """Lower-case letters with single spaces for everything else; empty if there is no letter. Long texts are cut after white space."""
+    parts, letters, at = [], False, 0
+    while at < len(text):
+        m = _BLANK.search(text, at + PART_CHARS) if at + PART_CHARS < len(text) else None
+        end = m.end() if m else len(text)
+        part, some = _normal_part(text[at:end])
+        parts.append(part)
+        letters |= some
+        at = end
+    return "".join(parts) if letters else ""
 
 
 class Identifier:
@@ -86,8 +106,16 @@ class Identifier:
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character of normal texts under each language, and the numbers of characters."""
-        grams, counts = packed(texts)
-        return -sums(self._log(grams), counts) / np.maximum(counts, 1)[:, None], counts
+        total, counts = np.zeros((len(texts), len(self.languages))), np.array([len(t) for t in texts], np.int64)
+        short = np.flatnonzero(counts <= PART_CHARS)
+        grams, n = packed([texts[i] for i in short])
+        total[short] = sums(self._log(grams), n)
+        for i in np.flatnonzero(counts > PART_CHARS):
+            for lo in range(0, len(texts[i]), PART_CHARS):
+                before = min(lo, ORDER - 1)
+                grams, _ = packed([texts[i][lo - before : lo + PART_CHARS]])
+                total[i] += self._log(grams[before:]).sum(0, dtype=np.float64)
+        return -total / np.maximum(counts, 1)[:, None], counts
 
     def gap(self, entropies: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Bits between the best and the second best, damped for short texts."""
@@ -130,15 +158,29 @@ class Identifier:
         return ["und" if e else self.languages[b] for b, e in zip(best, none, strict=True)], np.where(none, 0.0, score), np.where(none, np.nan, least), none | (least > self.limit[best])
 
 
-def _sampled(docs: DataFrame, wanted: int, skip: int) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
-    """Whole labelled texts in the range of a hash of the id that holds about the wanted bytes of each language."""
-    sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
-    share = {r["lang"]: (skip / max(r["bytes"], 1), (skip + wanted) / max(r["bytes"], 1)) for r in sizes}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+def _draw():  # noqa: ANN202
+    return F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def _sampled(docs: DataFrame, shares: dict[str, tuple[float, float]]) -> DataFrame:
+    """Whole labelled texts whose hash of the id is in their language's range."""
     within = F.lit(False)
-    for lang, (low, high) in share.items():
-        within |= (F.col("lang") == lang) & (draw >= low) & (draw < high)
-    return docs.where(within), share
+    for lang, (low, high) in shares.items():
+        within |= (F.col("lang") == lang) & (_draw() >= low) & (_draw() < high)
+    return docs.where(within)
+
+
+def _shares(docs: DataFrame) -> tuple[dict[str, tuple[float, float]], dict[str, tuple[float, float]]]:
+    """Ranges of the hash of each language's texts for the models, and for their calibration; a row a language goes to the driver."""
+    first = F.min(F.when(_draw() >= HELD_OUT, _draw()))
+    sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), first.alias("first")).collect()
+    fitted, held = {}, {}
+    for lang, size, least in sizes:
+        size = max(size, 1)
+        held[lang] = 0.0, min(HELD_OUT, CALIBRATE_BYTES / size)
+        # one text at least; all, if there are none beyond those for calibration
+        fitted[lang] = (HELD_OUT, max(HELD_OUT + TRAIN_BYTES / size, least + 2.0**-30)) if least is not None else (0.0, 1.0)
+    return fitted, held
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -146,12 +188,13 @@ def _counted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(normal(text))
-            for lang, texts in by.items():
-                grams, n = np.unique(packed(texts)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            for lo, texts in text_parts(b.column(1)):
+                by: dict[str, list[str]] = {}
+                for lang, text in zip(b.column(0).slice(lo, len(texts)).to_pylist(), texts, strict=True):
+                    by.setdefault(lang, []).append(normal(text))
+                for lang, own in by.items():
+                    grams, n = np.unique(packed(own)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -159,8 +202,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> Identifier:
     """An identifier from labelled rows (doc_id, lang, text)."""
     docs = docs.where("lang is not null and text is not null and doc_id is not null")
-    sample, share = _sampled(docs, TRAIN_BYTES, 0)
-    counted = _counted(sample).orderBy("lang", "gram").toArrow()
+    fitted, held = _shares(docs)
+    counted = _counted(_sampled(docs, fitted)).orderBy("lang", "gram").toArrow()
     langs = counted["lang"].combine_chunks().dictionary_encode()
     grams, n, of = counted["gram"].to_numpy().view(np.uint64), counted["n"].to_numpy(), langs.indices.to_numpy()
     names = langs.dictionary.to_pylist()
@@ -172,11 +215,9 @@ def train(docs: DataFrame) -> Identifier:
     if not names:
         return Identifier([], [])
     out = Identifier(names, models)
-    # texts that the models have not seen where there are more than the sample; else the same ones
-    few = any(high > 1 for _, high in share.values())
-    held = _sampled(docs, CALIBRATE_BYTES, 0 if few else TRAIN_BYTES)[0].select("lang", "text").toArrow()
-    texts = [normal(t) for t in held["text"].to_pylist()]
-    out.calibrate(texts, held["lang"].to_pylist())
+    unseen = _sampled(docs, held).select("lang", "text").toArrow()  # bounded by CALIBRATE_BYTES a language and one text
+    texts = [normal(t) for t in unseen["text"].to_pylist()]
+    out.calibrate(texts, unseen["lang"].to_pylist())
     return out
 
 
@@ -188,17 +229,11 @@ def identify(spark: SparkSession, docs: DataFrame, model: Identifier) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            texts = b.column(len(kept))
-            lo = 0
-            while lo < b.num_rows:
-                part, size = [], 0
-                while lo + len(part) < b.num_rows and size < CHUNK_BYTES // 2:
-                    part.append(texts[lo + len(part)].as_py() or "")
-                    size += len(part[-1])
+            for lo, texts in text_parts(b.column(len(kept)), CHUNK_BYTES // 2):
+                part = [t or "" for t in texts]
                 lang, score, bits, bad = model.predict(part)
                 found = [pa.array(lang, pa.string()), pa.array(score), pa.array(bits, mask=np.isnan(bits)), pa.array(bad)]
                 yield pa.RecordBatch.from_arrays([c.slice(lo, len(part)) for c in b.columns[: len(kept)]] + found, names=[*kept, "lang_pred", "score", "cross_entropy", "rejected"])
-                lo += len(part)
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields[:-1])
     return docs.mapInArrow(run, schema + "lang_pred string, score double, cross_entropy double, rejected boolean")
