@@ -113,7 +113,7 @@ def _screen(fresh: pa.Table, filters: pa.Table) -> pa.Table:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    return docs.select("doc_id", digest_of("text").alias("digest"))
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -186,12 +186,38 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the largest doc_id stays."""
-    groups = exact_groups(spark, docs.select("doc_id", "text"), midpoint(docs), Scratch(spark, "exact_stage"))
-    gone = groups.where("not (doc_id <=> keep_id)").select("doc_id")
-    return drop_ids(docs, gone)
-
-
-def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids of gone; these are broadcast only if counted to be few."""
-    return docs.join(narrow(gone.distinct(), gone.count()), "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: of equal texts one row with the largest doc_id stays.
+
+    Rows are told apart by doc_id and text: of identical rows one stays, of a doc_id with several
+    texts each may. A row with a null doc_id stays only if no row of its text has an id.
+    """
+    scratch = Scratch(spark, "exact_stage")
+    groups = scratch.save(exact_groups(spark, docs.select("doc_id", "text"), midpoint(docs), scratch), "rows")
+    gone = groups.where("not (doc_id <=> keep_id)").select("doc_id", "digest")
+    again = groups.where("doc_id <=> keep_id").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = scratch.save(again, "again")
+    kept = drop_rows(docs, gone, digest_of("text"), scratch)
+    n = again.count()
+    if not n:
+        return kept
+    mark, other = free_names(docs, 2)
+    seen = kept.withColumn(mark, digest_of("text")).join(narrow(again.toDF(other, f"{other}_of"), n), F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(mark) == F.col(f"{other}_of")), "left")
+    once = seen.where(F.col(f"{other}_of").isNotNull()).dropDuplicates(["doc_id", mark])
+    return seen.where(F.col(f"{other}_of").isNull()).union(once).select(docs.columns)
+
+
+def free_names(docs: DataFrame, n: int) -> list[str]:
+    """Names that no column of docs begins with."""
+    return [f"{'_' * (1 + max(map(len, docs.columns)))}{i}" for i in range(n)]
+
+
+def digest_of(text: str):  # noqa: ANN201
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, mark, scratch: Scratch) -> DataFrame:  # noqa: ANN001
+    """docs without the rows whose doc_id (null-safe) and mark gone has; these are broadcast only if counted to be few."""
+    own, other = free_names(docs, 2)
+    gone = scratch.save(gone.toDF(other, f"{other}_of").distinct(), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(own) == F.col(f"{other}_of"))
+    return docs.withColumn(own, mark).join(narrow(gone, gone.count()), same, "left_anti").select(docs.columns)

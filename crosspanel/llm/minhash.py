@@ -19,8 +19,9 @@ A bucket therefore costs its size times the vertices that the first round left o
 fixed size, and emits at most one row a member, never its pairs.
 
 Defined results: null texts and texts without words have an empty set and no links; a null doc_id
-is a vertex of its own (component_id null, kept); rows that repeat a doc_id are one vertex;
-further columns are ignored; an empty table gives no rows.
+is a vertex of its own (component_id null, kept); rows that repeat a doc_id are one vertex, linked
+with all that any of their texts is linked with; further columns are ignored, whatever they are
+called; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ ROWS = HASHES // BANDS
 #: Shared minima of 128 that a pair of similarity 0.8 has but for 3 in 100,000.
 AGREE = 84
 BLOCK = 256
+#: Partners that are held against one copy of a hub's set, on average.
+PARTNERS = 1000
 
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,18 +157,34 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. pairs must be a written table."""
+    """The pairs (a, b) whose full sets are similar enough. pairs must be a written table.
+
+    The set of a goes once to each block of about PARTNERS of its partners.
+    """
     ids = pairs.select("a").union(pairs.select("b")).distinct()
     full = _full_sets(docs, ids, 2 * pairs.count(), words)
-    joined = pairs.select("a", "b").join(full.toDF("b", "m_b"), "b").join(full.toDF("a", "m_a"), "a").select("a", "b", "m_a", "m_b")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
+    left = full.join(parts, F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("side"), "id", "members")
+    right = full.join(pairs.select("a", F.col("b").alias("id")), "id").join(parts, "a")
+    right = right.select("a", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("i"), F.lit(1).alias("side"), "id", "members")
+    rows = left.union(right).repartition("a", "i").sortWithinPartitions("a", "i", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hubs: list[np.ndarray] = []  # texts of a, one but for repeated ids
+        last = -1
         for b in batches:
-            ok = [_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = []
+            for side, members in zip(b.column(2).to_pylist(), b.column(4), strict=True):
+                own = np.frombuffer(members.as_py(), np.uint64)
+                if side == 0:
+                    hubs = [*hubs, own] if last == 0 else [own]
+                ok.append(side == 1 and any(_similar(own, h, percent) for h in hubs))
+                last = side
+            found = b.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(3)], names=["a", "b"])
         trim()
 
-    return joined.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _open(members: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -320,7 +339,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch, word
     groups = rows.where("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("id"))
     groups = scratch.save(groups, "groups")
     first = rows.where("signature is not null").join(groups.select(F.col("id").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"], "left_semi")
-    vertices = scratch.save(first.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature"), "vertices")
+    vertices = scratch.save(first.dropDuplicates(["doc_id", "key_a", "key_b"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature"), "vertices")
     all_buckets = _buckets(vertices)
     shared = all_buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1").drop("n")
     members = scratch.save(all_buckets.join(shared, "bucket"), "members")
@@ -335,10 +354,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch, word
     marked = scratch.save(_marked(members, labels, vertices, percent, scratch), "marked")
     links = scratch.save(_linked(docs, marked, labels, vertices, words, percent, scratch), "links_2")
     labels = _merged(labels, links, scratch, "parts_2")
-    out = rows.select("doc_id", "n_shingles", "key_a", "key_b").join(groups.drop("n_shingles"), ["key_a", "key_b"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).alias("id"))
-    out = out.join(labels.toDF("id", "root"), "id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "id", "doc_id")).alias("component_id"))
+    # rows without a set, which may be very many, meet no others
+    named = "n_shingles > 0 and doc_id is not null"
+    out = rows.where(named).select("doc_id", "n_shingles", "key_a", "key_b").join(groups.drop("n_shingles"), ["key_a", "key_b"])
+    out = out.select("doc_id", "n_shingles", "id").join(labels.toDF("id", "root"), "id", "left")
+    alone = rows.where(f"not ({named})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("root", "id").alias("component_id")).union(alone)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,8 +370,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near duplicates (five words, 0.8) the smallest doc_id stays."""
-    from .exact_dedup import drop_ids
+    """Pipeline stage: of each component of near duplicates (five words, 0.8) the smallest doc_id stays.
 
-    out = near_duplicates(spark, docs.select("doc_id", "text"), Scratch(spark, "near_stage"))
-    return drop_ids(docs, out.where("component_id <> doc_id").select("doc_id"))
+    All rows of a doc_id stay or go together; rows with a null doc_id and rows without words stay.
+    """
+    scratch = Scratch(spark, "near_stage")
+    out = near_duplicates(spark, docs.select("doc_id", "text"), scratch)
+    gone = scratch.save(out.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(narrow(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)

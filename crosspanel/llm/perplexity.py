@@ -140,43 +140,44 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, payload): the documents (doc_id, lang, text), compressed."""
+    """(block, payload): the documents (doc_id, lang, text, mark), compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, langs, texts, size = [], [], [], 0
+        ids, langs, texts, marks, size = [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            head = json.dumps([ids, langs, [len(t) for t in texts]]).encode()
+            head = json.dumps([ids, langs, marks, [len(t) for t in texts]]).encode()
             raw = len(head).to_bytes(8, "little") + head + "".join(texts).encode()
             return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(62)], pa.int64()), pa.array([zstandard.ZstdCompressor(level=BLOCK_LEVEL).compress(raw)], pa.binary())], names=["block", "payload"])
 
         for b in batches:
-            for doc, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for doc, lang, text, mark in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 ids.append(doc)
                 langs.append(lang)
+                marks.append(mark)
                 texts.append(_plain(text.as_py()))
                 size += len(texts[-1])
                 if size >= block_bytes:
                     yield block()
-                    ids, langs, texts, size = [], [], [], 0
+                    ids, langs, texts, marks, size = [], [], [], [], 0
         if ids:
             yield block()
-        del ids, langs, texts
+        del ids, langs, texts, marks
         trim()
 
     return docs.mapInArrow(run, "block long, payload binary")
 
 
-def _opened(payload: bytes) -> tuple[list, list[str], list[str]]:
+def _opened(payload: bytes) -> tuple[list, list[str], list[int], list[str]]:
     raw = zstandard.ZstdDecompressor().decompress(payload)
     cut = 8 + int.from_bytes(raw[:8], "little")
-    ids, langs, lens = json.loads(raw[8:cut])
+    ids, langs, marks, lens = json.loads(raw[8:cut])
     whole, texts, at = str(memoryview(raw)[cut:], "utf-8"), [], 0
     del raw
     for n in lens:
         texts.append(whole[at : at + n])
         at += n
-    return ids, langs, texts
+    return ids, langs, marks, texts
 
 
 def asked(table: DataFrame, shards: int) -> DataFrame:
@@ -185,7 +186,7 @@ def asked(table: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, payload in zip(b.column(0), b.column(1), strict=True):
-                _, langs, texts = _opened(payload.as_py())
+                _, langs, _, texts = _opened(payload.as_py())
                 for lang, (grams, _) in _distinct(langs, texts).items():
                     of = (mix(grams) % np.uint64(shards)).astype(np.int64)
                     lists = [(k, _pack(own)) for k in range(shards) if len(own := grams[of == k])]
@@ -266,9 +267,9 @@ def probabilities(counts: DataFrame, wanted: DataFrame, scratch: Scratch) -> Dat
 
 def _score(texts: pa.Table, grams: pa.Table) -> pa.Table:
     """Documents of one block with their bits per character."""
-    ids, langs, bits, chars = [], [], [], []
+    ids, langs, marks, bits, chars = [], [], [], [], []
     if texts.num_rows:
-        ids, langs, docs = _opened(texts["payload"][0].as_py())
+        ids, langs, marks, docs = _opened(texts["payload"][0].as_py())
         lists: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for lang, keys, p in zip(*(grams[c].to_pylist() for c in ("lang", "grams", "p")), strict=True):
             lists.setdefault(lang, []).append((_unpack(keys), _expand(p, "<f4")))
@@ -295,12 +296,13 @@ def _score(texts: pa.Table, grams: pa.Table) -> pa.Table:
         chars = [len(d) for d in docs]
     docs = None
     trim()
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "cross_entropy": pa.array(bits, pa.float64()), "chars": pa.array(chars, pa.int32())})
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "mark": pa.array(marks, pa.int64()), "cross_entropy": pa.array(bits, pa.float64()), "chars": pa.array(chars, pa.int32())})
 
 
 def classified(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, lang, cross_entropy, perplexity, low, high, kept) of every row of docs (doc_id, lang, text); trusted holds ids."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    """(doc_id, lang, cross_entropy, perplexity, low, high, kept, mark) of every row of docs (doc_id, lang, text and, if wanted, a mark); trusted holds ids."""
+    mark = F.col("mark") if "mark" in docs.columns else F.lit(0)
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("und")).alias("lang"), "text", mark.cast("long").alias("mark"))
     trusted = scratch.save(trusted.where("doc_id is not null").select(F.col("doc_id").cast("long")).distinct(), "trusted")
     held_out = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)) == 0
     fitted = trusted.where(~held_out)
@@ -313,7 +315,7 @@ def classified(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch
         for name in (f"counts_{k}", f"wanted_{k}", *([f"p_{k}"] if k < ORDER else [])):
             scratch.drop(name)
     answers = lists.groupBy("shard").cogroup(p.groupBy("shard")).applyInArrow(_answer, "block long, lang string, grams binary, p binary")
-    scores = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, cross_entropy double, chars int")
+    scores = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, mark long, cross_entropy double, chars int")
     scores = scratch.save(scores, "scores")
     for name in ("blocks", "asked", f"p_{ORDER}"):
         scratch.drop(name)
@@ -329,7 +331,7 @@ def classified(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch
     out = scores.join(narrow(limits, limits.count()), "lang", "left")
     out = out.withColumn("low", F.col("mid") + F.try_divide(F.col("below"), shrunk)).withColumn("high", F.col("mid_unseen") + F.try_divide(F.col("above"), shrunk))
     kept = (F.col("chars") > 0) & F.coalesce(bits.between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select("doc_id", "lang", "cross_entropy", F.pow(F.lit(2.0), "cross_entropy").alias("perplexity"), "low", "high", kept.alias("kept"))
+    return out.select("doc_id", "lang", "cross_entropy", F.pow(F.lit(2.0), "cross_entropy").alias("perplexity"), "low", "high", kept.alias("kept"), "mark")
 
 
 def _trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,12 +341,17 @@ def _trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by its perplexity; text that is labelled as good is trusted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    return classified(spark, docs, _trusted(spark, sf_dir), Scratch(spark, "quality"))
+    return classified(spark, docs, _trusted(spark, sf_dir), Scratch(spark, "quality")).drop("mark")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
-    from .exact_dedup import drop_ids
+    """Pipeline stage: documents that the classifier rejects go.
 
-    found = classified(spark, docs.select("doc_id", "lang", "text"), _trusted(spark, sf_dir), Scratch(spark, "quality_stage"), STAGE_BLOCK_BYTES)
-    return drop_ids(docs, found.where("not kept").select("doc_id"))
+    Rows are told apart by doc_id (null or not) and text, so that a row goes only for its own text.
+    """
+    from .exact_dedup import drop_rows
+
+    scratch = Scratch(spark, "quality_stage")
+    mark = F.xxhash64(F.col("text"), F.coalesce("lang", F.lit("und")))
+    found = classified(spark, docs.select("doc_id", "lang", "text", mark.alias("mark")), _trusted(spark, sf_dir), scratch, STAGE_BLOCK_BYTES)
+    return drop_rows(docs, found.where("not kept").select("doc_id", "mark"), mark, scratch)

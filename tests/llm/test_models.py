@@ -184,7 +184,7 @@ def test_vectors(spark, tmp_path, empty_dir):
 def test_bounds_of_estimates_hold():
     rng = np.random.default_rng(8)
     q, c = rng.normal(size=(100, 64)), rng.normal(size=(20_000, 64))
-    estimate, width = vector_search._bounds(q, *vector_search.encode(c), 64)
+    estimate, width = vector_search.bounds(q, *vector_search.encode(c))
     assert np.mean(np.abs(q @ c.T - estimate) > width) < 1e-5
 
 
