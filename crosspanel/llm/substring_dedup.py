@@ -1,8 +1,8 @@
 """Repeated passages by a log-structured index of window fingerprints.
 
-Every run of WINDOW consecutive words of a document is a window with a 56-bit fingerprint; the
-fingerprint's top bits choose its shard. The index of a shard is a list of immutable runs, each
-sorted by fingerprint with the first document and place that held it. A batch is added so:
+Every run of WINDOW consecutive words of a document is a window with a 64-bit fingerprint, whose
+top bits choose its shard. The index of a shard is a list of immutable runs, each sorted by
+fingerprint with the first document and place that held it. A batch is added so:
 
 * map tasks sort the windows of a block of documents. A window that a smaller doc_id of the block
   holds too is a hit at once and goes no further, so that a passage of very many documents reaches
@@ -13,12 +13,16 @@ sorted by fingerprint with the first document and place that held it. A batch is
   on both sides must be equal;
 * when a shard has more than MAX_RUNS runs they are compacted into one.
 
+A passage that fails its check has a window whose fingerprint another, earlier window has too. Its
+true earlier holder may be masked; so the windows of failed passages are looked up again among all
+windows of the same fingerprints, by 128-bit digests of their words.
+
 Batches must come in the order of doc_id for "smaller doc_id" to hold across them.
 
 Defined results: null texts have no words; a row with a null doc_id neither loses words nor makes
 others lose any; rows that repeat a doc_id must have equal texts and get equal results; a passage
-repeated within one document only is not removed; further columns are ignored; an empty table
-gives no rows.
+repeated within one document only is not removed; further columns are ignored, whatever they are
+called; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,16 +36,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, chunks, mix, narrow, runs_of, word_hashes
+from .shared import BROADCAST_ROWS, HASH_BYTES, Scratch, mix, narrow, runs_of, text_parts, trim, word_hashes
 
 WINDOW = 13
-#: Bits of a fingerprint.
-BITS = 56
+#: Bits of a fingerprint that count; fewer in tests of collisions.
+BITS = 64
 #: Windows that a map task sorts at a time, and windows of a shard on average.
-BLOCK_WINDOWS = 800_000
-SHARD_WINDOWS = 1_000_000
+BLOCK_WINDOWS = 500_000
+SHARD_WINDOWS = 500_000
 LEAST_SHARDS = 64
-MAX_RUNS = 4
+MAX_RUNS = 2
+#: Words of a source whose passages are looked up together.
+REACH = 4096
 
 NEW, RUN, HITS = 0, 1, 2
 _ROWS = "kind int, key int, payload binary"
@@ -104,9 +110,18 @@ def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"kind": pa.array(kind, pa.int32()), "key": pa.array(key, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
 
+def _windows(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of all windows, their texts' numbers and their places."""
+    hashes, counts = word_hashes([x or b"" for x in texts])
+    windows = runs_of(hashes, WINDOW)
+    begins, n = np.cumsum(counts) - counts, np.maximum(counts - WINDOW + 1, 0)
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return windows[np.repeat(begins, n) + place], np.repeat(np.arange(len(texts)), n), place
+
+
 def fingerprints(docs: DataFrame, shards: int) -> DataFrame:
     """Sorted blocks of new windows for each shard, and the hits found within blocks (keys from shards on)."""
-    shift = np.uint64(BITS - (shards.bit_length() - 1))
+    shift, drop = np.uint64(64 - (shards.bit_length() - 1)), np.uint64(64 - BITS)
 
     def block(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         prints, ids, places, first, place = _first_holders(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -121,21 +136,18 @@ def fingerprints(docs: DataFrame, shards: int) -> DataFrame:
         held, size = [], 0
         for b in batches:
             ids = b.column(0).to_numpy()
-            texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            for lo, hi in chunks(texts):
-                hashes, counts = word_hashes(texts[lo:hi])
-                windows = runs_of(hashes, WINDOW)
-                begins = np.cumsum(counts) - counts
-                n = np.maximum(counts - WINDOW + 1, 0)
-                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            for lo, texts in text_parts(b.column(1).cast(pa.binary()), HASH_BYTES):
+                windows, of, place = _windows(texts)
                 if len(place):
-                    held.append((windows[np.repeat(begins, n) + place] >> np.uint64(64 - BITS), np.repeat(ids[lo:hi], n), place.astype(np.uint32)))
+                    held.append((windows >> drop << drop, ids[lo + of], place.astype(np.uint32)))
                     size += len(place)
                 if size >= BLOCK_WINDOWS:
                     yield block(held)
                     held, size = [], 0
         if held:
             yield block(held)
+        held = []
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, _ROWS)
 
@@ -225,24 +237,112 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def _source_digests(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """(source, source_place, n, digest) of the distinct source passages."""
-    wanted = passages.select("source", "source_place", "n").distinct()
+    """(source, source_place, n, digest) of the distinct source passages; a source's text goes once to each REACH of its words."""
+    wanted = passages.select("source", "source_place", "n").distinct().groupBy("source", F.floor(F.col("source_place") / REACH).alias("part"))
+    wanted = wanted.agg(F.collect_list(F.struct("source_place", "n")).alias("places"))
     sources = passages.select("source").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("source"), "text").where("source is not null")
     texts = texts.join(narrow(sources, sources.count()), "source", "left_semi").dropDuplicates(["source"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, words = None, []
         for b in batches:
-            digests = []
-            for doc, text, place, n in zip(*(b.column(i) for i in range(4)), strict=True):
-                if doc.as_py() != last:
-                    last, words = doc.as_py(), (text.as_py() or "").encode().split()
-                p = place.as_py()
-                digests.append(_digest(words[p : p + n.as_py()]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(digests, pa.binary())], names=["source", "source_place", "n", "digest"])
+            for lo, found in text_parts(b.column(1).cast(pa.binary())):
+                rows = []
+                for source, text, places in zip(b.column(0).slice(lo, len(found)).to_pylist(), found, b.column(2).slice(lo, len(found)), strict=True):
+                    words = (text or b"").split()
+                    rows += [(source, x["source_place"], x["n"], _digest(words[x["source_place"] : x["source_place"] + x["n"]])) for x in places.as_py()]
+                yield _digest_batch(rows)
+        trim()
+
+    return texts.join(wanted, "source").select("source", "text", "places").mapInArrow(run, "source long, source_place long, n long, digest binary")
+
+
+def _digest_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    source, place, n, digest = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(source, pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], names=["source", "source_place", "n", "digest"])
+
+
+def _kept(docs: DataFrame, verified: DataFrame, with_text: bool) -> DataFrame:
+    """Every row without the words of its passages (doc_id, place, n, digest) that have the digest; the others as failed (place, n)."""
+    lists = verified.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "digest")).alias("passages")).withColumnRenamed("doc_id", "id")
+    joined = docs.select(F.col("doc_id").cast("long"), "text").join(lists, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "passages")
+    pairs = pa.list_(pa.struct([("place", pa.int64()), ("n", pa.int64())]))
 
-    return texts.join(wanted, "source").select("source", "text", "source_place", "n").mapInArrow(run, "source long, source_place long, n long, digest binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, texts in text_parts(b.column(1).cast(pa.binary())):
+                n_words, n_removed, kept, failed, out = [], [], [], [], []
+                for text, spans in zip(texts, b.column(2).slice(lo, len(texts)), strict=True):
+                    words = (text or b"").split()
+                    n_words.append(len(words))
+                    gone, bad = np.zeros(len(words), bool), []
+                    for s in spans.as_py() or ():
+                        if _digest(words[s["place"] : s["place"] + s["n"]]) == s["digest"]:
+                            gone[s["place"] : s["place"] + s["n"]] = True
+                        else:
+                            bad.append({"place": s["place"], "n": s["n"]})
+                    if gone.any():
+                        words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    n_removed.append(n_words[-1] - len(words))
+                    text_left = b" ".join(words)
+                    kept.append(hashlib.sha256(text_left).hexdigest())
+                    failed.append(bad)
+                    if with_text:
+                        out.append(text_left.decode())
+                columns = [b.column(0).slice(lo, len(texts)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(failed, pairs)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(out, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256", "failed"] + ["kept_text"] * with_text)
+        trim()
+
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, failed array<struct<place: long, n: long>>" + ", kept_text string" * with_text)
+
+
+def _looked_up(spark: SparkSession, docs: DataFrame, failed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, place, n, digest) of the windows of failed passages (doc_id, place, n) that a smaller doc_id holds, by digests of all windows of their fingerprints."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    schema = "print long, digest binary, doc_id long, place long"
+    drop = np.uint64(64 - BITS)
+
+    def batch(prints, digests, ids, places) -> pa.RecordBatch:  # noqa: ANN001
+        return pa.RecordBatch.from_arrays([pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(places, pa.int64())], names=["print", "digest", "doc_id", "place"])
+
+    def matching(ids: list[int], found: list[bytes | None], wanted) -> pa.RecordBatch:  # noqa: ANN001
+        """Those windows of the texts that wanted marks."""
+        windows, of, place = _windows(found)
+        windows = windows >> drop << drop
+        at = np.flatnonzero(wanted(windows, of, place))
+        words = {i: (found[i] or b"").split() for i in np.unique(of[at]).tolist()}
+        digests = [_digest(words[i][p : p + WINDOW]) for i, p in zip(of[at].tolist(), place[at].tolist(), strict=True)]
+        return batch(windows[at], digests, [ids[i] for i in of[at].tolist()], place[at])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                starts = {p for x in b.column(2)[i].as_py() for p in range(x["place"], x["place"] + x["n"] - WINDOW + 1)}
+                inside = np.array(sorted(starts), np.int64)
+                yield matching([b.column(0)[i].as_py()], [b.column(1).cast(pa.binary())[i].as_py()], lambda w, of, place, inside=inside: np.isin(place, inside))
+
+    lists = failed.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("place", "n")).alias("spans"))
+    mine = scratch.save(texts.join(lists, F.col("doc_id") == F.col("id")).select("doc_id", "text", "spans").mapInArrow(own, schema), "failed_windows")
+    prints = scratch.save(mine.select("print").distinct(), "failed_prints")
+    rounds = max(1, -(-prints.count() // BROADCAST_ROWS))
+    first = None
+    for k in range(rounds):  # so many at a time that they may be broadcast
+        part = np.sort(prints.where(F.pmod(F.xxhash64("print"), F.lit(rounds)) == k).toArrow()["print"].to_numpy().view(np.uint64))
+        shared = spark.sparkContext.broadcast(part)
+
+        def holders(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            keys = shared.value
+            for b in batches:
+                ids = b.column(0).to_pylist()
+                for lo, found in text_parts(b.column(1).cast(pa.binary()), HASH_BYTES):
+                    yield matching(ids[lo : lo + len(found)], found, lambda w, of, place: keys[np.minimum(np.searchsorted(keys, w), len(keys) - 1)] == w)
+
+        least = texts.mapInArrow(holders, schema).groupBy("print", "digest").agg(F.min("doc_id").alias("least")) if len(part) else None
+        if least is not None:
+            least = scratch.save(least, f"holders_{k}")
+            first = least if first is None else first.union(least)
+    again = mine.join(first, ["print", "digest"]).where("least < doc_id")
+    return again.select("doc_id", "place", F.lit(WINDOW).cast("long").alias("n"), "digest")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, batches: list, scratch: Scratch, shards: int, with_text: bool = False) -> DataFrame:
@@ -256,31 +356,17 @@ def without_repeats(spark: SparkSession, docs: DataFrame, batches: list, scratch
         part = index.add(docs.where(condition), keep=i + 1 < len(batches))
         found = part if found is None else found.union(part)
     passages = scratch.save(found, "passages")
-    verified = passages.join(_source_digests(docs, passages), ["source", "source_place", "n"])
-    lists = verified.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "digest")).alias("passages")).withColumnRenamed("doc_id", "id")
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(lists, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "passages")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_words, n_removed, kept, out = [], [], [], []
-            for text, spans in zip(b.column(1).cast(pa.binary()), b.column(2), strict=True):
-                words = (text.as_py() or b"").split()
-                n_words.append(len(words))
-                gone = np.zeros(len(words), bool)
-                for s in spans.as_py() or ():
-                    if _digest(words[s["place"] : s["place"] + s["n"]]) == s["digest"]:
-                        gone[s["place"] : s["place"] + s["n"]] = True
-                if gone.any():
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                n_removed.append(n_words[-1] - len(words))
-                text_left = b" ".join(words)
-                kept.append(hashlib.sha256(text_left).hexdigest())
-                if with_text:
-                    out.append(text_left.decode())
-            columns = [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(out, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
-
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    verified = passages.join(_source_digests(docs, passages), ["source", "source_place", "n"]).select("doc_id", "place", "n", "digest")
+    out = scratch.save(_kept(docs, verified, with_text), "kept")
+    failed = out.where("size(failed) > 0").select("doc_id", F.explode("failed").alias("x")).select("doc_id", "x.place", "x.n").distinct()
+    failed = scratch.save(failed, "failed")
+    n = failed.count()
+    if n:
+        ids = failed.select("doc_id").distinct()
+        some = lambda df, how: df.join(narrow(ids, n), "doc_id", how)
+        mended = some(verified, "left_semi").union(_looked_up(spark, docs, failed, scratch))
+        out = some(out, "left_anti").union(_kept(some(docs.select(F.col("doc_id").cast("long"), "text"), "left_semi"), mended, with_text))
+    return out.drop("failed")
 
 
 def shards_for(docs: DataFrame) -> int:
@@ -289,12 +375,18 @@ def shards_for(docs: DataFrame) -> int:
     return 1 << (max(LEAST_SHARDS, size // 5 // SHARD_WINDOWS) - 1).bit_length()
 
 
+#: Shares of the ids that come as batches of their own before the rest.
+BATCHES = (1 / 32, 2 / 32, 4 / 32)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of repeated windows in all documents: the first eighth of the ids is indexed, the rest is held against it and itself."""
+    """Words of repeated windows in all documents, which come in four batches by id; the index is compacted before the last and largest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    cut = 0 if lo is None else lo + (hi - lo) // 8
-    return without_repeats(spark, docs, [F.col("doc_id") <= cut, F.col("doc_id") > cut], Scratch(spark, "passages"), shards_for(docs))
+    cuts = [0 if lo is None else lo + int((hi - lo) * share) for share in BATCHES]
+    of = F.col("doc_id")
+    batches = [of <= cuts[0], *((of > a) & (of <= b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), of > cuts[-1]]
+    return without_repeats(spark, docs, batches, Scratch(spark, "passages"), shards_for(docs))
 
 
 OP8_SQL = r"""

@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from crosspanel.llm import minhash
@@ -101,6 +102,24 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == want
 
 
+def test_rows_that_repeat_an_id_keep_all_links(spark):
+    texts = sentences(31, 3)
+    values = [(1, texts[0]), (2, texts[1]), (5, texts[0] + " tail"), (5, texts[1] + " tail"), (7, texts[2]), (8, None), (9, "  ")]
+    df = spark.createDataFrame(values, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(spark, df, Scratch(spark, "t"), words=4).collect()}
+    assert got == {(1, 1), (2, 1), (5, 1), (7, 7), (8, 8), (9, 9)}
+
+
+def test_partners_of_a_hub_in_blocks(spark, monkeypatch):
+    from crosspanel.llm import minhash
+
+    monkeypatch.setattr(minhash, "PARTNERS", 3)
+    words = sentences(32, 1)[0].split()
+    values = [(i, " ".join(words[:-1] + [f"end{i}"])) for i in range(40)]
+    got = near_duplicates(spark, spark.createDataFrame(values, "doc_id long, text string"), Scratch(spark, "t"), words=4).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 40
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (102, 103), (7, 7)]
     out = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"), "c")
@@ -146,6 +165,18 @@ def test_passages_in_many_batches(spark, docs, monkeypatch):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize("bits", [8, 14])
+def test_passages_with_colliding_fingerprints(spark, docs, monkeypatch, bits):
+    """Windows that share a fingerprint with an earlier, different one are looked up by their words."""
+    from crosspanel.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "BITS", bits)
+    of = F.col("doc_id")
+    got = without_repeats(spark, docs, [of <= 20, (of > 20) & (of <= 210), of > 210], Scratch(spark, "t"), 64, with_text=True).collect()
+    want = plain_passages(rows())
+    assert sorted((r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want[x] for x in rows())
+
+
 def test_passage_index_compacts(spark, docs):
     index = PassageIndex(spark, Scratch(spark, "t"), 64)
     for a in range(6):
