@@ -2,12 +2,15 @@
 
 The model is an interpolated modified Kneser-Ney model of character 4-grams for each language,
 trained on all trusted texts but those of a held-out fold. Its counts, contexts and lower orders
-are tables sharded by n-gram; probabilities come from joins of those tables, order by order, for
-exactly the n-grams that the documents hold. Documents are gathered in compressed blocks of about
-BLOCK_BYTES; a block asks each shard of the n-grams once, by a sorted and packed list of those
-that it holds, and gets their probabilities back by a merge join with the shard, after which each
-of its documents is scored. No task holds more than a block and its n-grams, or a shard and the
-lists for it; nothing of the model goes to the driver.
+are tables; probabilities come from joins of those tables, order by order, for exactly the n-grams
+that the documents hold. Documents are gathered in compressed blocks of about BLOCK_BYTES, each
+with its sorted and packed list of n-grams for each language. The n-grams are sharded by ranges
+whose number follows the distinct n-grams, estimated with the ranges' limits from a sample of them
+by hash: a shard has about SHARD_GRAMS of the model. A block cuts its lists at the limits and asks
+each shard once; GROUP_BLOCKS blocks share a copy of a shard, by a merge join with which they get
+their probabilities, after which each of their documents is scored. So lists grow with the blocks,
+copies of the model with the blocks over GROUP_BLOCKS. No task holds more than a block and its
+n-grams, or a shard and a group's lists for it; only the ranges' limits go to the driver.
 
 A document is kept if its bits per character lie between two language-specific limits: the LOW
 quantile of all trusted texts and the HIGH quantile of the held-out ones. Repetitive text lies
@@ -35,15 +38,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grams import ORDER, SortedHashes, WIDTH, packed, sums
-from .shared import Scratch, mix, narrow, trim
+from .shared import Scratch, mix, narrow, text_parts, trim
 
 BLOCK_BYTES = 12 << 20
 #: In the pipeline, whose other stages share the workers' memory and which has more room on disk.
 STAGE_BLOCK_BYTES = 3 << 20
 #: Blocks are written once and shuffled once; a high level costs less than their bytes do.
 BLOCK_LEVEL = 12
-#: Shards of the n-grams: so many at least, and one for so many blocks.
-LEAST_SHARDS, SHARD_BLOCKS = 64, 256
+#: Distinct n-grams of a shard, shards at least, and blocks that share a copy of a shard.
+SHARD_GRAMS, LEAST_SHARDS, GROUP_BLOCKS = 500_000, 64, 1024
+#: One in so many n-grams, chosen by hash, is in the sample.
+SAMPLE = 256
+#: Distinct n-grams that a task holds before it passes them on.
+UNION_GRAMS = 2_000_000
 LOW, HIGH = 0.01, 0.98
 #: Shorter texts scatter more.
 FULL_CHARS = 500
@@ -55,23 +62,8 @@ def _plain(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
-def _strings(grams: np.ndarray) -> list[str]:
-    """Packed n-grams as strings of ORDER characters; lone surrogates can't occur in texts."""
-    chars = np.stack([(grams >> np.uint64(WIDTH * (ORDER - 1 - j))) & np.uint64(0xFFFF) for j in range(ORDER)], 1)
-    flat = chars.astype("<u4").tobytes().decode("utf-32-le")
-    return [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
-
-
-def _packed_strings(grams: list[str]) -> np.ndarray:
-    chars = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, ORDER)
-    out = np.zeros(len(grams), np.uint64)
-    for j in range(ORDER):
-        out = out << np.uint64(WIDTH) | chars[:, j]
-    return out
-
-
 def _distinct(langs: list[str], texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Distinct n-grams of each language and their counts, half a megabyte of text at a time."""
+    """Distinct n-grams of each language and their counts, a quarter of a megabyte of text at a time."""
     parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     held: dict[str, list[str]] = {}
     size: dict[str, int] = {}
@@ -84,7 +76,7 @@ def _distinct(langs: list[str], texts: list[str]) -> dict[str, tuple[np.ndarray,
     for lang, text in zip(langs, texts, strict=True):
         held.setdefault(lang, []).append(text)
         size[lang] = size.get(lang, 0) + len(text)
-        if size[lang] > 1 << 19:
+        if size[lang] > 1 << 18:
             flush(lang)
     for lang in list(held):
         flush(lang)
@@ -98,7 +90,7 @@ def _distinct(langs: list[str], texts: list[str]) -> dict[str, tuple[np.ndarray,
 def _gram_batches(found: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for lang, (grams, n) in found.items():
         if len(grams):
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(_strings(grams), pa.string()), pa.array(n)], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -136,11 +128,11 @@ def counted(docs: DataFrame) -> DataFrame:
         del langs, texts
         trim()
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("a"))
+    return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("a"))
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, payload): the documents (doc_id, lang, text, mark), compressed."""
+    """(block, lang, data, sample): the documents (doc_id, lang, text, mark), compressed (lang null), and their n-grams of each language with a sample by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, langs, texts, marks, size = [], [], [], [], 0
@@ -148,24 +140,33 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         def block() -> pa.RecordBatch:
             head = json.dumps([ids, langs, marks, [len(t) for t in texts]]).encode()
             raw = len(head).to_bytes(8, "little") + head + "".join(texts).encode()
-            return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(62)], pa.int64()), pa.array([zstandard.ZstdCompressor(level=BLOCK_LEVEL).compress(raw)], pa.binary())], names=["block", "payload"])
+            rows = [(None, zstandard.ZstdCompressor(level=BLOCK_LEVEL).compress(raw), None)]
+            del raw
+            for lang, (grams, _) in _distinct(langs, texts).items():
+                if len(grams):
+                    rows.append((lang, _pack(grams), grams[mix(grams) < np.uint64(2**64 // SAMPLE)].tobytes()))
+            of, data, sample = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(62)] * len(rows), pa.int64()), pa.array(of, pa.string()), pa.array(data, pa.binary()), pa.array(sample, pa.binary())], names=["block", "lang", "data", "sample"])
 
         for b in batches:
-            for doc, lang, text, mark in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                ids.append(doc)
-                langs.append(lang)
-                marks.append(mark)
-                texts.append(_plain(text.as_py()))
-                size += len(texts[-1])
-                if size >= block_bytes:
-                    yield block()
-                    ids, langs, texts, marks, size = [], [], [], [], 0
+            for lo, part in text_parts(b.column(2)):
+                own = (b.column(c).slice(lo, len(part)).to_pylist() for c in (0, 1, 3))
+                for doc, lang, mark, text in zip(*own, part, strict=True):
+                    ids.append(doc)
+                    langs.append(lang)
+                    marks.append(mark)
+                    texts.append(_plain(text))
+                    size += len(texts[-1])
+                    if size >= block_bytes:
+                        yield block()
+                        ids, langs, texts, marks, size = [], [], [], [], 0
+                        trim()
         if ids:
             yield block()
         del ids, langs, texts, marks
         trim()
 
-    return docs.mapInArrow(run, "block long, payload binary")
+    return docs.mapInArrow(run, "block long, lang string, data binary, sample binary")
 
 
 def _opened(payload: bytes) -> tuple[list, list[str], list[int], list[str]]:
@@ -180,55 +181,113 @@ def _opened(payload: bytes) -> tuple[list, list[str], list[int], list[str]]:
     return ids, langs, marks, texts
 
 
-def asked(table: DataFrame, shards: int) -> DataFrame:
-    """(block, lang, shard, grams): the distinct n-grams of each block, packed for each shard."""
+#: Spark compares n-grams as signed numbers; with this bit turned they sort as unsigned ones.
+_TURN = -(2**63)
+
+
+def ranges(table: DataFrame, scratch: Scratch) -> dict[str, tuple[int, np.ndarray]]:
+    """Each language's first shard and the n-grams at which its further shards begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, payload in zip(b.column(0), b.column(1), strict=True):
-                _, langs, _, texts = _opened(payload.as_py())
-                for lang, (grams, _) in _distinct(langs, texts).items():
-                    of = (mix(grams) % np.uint64(shards)).astype(np.int64)
-                    lists = [(k, _pack(own)) for k in range(shards) if len(own := grams[of == k])]
-                    if lists:
-                        k, packs = zip(*lists, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(k), pa.int64()), pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(packs, pa.binary())], names=["block", "lang", "shard", "grams"])
+            for lang, sample in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                grams = np.frombuffer(sample, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams ^ _TURN)], names=["lang", "turned"])
+
+    sample = scratch.save(table.where("lang is not null").select("lang", "sample").mapInArrow(run, "lang string, turned long").distinct(), "sample")
+    sizes = {lang: n * SAMPLE for lang, n in sample.groupBy("lang").count().collect()}
+    shards = {lang: max(1, -(-n // SHARD_GRAMS), LEAST_SHARDS * n // max(sum(sizes.values()), 1)) for lang, n in sizes.items()}
+    most = max(shards.values(), default=1)
+    cuts = {}
+    if most > 1:
+        steps = F.percentile_approx("turned", F.array(*(F.lit(k / most) for k in range(1, most))), F.lit(max(10_000, 10 * most)))
+        cuts = {lang: np.array(q, np.int64) for lang, q in sample.groupBy("lang").agg(steps).collect()}
+    out, at = {}, 0
+    for lang in sorted(shards):
+        n = shards[lang]
+        chosen = [cuts[lang][k * most // n - 1] for k in range(1, n)]
+        out[lang] = at, np.unique((np.array(chosen, np.int64) ^ _TURN).view(np.uint64))
+        at += n
+    scratch.drop("sample")
+    return out
+
+
+def _sharded(lang: str, grams: np.ndarray, limits: dict[str, tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int]]:
+    """(shard, begin, end) of the parts of a sorted list; a language that the sample doesn't know has no shard but -1."""
+    first, cuts = limits.get(lang, (-1, np.zeros(0, np.uint64)))
+    ends = [0, *np.searchsorted(grams, cuts).tolist(), len(grams)]
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        if b > a:
+            yield first + k, a, b
 
+
+def asked(table: DataFrame, limits: dict[str, tuple[int, np.ndarray]], groups: int) -> DataFrame:
+    """(group, shard, block, lang, grams): the n-grams of each block, cut at the shards' limits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, lang, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                grams = _unpack(data.as_py())
+                parts = list(_sharded(lang, grams, limits))
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([block % groups] * n, pa.int64()), pa.array([k for k, _, _ in parts], pa.int32()), pa.array([block] * n, pa.int64()), pa.array([lang] * n, pa.string()), pa.array([_pack(grams[x:y]) for _, x, y in parts], pa.binary())], names=["group", "shard", "block", "lang", "grams"])
         trim()
 
-    return table.mapInArrow(run, "block long, lang string, shard int, grams binary")
+    return table.where("lang is not null").select("block", "lang", "data").mapInArrow(run, "group long, shard int, block long, lang string, grams binary")
 
 
-def wanted(lists: DataFrame) -> DataFrame:
-    """(shard, lang, gram): the distinct n-grams of all blocks."""
+def wanted(table: DataFrame) -> DataFrame:
+    """(lang, gram): the distinct n-grams of all blocks; those of a task are united before the shuffle."""
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, np.ndarray] = {}
-        for lang, grams in zip(rows["lang"].to_pylist(), rows["grams"].to_pylist(), strict=True):
-            by[lang] = np.union1d(by.get(lang, np.zeros(0, np.uint64)), _unpack(grams))
-        shard = rows["shard"][0].as_py()
-        parts = [pa.table({"shard": pa.array([shard] * len(g), pa.int32()), "lang": pa.array([lang] * len(g), pa.string()), "gram": pa.array(_strings(g), pa.string())}) for lang, g in by.items()]
-        return pa.concat_tables(parts)
 
-    return lists.groupBy("shard").applyInArrow(run, "shard int, lang string, gram string")
+        def out(lang: str) -> pa.RecordBatch:
+            grams = by.pop(lang)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64))], names=["lang", "gram"])
+
+        for b in batches:
+            for lang, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                by[lang] = np.union1d(by.get(lang, np.zeros(0, np.uint64)), _unpack(data.as_py()))
+                if len(by[lang]) > UNION_GRAMS:
+                    yield out(lang)
+        for lang in list(by):
+            yield out(lang)
+
+    return table.where("lang is not null").select("lang", "data").mapInArrow(run, "lang string, gram long").distinct()
+
+
+def model_shards(p: DataFrame, limits: dict[str, tuple[int, np.ndarray]]) -> DataFrame:
+    """(shard, lang, grams, p): each shard's n-grams, sorted, and their probabilities, packed."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = b.column(0).dictionary_encode()
+            grams, names, lang = b.column(1).to_numpy().view(np.uint64), of.dictionary.to_pylist(), of.indices.to_numpy()
+            shard = np.zeros(b.num_rows, np.int32)
+            for k, name in enumerate(names):
+                own = lang == k
+                first, cuts = limits.get(name, (-1, np.zeros(0, np.uint64)))
+                shard[own] = first + np.searchsorted(cuts, grams[own], "right")
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *b.columns], names=["shard", "lang", "gram", "p"])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        grams = rows["gram"].to_numpy().view(np.uint64)
+        order = np.argsort(grams)
+        return pa.table({"shard": rows["shard"][:1], "lang": rows["lang"][:1], "grams": pa.array([_pack(grams[order])], pa.binary()), "p": pa.array([_squeeze(rows["p"].to_numpy(zero_copy_only=False).astype("<f4")[order])], pa.binary())})
+
+    rows = p.select("lang", "gram", "p").mapInArrow(place, "shard int, lang string, gram long, p double")
+    return rows.groupBy("shard", "lang").applyInArrow(pack, "shard int, lang string, grams binary, p binary")
 
 
 def _answer(lists: pa.Table, model: pa.Table) -> pa.Table:
-    """Each list of a shard with its n-grams' probabilities."""
-    if not lists.num_rows or not model.num_rows:
-        return pa.table({"block": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "grams": pa.array([], pa.binary()), "p": pa.array([], pa.binary())})
-    names = np.array(model["lang"].to_pylist(), object)
-    grams, p = _packed_strings(model["gram"].to_pylist()), model["p"].to_numpy(zero_copy_only=False).astype("<f4")
-    sorted_: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for lang in set(names.tolist()):
-        own = np.flatnonzero(names == lang)
-        own = own[np.argsort(grams[own])]
-        sorted_[lang] = grams[own], p[own]
+    """The probabilities of each list's n-grams, all of which their shard has."""
+    known = {lang: (_unpack(g), _expand(p, "<f4")) for lang, g, p in zip(*(model[c].to_pylist() for c in ("lang", "grams", "p")), strict=True)}
     out = []
-    for lang, pack in zip(lists["lang"].to_pylist(), lists["grams"].to_pylist(), strict=True):
-        keys, values = sorted_[lang]
-        out.append(_squeeze(values[np.searchsorted(keys, _unpack(pack))]))
-    return pa.table({"block": lists["block"], "lang": lists["lang"], "grams": lists["grams"], "p": pa.array(out, pa.binary())})
+    for lang, grams in zip(lists["lang"].to_pylist(), lists["grams"], strict=True):
+        keys, p = known[lang]
+        out.append(_squeeze(p[np.searchsorted(keys, _unpack(grams.as_py()))]))
+    return pa.table({"block": lists["block"], "lang": lists["lang"], "shard": lists["shard"], "p": pa.array(out, pa.binary())})
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -239,47 +298,54 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return n.select("lang", within(1 - 2 * y * F.try_divide("n2", "n1"), 0.5, 0.95).alias("d1"), within(2 - 3 * y * F.try_divide("n3", "n2"), 1.0, 1.9).alias("d2"), within(3 - 4 * y * F.try_divide("n4", "n3"), 1.5, 2.85).alias("d3"))
 
 
+def _suffix(gram: str, k: int):  # noqa: ANN202
+    """The last k characters of packed n-grams."""
+    return F.col(gram).bitwiseAND(F.lit((1 << WIDTH * k) - 1))
+
+
 def probabilities(counts: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(shard, lang, gram, p) for the wanted full-order n-grams; p is null in languages without counts."""
+    """(lang, gram, p) for the wanted full-order n-grams; p is null in languages without counts."""
     orders = {ORDER: counts}
     needs = {ORDER: wanted}
     for k in range(ORDER - 1, 0, -1):
-        orders[k] = scratch.save(orders[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("a")), f"counts_{k}")
-        needs[k] = scratch.save(needs[k + 1].select("lang", F.substring("gram", 2, k).alias("gram")).distinct(), f"wanted_{k}")
-    floor = orders[1].groupBy("lang").agg((1 / (F.count(F.lit(1)) + 1)).alias("p"))
+        orders[k] = scratch.save(orders[k + 1].groupBy("lang", _suffix("gram", k).alias("gram")).agg(F.count(F.lit(1)).alias("a")), f"counts_{k}")
+        needs[k] = scratch.save(needs[k + 1].select("lang", _suffix("gram", k).alias("gram")).distinct(), f"wanted_{k}")
+    floor = scratch.save(orders[1].groupBy("lang").agg((1 / (F.count(F.lit(1)) + 1)).alias("p")), "floor")
+    langs = floor.count()
     below = None
     for k in range(1, ORDER + 1):
-        d = _discounts(orders[k])
         a = F.col("a")
+        context = F.shiftrightunsigned("gram", WIDTH).alias("context")
         taken = F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = orders[k].join(narrow(d, d.count()), "lang").select("lang", "gram", a, taken.alias("taken"), F.substring("gram", 1, k - 1).alias("context"))
+        rows = orders[k].join(narrow(_discounts(orders[k]), langs), "lang").select("lang", "gram", a, taken.alias("taken"), context)
         contexts = rows.groupBy("lang", "context").agg(F.sum("a").alias("total"), F.sum("taken").alias("mass"))
-        need = needs[k].select(*(["shard"] if k == ORDER else []), "lang", "gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+        need = needs[k].select("lang", "gram", context, _suffix("gram", k - 1).alias("suffix"))
         if below is None:
-            need = need.join(narrow(floor, floor.count()), "lang", "left").withColumnRenamed("p", "lower")
+            need = need.join(narrow(floor, langs), "lang", "left").withColumnRenamed("p", "lower")
         else:
             need = need.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"], "left")
         need = need.join(rows.select("lang", "gram", "a", "taken"), ["lang", "gram"], "left").join(contexts, ["lang", "context"], "left")
         p = F.coalesce(F.greatest(F.col("a") - F.col("taken"), F.lit(0.0)) / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("mass") / F.col("total"), F.lit(1.0)) * F.col("lower")
-        below = scratch.save(need.select(*(["shard"] if k == ORDER else []), "lang", "gram", p.alias("p")), f"p_{k}")
+        below = scratch.save(need.select("lang", "gram", p.alias("p")), f"p_{k}")
     return below
 
 
-def _score(texts: pa.Table, grams: pa.Table) -> pa.Table:
+def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
     """Documents of one block with their bits per character."""
     ids, langs, marks, bits, chars = [], [], [], [], []
     if texts.num_rows:
-        ids, langs, marks, docs = _opened(texts["payload"][0].as_py())
-        lists: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for lang, keys, p in zip(*(grams[c].to_pylist() for c in ("lang", "grams", "p")), strict=True):
-            lists.setdefault(lang, []).append((_unpack(keys), _expand(p, "<f4")))
+        data = dict(zip(texts["lang"].to_pylist(), texts["data"].to_pylist(), strict=True))
+        ids, langs, marks, docs = _opened(data.pop(None))
+        parts: dict[str, dict[int, bytes]] = {}
+        for lang, shard, p in zip(*(answers[c].to_pylist() for c in ("lang", "shard", "p")), strict=True):
+            parts.setdefault(lang, {})[shard] = p
         bits = [None] * len(ids)
         of = np.array(langs, object)
         for lang in set(langs):
-            found = lists.get(lang, [])
-            keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.uint64)
-            logs = np.append(-np.log2(np.concatenate([p for _, p in found]).astype(float)) if found else np.zeros(0), np.nan)
-            index = SortedHashes(keys)
+            found = parts.get(lang, {})
+            p = np.concatenate([_expand(found[k], "<f4") for k in sorted(found)]) if found else np.zeros(0, np.float32)
+            logs = np.append(-np.log2(p.astype(float)), np.nan)
+            index = SortedHashes(_unpack(data[lang]) if lang in data else np.zeros(0, np.uint64))
             mine = np.flatnonzero(of == lang).tolist()
             lo = 0
             while lo < len(mine):
@@ -308,16 +374,19 @@ def classified(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch
     fitted = trusted.where(~held_out)
     counts = scratch.save(counted(docs.join(narrow(fitted, fitted.count()), "doc_id", "left_semi")), f"counts_{ORDER}")
     table = scratch.save(blocks(docs, block_bytes), "blocks")
-    shards = max(LEAST_SHARDS, -(-table.count() // SHARD_BLOCKS))
-    lists = scratch.save(asked(table, shards), "asked")
-    p = probabilities(counts, scratch.save(wanted(lists), f"wanted_{ORDER}"), scratch)
+    groups = max(1, -(-table.where("lang is null").count() // GROUP_BLOCKS))
+    limits = ranges(table, scratch)
+    p = probabilities(counts, scratch.save(wanted(table), f"wanted_{ORDER}"), scratch)
+    model = scratch.save(model_shards(p, limits), "model")
     for k in range(1, ORDER + 1):
-        for name in (f"counts_{k}", f"wanted_{k}", *([f"p_{k}"] if k < ORDER else [])):
-            scratch.drop(name)
-    answers = lists.groupBy("shard").cogroup(p.groupBy("shard")).applyInArrow(_answer, "block long, lang string, grams binary, p binary")
-    scores = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, mark long, cross_entropy double, chars int")
+        for name in ("counts", "wanted", "p"):
+            scratch.drop(f"{name}_{k}")
+    copies = model.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    answers = asked(table, limits, groups).groupBy("group", "shard").cogroup(copies.groupBy("group", "shard")).applyInArrow(_answer, "block long, lang string, shard int, p binary")
+    texts = table.select("block", "lang", "data")
+    scores = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, mark long, cross_entropy double, chars int")
     scores = scratch.save(scores, "scores")
-    for name in ("blocks", "asked", f"p_{ORDER}"):
+    for name in ("blocks", "model"):
         scratch.drop(name)
     known = scores.join(trusted.withColumn("held_out", held_out), "doc_id").where("cross_entropy is not null")
     unseen = lambda x: F.when(F.col("held_out"), x)

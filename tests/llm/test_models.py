@@ -13,7 +13,7 @@ from crosspanel.llm.grams import KneserNey, SortedHashes, packed, sums
 from crosspanel.llm.language_id import Identifier, identify, normal, op3_language_id, train
 from crosspanel.llm.perplexity import classified, op1_quality
 from crosspanel.llm.shared import Scratch
-from crosspanel.llm import vector_search
+from crosspanel.llm import perplexity, vector_search
 from crosspanel.llm.vector_search import nearest, op4_vector_search
 
 from .conftest import rows, sentences, table
@@ -135,6 +135,27 @@ def test_quality_scores_equal_the_model(spark):
     assert np.mean([kept[i] for i in range(60)]) > 0.9
 
 
+def test_lists_grow_with_the_blocks(spark):
+    """A block asks each shard at most once, however many blocks there are, and the parts are its n-grams."""
+    r = random.Random(3)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(400))
+    rows = {}
+    for n in (40, 160):
+        docs = spark.createDataFrame([(i, "en", text(), 0) for i in range(n)], "doc_id long, lang string, text string, mark long").repartition(1)
+        scratch = Scratch(spark, "t")
+        table = scratch.save(perplexity.blocks(docs, 10_000), "blocks")
+        limits = perplexity.ranges(table, scratch)
+        lists = perplexity.asked(table, limits, 2).collect()
+        blocks = table.where("lang is null").count()
+        rows[n] = len(lists) / blocks
+        whole = {x.block: perplexity._unpack(x.data) for x in table.where("lang is not null").collect()}
+        for block, grams in whole.items():
+            own = sorted((x for x in lists if x.block == block), key=lambda x: x.shard)
+            assert len({x.shard for x in own}) == len(own) > 10
+            assert (np.concatenate([perplexity._unpack(x.grams) for x in own]) == grams).all()
+    assert rows[160] <= perplexity.LEAST_SHARDS and rows[160] < 1.2 * rows[40]
+
+
 def test_quality_limits_are_quantiles_that_one_odd_text_does_not_move(spark):
     good = sentences(1, 300)
     held = spark.range(300).where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0).orderBy("id").first().id
