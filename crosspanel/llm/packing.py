@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import Merges, merge_all
-from .shared import CHUNK_BYTES, Scratch, trim
+from .shared import Scratch, trim
 
 SEQUENCE = 2048
 END_ID = 0
 #: Words in each of the two generations that a worker remembers. This only saves time.
-MEMORY_WORDS = 100_000
+MEMORY_WORDS = 200_000
+#: Characters of text that are tokenised together; the more, the fewer of their distinct words are looked up again.
+PART_CHARS = 1 << 22
 #: Pieces of one length and salt, on average at most.
 SALT_ROWS = 100_000
 LEAST_SALTS = 64
@@ -70,7 +72,7 @@ class Remembered(dict):
     def missing(self, keys: set[str]) -> set[str]:
         """The keys without a value; the others' values are in the young generation from here on."""
         if len(self) >= self.most:
-            self.old = dict(self)
+            self.old = self.copy()
             self.clear()
         new = keys.difference(self)
         again = new.intersection(self.old)
@@ -121,7 +123,7 @@ class WordTokenizer:
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text; call with about CHUNK_BYTES of texts."""
+        """Ids of each text; call with about PART_CHARS of texts."""
         split = [WORDS.findall(t.lower()) if SAFE.fullmatch(t) and "<|" not in t else None for t in texts]
         if new := list(self.words.missing(set(chain.from_iterable(words for words in split if words)))):
             self.words.update(zip(new, self._words(new), strict=True))
@@ -135,7 +137,7 @@ class WordTokenizer:
             return self._ids([text])[0]
         parts, at = [], 0
         while at < len(text):
-            m = BLANK.search(text, at + CHUNK_BYTES) if at + CHUNK_BYTES < len(text) else None
+            m = BLANK.search(text, at + PART_CHARS) if at + PART_CHARS < len(text) else None
             end = m.start() if m else len(text)
             parts.append(next(self.encode([text[at:end]])))
             at = end
@@ -159,9 +161,9 @@ def token_pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFr
             begin, rows = 0, []
             while begin < len(ids):
                 stop, size, part = begin, 0, []
-                while stop < len(ids) and size < CHUNK_BYTES:
+                while stop < len(ids) and size < PART_CHARS:
                     t = texts[stop].as_py() or ""
-                    if len(t) > CHUNK_BYTES:
+                    if len(t) > PART_CHARS:
                         break
                     part.append(t)
                     size += len(t)
