@@ -232,6 +232,14 @@ class PassageIndex:
         self.runs = [self.scratch.save(rows.groupBy("key").applyInArrow(_compact, _ROWS), f"compacted_{self.batches}")]
 
 
+    def drop(self) -> None:
+        """Removes the index and its hits, once these are no longer read."""
+        for k in range(1, self.batches + 1):
+            self.scratch.drop(f"batch_{k}")
+            self.scratch.drop(f"compacted_{k}")
+        self.runs = []
+
+
 def _digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
@@ -356,6 +364,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, batches: list, scratch
         part = index.add(docs.where(condition), keep=i + 1 < len(batches))
         found = part if found is None else found.union(part)
     passages = scratch.save(found, "passages")
+    index.drop()
     verified = passages.join(_source_digests(docs, passages), ["source", "source_place", "n"]).select("doc_id", "place", "n", "digest")
     out = scratch.save(_kept(docs, verified, with_text), "kept")
     failed = out.where("size(failed) > 0").select("doc_id", F.explode("failed").alias("x")).select("doc_id", "x.place", "x.n").distinct()
