@@ -42,7 +42,7 @@ ROWS = HASHES // BANDS
 AGREE = 84
 BLOCK = 256
 #: Partners that are held against one copy of a hub's set, on average.
-PARTNERS = 1000
+PARTNERS = 256
 
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
