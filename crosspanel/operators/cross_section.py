@@ -34,14 +34,14 @@ def one_factor(panel: DataFrame, y: str, x: str, least: int) -> tuple[DataFrame,
 
 
 def wls(y: np.ndarray, x: np.ndarray, w: np.ndarray, ridge: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coefficients (intercept first, not penalised), residuals and weighted R2."""
+    """Coefficients (intercept first, not penalised), residuals and weighted R2 (0 where y does not vary)."""
     design = np.column_stack([np.ones(len(y)), x])
     gram = (design * w[:, None]).T @ design
     gram[np.arange(1, len(gram)), np.arange(1, len(gram))] += ridge
     coef = np.linalg.lstsq(gram, design.T @ (w * y), rcond=None)[0]
     resid = y - design @ coef
     total = (w * (y - np.average(y, weights=w)) ** 2).sum()
-    return coef, resid, float(1 - (w * resid**2).sum() / total) if total > 0 else 0.0
+    return coef, resid, float(1 - (w * resid**2).sum() / total) if total > 1e-14 * w.sum() else 0.0
 
 
 def best_ridge(y: np.ndarray, x: np.ndarray, w: np.ndarray, grid: list[float], folds: int = 5, seed: int = 42) -> float:

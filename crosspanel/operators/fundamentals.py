@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.scalars import annualised, symmetric_growth
-from .windows import weighted
+from .windows import ewm_std, weighted
 
 def by_quarter() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("q")
@@ -61,10 +61,10 @@ def trend_fit(x: str, n: int, least: int) -> tuple[Column, Column]:
     return F.when(ok, cov / vt), F.when(ok & (vy > 1e-9), cov * cov / vt / vy)
 
 
-def relative_volatility(x: str, n: int = 8) -> Column:
-    """Deviation over n quarters in percent of the size of the last four quarters' mean."""
-    level = F.abs(F.avg(x).over(frame(4)))
-    return F.when((F.count(x).over(frame(n)) >= 4) & (level > 0), F.stddev_samp(x).over(frame(n)) / level * 100)
+def relative_volatility(x: str, half_life: float = 4.0) -> Column:
+    """Exponentially weighted deviation (bias-corrected, all quarters so far) in percent of the size of the last four quarters' mean."""
+    level, spec = F.abs(F.avg(x).over(frame(4))), by_quarter().rangeBetween(Window.unboundedPreceding, 0)
+    return F.when((F.count(x).over(spec) >= 4) & (level > 0), ewm_std(x, half_life, spec, order="q") / level * 100)
 
 
 def wide(rows: DataFrame, metrics: list[str]) -> DataFrame:
@@ -79,16 +79,17 @@ def estimate_frontier(vintages: DataFrame) -> DataFrame:
     return last.where("estimated").groupBy("ticker").agg(F.min("q").alias("first_estimate"))
 
 
-def redated(rows: DataFrame, reference: DataFrame, digits: int = 2) -> DataFrame:
+def redated(rows: DataFrame, reference: DataFrame, digits: int = 2, least: int = 3) -> DataFrame:
     """(ticker, row, offset, run, matches): the best offset between a legacy row's columns and quarters.
 
     Values that agree vote for the offset of their quarter; the longest run of consecutive columns
-    wins, then the number of matches, then the latest offset.
+    wins, then the number of matches, then the latest offset. Rows without a run of `least` columns
+    have no offset.
     """
     key = F.round("value", digits)
     hits = rows.withColumn("k", key).join(reference.select("ticker", "q", key.alias("k")), ["ticker", "k"]).select("ticker", "row", "col", (F.col("q") - F.col("col")).alias("offset")).distinct()
     w = Window.partitionBy("ticker", "row", "offset").orderBy("col")
     islands = hits.withColumn("g", F.col("col") - F.row_number().over(w)).groupBy("ticker", "row", "offset", "g").agg(F.count(F.lit(1)).alias("n"))
-    by = islands.groupBy("ticker", "row", "offset").agg(F.max("n").alias("run"), F.sum("n").alias("matches"))
+    by = islands.groupBy("ticker", "row", "offset").agg(F.max("n").alias("run"), F.sum("n").alias("matches")).where(F.col("run") >= least)
     best = by.groupBy("ticker", "row").agg(F.max(F.struct("run", "matches", "offset")).alias("m"))
     return best.select("ticker", "row", "m.offset", "m.run", "m.matches")

@@ -49,12 +49,12 @@ def runs(rows: DataFrame, keys: list[str], order: str, value: Column | str) -> D
 
 
 def without_stale(panel: DataFrame, most: int, least: int) -> DataFrame:
-    """panel without the closes of runs longer than `most`, for names that keep at least `least` of them."""
+    """panel without the closes of runs longer than `most`, from the session on at which a name has kept `least` of them."""
     w = Window.partitionBy("ticker").orderBy("ix")
     run = F.sum(F.when(F.col("close").eqNullSafe(F.lag("close").over(w)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = panel.withColumn("run", run)
     out = out.withColumn("close", F.when(F.count(F.lit(1)).over(Window.partitionBy("ticker", "run")) <= most, F.col("close"))).drop("run")
-    return out.withColumn("_n", F.count("close").over(Window.partitionBy("ticker"))).where(F.col("_n") >= least).drop("_n")
+    return out.withColumn("_n", F.count("close").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_n") >= least).drop("_n")
 
 
 def thinned(dates: DataFrame, gap: int, keys: list[str], date: str = "d") -> DataFrame:

@@ -6,6 +6,9 @@ take one group a session; path-dependent strategies one group a strategy.
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,11 +118,11 @@ def shrunk_covariance(x: np.ndarray) -> np.ndarray:
     return share * m * np.eye(k) + (1 - share) * s
 
 
-def principal_covariance(x: np.ndarray, share: float = 0.7) -> np.ndarray:
-    """Leading components up to a share of the variance, with the rest on the diagonal."""
-    s = np.cov(x, rowvar=False)
+def principal_covariance(x: np.ndarray, half_life: float, share: float = 0.7) -> np.ndarray:
+    """Leading components of the exponentially weighted covariance up to a share of the variance, with the rest on the diagonal."""
+    s = ewma_covariance(x, half_life)
     values, vectors = np.linalg.eigh(s)
-    values, vectors = values[::-1], vectors[:, ::-1]
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
     k = int(np.searchsorted(np.cumsum(values) / values.sum(), share)) + 1
     low = (vectors[:, :k] * values[:k]) @ vectors[:, :k].T
     return low + np.diag(np.maximum(np.diag(s) - np.diag(low), 1e-12))
@@ -134,7 +137,7 @@ def factor_covariance(x: np.ndarray, exposures: np.ndarray) -> np.ndarray:
 
 
 def covariances(x: np.ndarray, exposures: np.ndarray, half_life: float) -> dict[str, np.ndarray]:
-    out = {"ewma": ewma_covariance(x, half_life), "shrunk": shrunk_covariance(x), "principal": principal_covariance(x), "factor": factor_covariance(x, exposures)}
+    out = {"ewma": ewma_covariance(x, half_life), "shrunk": shrunk_covariance(x), "principal": principal_covariance(x, half_life), "factor": factor_covariance(x, exposures)}
     return out | {"mean": sum(out.values()) / 4}
 
 
@@ -240,33 +243,85 @@ def group_index(panel: DataFrame, group: str, weighted: bool) -> DataFrame:
     return by.select(group, "ix", (100 * F.exp(F.sum(F.log1p("r")).over(run))).alias("level"))
 
 
-def simulated(days: DataFrame, cost: float, cut: float, back: float, trigger: float, hold: int) -> DataFrame:
-    """(strategy, ix, nav, gross, drawdown, rebalanced) of (strategy, ix, ret, turnover, hedge).
-
-    Recursive by nature, one group a strategy. A drawdown beyond `cut` halves the gross from the
-    next session on; it is restored when the level has recovered by `back` from its low. A
-    rebalance is due after `hold` sessions if the drift (turnover) exceeds `trigger`; its cost is
-    charged on the gross. hedge adds to the return while the gross is cut.
+@dataclass(frozen=True)
+class Rules:
+    """levels: drawdowns from the rolling high-water mark and the share of the gross that each cuts, in their order."""
+
+    levels: tuple[tuple[float, float], ...] = ((0.10, 0.25), (0.15, 0.5))
+    back: float = 0.05
+    confirm: int = 3
+    high_sessions: int = 52
+    cost: float = 0.001
+    drift: float = 0.2
+    hold: int = 4
+    hedge_weight: float = 0.5
+
+
+#: What a strategy carries from one session to the next.
+START = {"nav": 1.0, "gross": 1.0, "level": -1, "theory": 1.0, "low": 1.0, "count": 0, "past": [], "since": 0, "signal": False, "price": 1.0, "entry": None, "account": 0.0}
+
+
+def _session(s: dict, rules: Rules, ret: float, turn: float, hedge: float, signal: bool) -> tuple[float, bool, str | None]:
+    """One session of a strategy: changes s, gives the rolling drawdown, whether it rebalanced and what happened to the gross."""
+    s["since"] += 1
+    s["nav"] *= 1 + s["gross"] * ret
+    s["price"] *= 1 + hedge
+    rebalanced = s["since"] >= rules.hold and turn > rules.drift
+    if rebalanced:
+        s["nav"] *= 1 - rules.cost * turn * s["gross"]
+        s["since"] = 0
+    if s["level"] >= 0:  # what full exposure would have made since the last cut
+        s["theory"] *= 1 + ret
+        s["low"] = min(s["low"], s["theory"])
+    # the signal of the session before opens and closes the hedge
+    if s["entry"] is not None and not s["signal"]:
+        s["account"] -= (s["price"] / s["entry"] - 1) * rules.hedge_weight
+        s["entry"] = None
+    elif s["entry"] is None and s["signal"]:
+        s["entry"] = s["price"]
+    s["signal"] = signal
+    s["past"] = [*s["past"], s["nav"]][-rules.high_sessions :]
+    drawdown = s["nav"] / max(s["past"]) - 1
+    event = None
+    if s["level"] + 1 < len(rules.levels) and drawdown <= -rules.levels[s["level"] + 1][0]:
+        s["level"] += 1
+        s["gross"] *= 1 - rules.levels[s["level"]][1]
+        s["theory"] = s["low"] = s["nav"]
+        s["count"], event = 0, "cut"
+    if s["level"] >= 0:
+        s["count"] = s["count"] + 1 if s["theory"] / s["low"] - 1 >= rules.back else 0
+        if s["count"] >= rules.confirm:
+            s["gross"], s["level"], s["count"], event = 1.0, -1, 0, "back"
+    return drawdown, rebalanced, event
+
+
+def simulated(days: DataFrame, rules: Rules, state: DataFrame | None = None) -> DataFrame:
+    """(strategy, ix, nav, gross, drawdown, rebalanced, event, account, state) of (strategy, ix, ret, turnover, hedge, signal).
+
+    Recursive by nature, one group a strategy. The gross is cut at each level of drawdown from the
+    highest nav of the last sessions, one level a session. While it is cut, a theoretical nav goes
+    on at full exposure; once it has been `back` above its low for `confirm` sessions in a row, the
+    gross is whole again. A rebalance is due after `hold` sessions if the turnover exceeds `drift`;
+    its cost is charged on the gross. A signal opens a short hedge on the next session, whose
+    profit is booked to the account when the signal has gone. Missing returns count 0.
+
+    The last row of a strategy has its state as JSON. Given as state (strategy, state), a run on the
+    sessions after it goes on as if it had not been stopped.
     """
+    none = F.lit(None).cast("string")
+    before = days.sparkSession.range(0).select(none.alias("strategy"), none.alias("state")) if state is None else state.where("state is not null").select("strategy", "state")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        names = ["strategy", "ix", "nav", "gross", "drawdown", "rebalanced", "event", "account", "state"]
         rows = rows.sort_values("ix")
-        level, high, low, gross, since = 1.0, 1.0, 1.0, 1.0, hold
+        s = json.loads(held["state"].iloc[0]) if len(held) else dict(START)
         out = []
-        for ix, ret, turn, hedge in zip(rows["ix"], rows["ret"].fillna(0.0), rows["turnover"].fillna(0.0), rows["hedge"].fillna(0.0), strict=True):
-            since += 1
-            rebalanced = since >= hold and turn > trigger
-            if rebalanced:
-                level *= 1 - cost * turn * gross
-                since = 0
-            level *= 1 + gross * ret + (hedge if gross < 1 else 0.0)
-            high, low = max(high, level), min(low, level)
-            drawdown = level / high - 1
-            out.append((rows["strategy"].iloc[0], int(ix), level, gross, drawdown, bool(rebalanced)))
-            if gross == 1.0 and drawdown < -cut:
-                gross, low = 0.5, level
-            elif gross < 1.0 and (level >= low * (1 + back) or drawdown >= 0):
-                gross = 1.0
-        return pd.DataFrame(out, columns=["strategy", "ix", "nav", "gross", "drawdown", "rebalanced"])
-
-    return days.groupBy("strategy").applyInPandas(run, "strategy string, ix int, nav double, gross double, drawdown double, rebalanced boolean")
+        for ix, ret, turn, hedge, signal in zip(rows["ix"], rows["ret"].fillna(0.0), rows["turnover"].fillna(0.0), rows["hedge"].fillna(0.0), rows["signal"].fillna(False), strict=True):
+            drawdown, rebalanced, event = _session(s, rules, float(ret), float(turn), float(hedge), bool(signal))
+            out.append([rows["strategy"].iloc[0], int(ix), s["nav"], s["gross"], drawdown, rebalanced, event, s["account"], None])
+        if out:
+            out[-1][-1] = json.dumps(s)
+        return pd.DataFrame(out, columns=names)
+
+    schema = "strategy string, ix int, nav double, gross double, drawdown double, rebalanced boolean, event string, account double, state string"
+    return days.groupBy("strategy").cogroup(before.groupBy("strategy")).applyInPandas(run, schema)

@@ -93,7 +93,7 @@ def point_in_time_weights(ics: DataFrame, cutoffs: DataFrame, h: int, p: Params)
     stats = scaled.groupBy("cutoff", "regime", "metric").agg(F.avg("x").alias("mean"), t_statistic(F.col("x")).alias("t"))
     w = Window.partitionBy("cutoff", "regime")
     stats = stats.withColumn("m_mean", F.median("mean").over(w)).withColumn("m_t", F.median("t").over(w))
-    good = stats.where("mean > 0 and mean >= m_mean and t >= m_t")
+    good = stats.where("mean > 0 and mean > m_mean and t > m_t")
     good = good.withColumn("place", F.row_number().over(w.orderBy(F.desc("t"), "metric"))).where(F.col("place") <= p.top_metrics)
     weights = good.withColumn("weight", F.col("t") / F.sum("t").over(w)).select("cutoff", "regime", "metric", "weight")
     growth = weights.where("regime = 'growth'")
@@ -118,9 +118,14 @@ def composite(scores: DataFrame, weights: DataFrame, regime: DataFrame) -> DataF
 
 
 def bounded_weights(weights: DataFrame, low: float, high: float, rounds: int = 10) -> DataFrame:
-    """weights (group, names, values as arrays): clipped to [low, high] and renormalised, `rounds` times, then rounded."""
+    """weights (group, names, values as arrays): clipped to [low, high] and renormalised, `rounds` times, then rounded.
+
+    Negative and missing values count 0; a group without a positive one gets equal weights.
+    """
     norm = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y))
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), norm(F.col("values")), lambda acc, _: norm(F.transform(acc, lambda x: F.greatest(F.least(x, F.lit(high)), F.lit(low)))))
+    positive = F.transform("values", lambda x: F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)))
+    start = F.when(F.exists(positive, lambda x: x > 0), positive).otherwise(F.transform("values", lambda x: F.lit(1.0)))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), norm(start), lambda acc, _: norm(F.transform(acc, lambda x: F.greatest(F.least(x, F.lit(high)), F.lit(low)))))
     return weights.withColumn("values", F.transform(out, lambda x: F.round(x, 4)))
 
 

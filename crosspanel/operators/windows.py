@@ -79,8 +79,8 @@ def decay(half_life: float, order: str = SESSION, keys: tuple[str, ...] = (TICKE
 
 
 def weighted(x: Column, w: Column, spec: WindowSpec) -> Column:
-    """Weighted mean over a frame; rows with a NULL x have no weight."""
-    return F.sum(x * w).over(spec) / F.sum(F.when(x.isNotNull(), w)).over(spec)
+    """Weighted mean over a frame; rows with a NULL x have no weight. NULL where all weights are too small for a double (over 1000 half-lives back)."""
+    return F.try_divide(F.sum(x * w).over(spec), F.sum(F.when(x.isNotNull(), w)).over(spec))
 
 
 def ewm_mean(x: Column | str, half_life: float, spec: WindowSpec | None = None, order: str = SESSION) -> Column:
@@ -93,9 +93,9 @@ def ewm_std(x: Column | str, half_life: float, spec: WindowSpec | None = None, o
     x, w, spec = col(x), decay(half_life, order), spec or running(order=order)
     own = F.when(x.isNotNull(), w)
     s1, s2 = F.sum(own).over(spec), F.sum(own * own).over(spec)
-    mean = F.sum(x * w).over(spec) / s1
-    var = F.greatest(F.sum(x * x * w).over(spec) / s1 - mean * mean, F.lit(0.0))
-    return F.when(F.count(x).over(spec) >= 2, F.sqrt(var * s1 * s1 / (s1 * s1 - s2)))
+    mean = F.try_divide(F.sum(x * w).over(spec), s1)
+    var = F.greatest(F.try_divide(F.sum(x * x * w).over(spec), s1) - mean * mean, F.lit(0.0))
+    return F.when(F.count(x).over(spec) >= 2, F.sqrt(F.try_divide(var * s1 * s1, s1 * s1 - s2)))
 
 
 def compounded(r: Column | str, spec: WindowSpec) -> Column:

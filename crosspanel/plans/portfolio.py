@@ -77,6 +77,35 @@ def b5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ix", "name", r("value").alias("value"))
 
 
+#: The chain of three steps by moments: each step's column is cleaned of the earlier ones, then explains what is left.
+CHAIN_SQL = (
+    WEIGHT_SQL
+    + ", cz AS (SELECT *, lag(volume) OVER (PARTITION BY ticker ORDER BY ix) AS vb, lag(size) OVER (PARTITION BY ticker ORDER BY ix) AS sb FROM xs), c0 AS (SELECT ix, ticker, w, ret, "
+    + f"{z('sb')} AS f1, {z('x')} AS f2, {z('vb')}"
+    + """ AS f3 FROM cz),
+y0 AS (SELECT * FROM c0 WHERE ret IS NOT NULL),
+n1 AS (SELECT ix, count(*) AS n, sum(w) AS s, sum(w * f1) / sum(w) AS mx, sum(w * ret) / sum(w) AS my, sum(w * f1 * f1) / sum(w) - pow(sum(w * f1) / sum(w), 2) AS vx, sum(w * ret * ret) / sum(w) - pow(sum(w * ret) / sum(w), 2) AS vy, sum(w * f1 * ret) / sum(w) - sum(w * f1) * sum(w * ret) / pow(sum(w), 2) AS cv FROM y0 WHERE f1 IS NOT NULL GROUP BY ix HAVING count(*) >= 5),
+k1 AS (SELECT ix, CASE WHEN vx > 1e-12 THEN cv / vx ELSE 0 END AS b, mx, my, vx, vy, cv FROM n1),
+y1 AS (SELECT y0.*, CASE WHEN f1 IS NOT NULL AND k1.ix IS NOT NULL THEN ret - my - b * (f1 - mx) ELSE ret END AS e1, CASE WHEN f1 IS NOT NULL AND k1.ix IS NOT NULL THEN f1 ELSE 0 END AS p1, k1.ix IS NOT NULL AS has1 FROM y0 LEFT JOIN k1 USING (ix)),
+g2 AS (SELECT ix, sum(w * f2) / sum(w) AS mf, sum(w * p1) / sum(w) AS mp, sum(w * p1 * p1) / sum(w) - pow(sum(w * p1) / sum(w), 2) AS vp, sum(w * p1 * f2) / sum(w) - sum(w * p1) * sum(w * f2) / pow(sum(w), 2) AS cp FROM y1 WHERE f2 IS NOT NULL GROUP BY ix HAVING count(*) >= 5),
+x2 AS (SELECT y1.*, g2.ix IS NOT NULL AS has2, CASE WHEN g2.ix IS NULL OR f2 IS NULL THEN NULL WHEN has1 THEN f2 - mf - CASE WHEN vp > 1e-12 THEN cp / vp ELSE 0 END * (p1 - mp) ELSE f2 END AS u FROM y1 LEFT JOIN g2 USING (ix)),
+n2 AS (SELECT ix, sum(w * u) / sum(w) AS mx, sum(w * e1) / sum(w) AS my, sum(w * u * u) / sum(w) - pow(sum(w * u) / sum(w), 2) AS vx, sum(w * e1 * e1) / sum(w) - pow(sum(w * e1) / sum(w), 2) AS vy, sum(w * u * e1) / sum(w) - sum(w * u) * sum(w * e1) / pow(sum(w), 2) AS cv FROM x2 WHERE u IS NOT NULL GROUP BY ix),
+k2 AS (SELECT *, CASE WHEN vx > 1e-12 THEN cv / vx ELSE 0 END AS b FROM n2),
+y2 AS (SELECT x2.*, CASE WHEN u IS NOT NULL THEN e1 - my - b * (u - mx) ELSE e1 END AS e2, coalesce(u, 0) AS p2 FROM x2 LEFT JOIN k2 USING (ix)),
+g3 AS (SELECT ix, sum(w * f3) / sum(w) AS mf, sum(w * p1) / sum(w) AS m1, sum(w * p2) / sum(w) AS m2, sum(w * p1 * p1) / sum(w) - pow(sum(w * p1) / sum(w), 2) AS v11, sum(w * p2 * p2) / sum(w) - pow(sum(w * p2) / sum(w), 2) AS v22, sum(w * p1 * p2) / sum(w) - sum(w * p1) * sum(w * p2) / pow(sum(w), 2) AS v12,
+  sum(w * p1 * f3) / sum(w) - sum(w * p1) * sum(w * f3) / pow(sum(w), 2) AS c1, sum(w * p2 * f3) / sum(w) - sum(w * p2) * sum(w * f3) / pow(sum(w), 2) AS c2 FROM y2 WHERE f3 IS NOT NULL GROUP BY ix HAVING count(*) >= 5),
+h3 AS (SELECT *, v11 * v22 - v12 * v12 AS det FROM g3),
+q3 AS (SELECT *, CASE WHEN det > 1e-12 THEN (c1 * v22 - c2 * v12) / det WHEN v11 > 1e-12 THEN c1 / v11 ELSE 0 END AS b1, CASE WHEN det > 1e-12 THEN (c2 * v11 - c1 * v12) / det WHEN v11 <= 1e-12 AND v22 > 1e-12 THEN c2 / v22 ELSE 0 END AS b2 FROM h3),
+x3 AS (SELECT y2.*, CASE WHEN q3.ix IS NULL OR f3 IS NULL THEN NULL WHEN has1 OR has2 THEN f3 - mf - b1 * (p1 - m1) - b2 * (p2 - m2) ELSE f3 END AS v FROM y2 LEFT JOIN q3 USING (ix)),
+n3 AS (SELECT ix, sum(w * v) / sum(w) AS mx, sum(w * e2) / sum(w) AS my, sum(w * v * v) / sum(w) - pow(sum(w * v) / sum(w), 2) AS vx, sum(w * e2 * e2) / sum(w) - pow(sum(w * e2) / sum(w), 2) AS vy, sum(w * v * e2) / sum(w) - sum(w * v) * sum(w * e2) / pow(sum(w), 2) AS cv FROM x3 WHERE v IS NOT NULL GROUP BY ix),
+k3 AS (SELECT *, CASE WHEN vx > 1e-12 THEN cv / vx ELSE 0 END AS b FROM n3),
+y3 AS (SELECT x3.*, CASE WHEN v IS NOT NULL THEN e2 - my - b * (v - mx) ELSE e2 END AS e3 FROM x3 LEFT JOIN k3 USING (ix)),
+ks AS (SELECT ix, 'size' AS step, 'f_size' AS factor, b, mx, my, vx, vy, cv FROM k1 UNION ALL SELECT ix, 'reversal', 'f_reversal', b, mx, my, vx, vy, cv FROM k2 UNION ALL SELECT ix, 'volume', 'f_volume', b, mx, my, vx, vy, cv FROM k3),
+chain AS (SELECT ix, step, NULL::VARCHAR AS ticker, unnest(['intercept', factor, 'r2']) AS name, unnest([my - b * mx, b, CASE WHEN vy > 1e-14 THEN b * cv / vy ELSE 0 END]) AS value FROM ks
+  UNION ALL SELECT ix, 'size', ticker, 'resid', e1 FROM y3 UNION ALL SELECT ix, 'reversal', ticker, 'resid', e2 FROM y3 UNION ALL SELECT ix, 'volume', ticker, 'resid', e3 FROM y3)"""
+)
+
+
 STEPS = [("size", ["f_size"]), ("reversal", ["f_reversal"]), ("volume", ["f_volume"])]
 
 
@@ -84,19 +113,25 @@ def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cs.factor_chain(loaded(spark, sf_dir), "ret", STEPS, 5)
 
 
-@query("b6_factor_chain")
+@query("b6_factor_chain", CHAIN_SQL + " SELECT ix, step, name, round(value, 6) + 0.0 AS value FROM chain WHERE ticker IS NULL")
 def b6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chained(spark, sf_dir).where("ticker is null").select("ix", "step", "name", r("value").alias("value"))
 
 
-@query("b7_last_session")
+@query("b7_last_session", CHAIN_SQL + " SELECT ix, step, ticker, name, round(value, 6) + 0.0 AS value FROM chain WHERE ix = (SELECT max(ix) FROM mkt)")
 def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = loaded(spark, sf_dir)
     last = panel.agg(F.max("ix").alias("ix"))
     return cs.factor_chain(panel.join(F.broadcast(last), "ix", "left_semi"), "ret", STEPS, 5).select("ix", "step", "ticker", "name", r("value").alias("value"))
 
 
-@query("b8_variance_ladder")
+@query(
+    "b8_variance_ladder",
+    CHAIN_SQL
+    + """, al AS (SELECT ix, 'raw' AS step, ret AS value FROM mkt WHERE ret IS NOT NULL UNION ALL SELECT ix, step, value FROM chain WHERE name = 'resid'),
+vl AS (SELECT step, avg(v) AS variance FROM (SELECT ix, step, var_pop(value) AS v FROM al GROUP BY ix, step) GROUP BY step)
+SELECT step, round(variance, 8) + 0.0 AS variance, round(variance / (SELECT variance FROM vl WHERE step = 'raw'), 6) + 0.0 AS share FROM vl""",
+)
 def b8(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = loaded(spark, sf_dir)
     raw = panel.where("ret is not null").select("ix", F.lit("raw").alias("step"), F.col("ret").alias("value"))
@@ -112,7 +147,11 @@ def b8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "n", r("mean").alias("mean"), r("t", 5).alias("t"), r("annual").alias("annual"), r("vol").alias("vol"), r("sharpe", 5).alias("sharpe"))
 
 
-@query("b9_factor_returns")
+@query(
+    "b9_factor_returns",
+    CHAIN_SQL
+    + """ SELECT step AS name, count(b) AS n, round(avg(b), 6) + 0.0 AS mean, round(avg(b) / stddev_samp(b) * sqrt(count(b)), 5) + 0.0 AS t, round(avg(b) / stddev_samp(b) * sqrt(52.0), 5) + 0.0 AS sharpe FROM ks GROUP BY step""",
+)
 def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chained(spark, sf_dir).where("ticker is null and name not in ('intercept', 'r2')").groupBy("ix", F.col("step").alias("name")).agg(F.sum("value").alias("value"))
     out = cs.factor_statistics(rows, 52.0)
@@ -241,17 +280,54 @@ def g9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navs(spark, sf_dir).select("ix", r("ret").alias("ret"), r("nav", 5).alias("nav"), r("drawdown", 5).alias("drawdown"))
 
 
-@query("g10_strategy_simulation")
-def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
+RULES = pf.Rules(levels=((0.04, 0.25), (0.07, 0.5)), back=0.03, confirm=2, high_sessions=26, cost=P.cost_bps / 10_000)
+#: Each recursion step is a session: s0 moves the navs, s1 the hedge and the high-water mark, s2 cuts, s3 restores.
+SIM_SQL = (
+    BLEND_SQL
+    + """, bks AS (SELECT 'alpha' AS strategy, ix, ticker, CAST(weight AS DOUBLE) AS weight FROM alpha UNION ALL SELECT 'equal', ix, ticker, CAST(weight AS DOUBLE) FROM equal UNION ALL SELECT 'blend', ix, ticker, CAST(weight AS DOUBLE) FROM blend),
+bsp AS (SELECT strategy, ix AS set_at, lead(ix) OVER (PARTITION BY strategy ORDER BY ix) AS until, lag(ix) OVER (PARTITION BY strategy ORDER BY ix) AS before FROM (SELECT DISTINCT strategy, ix FROM bks)),
+bdy AS (SELECT strategy, ix, set_at FROM (SELECT DISTINCT ix FROM mkt) JOIN bsp ON ix > set_at AND (until IS NULL OR ix <= until)),
+bhr AS (SELECT bdy.strategy, bdy.ix, sum(weight * coalesce(mkt.ret, 0)) AS ret FROM bdy JOIN bks ON bks.strategy = bdy.strategy AND bks.ix = set_at LEFT JOIN mkt ON mkt.ix = bdy.ix AND mkt.ticker = bks.ticker GROUP BY ALL),
+btu AS (SELECT strategy, ix, sum(abs(weight - old)) / 2 AS turnover FROM (
+  SELECT coalesce(n.strategy, o.strategy) AS strategy, coalesce(n.ix, o.ix) AS ix, coalesce(n.weight, 0) AS weight, coalesce(o.weight, 0) AS old FROM bks n
+  FULL JOIN (SELECT bks.strategy, bsp.set_at AS ix, ticker, weight FROM bks JOIN bsp ON bsp.strategy = bks.strategy AND bsp.before = bks.ix) o USING (strategy, ix, ticker)) GROUP BY ALL),
+mk1 AS (SELECT ix, max(market) AS market FROM mkt GROUP BY ix), mk2 AS (SELECT ix, market, sum(market) OVER (ORDER BY ix ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) < -0.02 AS signal FROM mk1),
+din AS (SELECT strategy, ix, ret, coalesce(turnover, 0.0) AS turn, coalesce(market, 0.0) AS hedge, coalesce(signal, false) AS signal, row_number() OVER (PARTITION BY strategy ORDER BY ix) AS k FROM bhr LEFT JOIN btu USING (strategy, ix) LEFT JOIN mk2 USING (ix)),
+sim AS (
+  SELECT DISTINCT strategy, CAST(0 AS BIGINT) AS k, CAST(NULL AS INTEGER) AS ix, 1.0::DOUBLE AS nav, 1.0::DOUBLE AS gross, -1 AS lv, 1.0::DOUBLE AS theory, 1.0::DOUBLE AS low, 0 AS cnt, []::DOUBLE[] AS past, 0 AS since, false AS sig, 1.0::DOUBLE AS price, NULL::DOUBLE AS entry, 0.0::DOUBLE AS account, 0.0::DOUBLE AS drawdown, false AS rebalanced, NULL::VARCHAR AS event FROM din
+  UNION ALL
+  SELECT strategy, k, ix, nav, CASE WHEN restored THEN 1.0 ELSE gross END, CASE WHEN restored THEN -1 ELSE lv END, theory, low, CASE WHEN restored THEN 0 ELSE cnt END, past, since, signal, price, entry, account, drawdown, rebalanced, CASE WHEN restored THEN 'back' WHEN cut THEN 'cut' END
+  FROM (SELECT *, lv >= 0 AND cnt >= 2 AS restored FROM (
+    SELECT * REPLACE (CASE WHEN lv < 0 THEN cnt WHEN theory / low - 1 >= 0.03 THEN cnt + 1 ELSE 0 END AS cnt) FROM (
+      SELECT * REPLACE (CASE WHEN cut THEN lv + 1 ELSE lv END AS lv, CASE WHEN cut THEN gross * CASE lv WHEN -1 THEN 0.75 ELSE 0.5 END ELSE gross END AS gross, CASE WHEN cut THEN nav ELSE theory END AS theory, CASE WHEN cut THEN nav ELSE low END AS low, CASE WHEN cut THEN 0 ELSE cnt END AS cnt) FROM (
+        SELECT *, CASE lv WHEN -1 THEN drawdown <= -0.04 WHEN 0 THEN drawdown <= -0.07 ELSE false END AS cut FROM (
+          SELECT *, nav / list_max(past) - 1 AS drawdown FROM (
+            SELECT * REPLACE (list_append(past, nav)[-26:] AS past, CASE WHEN entry IS NOT NULL AND NOT sig THEN account - (price / entry - 1) * 0.5 ELSE account END AS account, CASE WHEN entry IS NOT NULL AND NOT sig THEN NULL WHEN entry IS NULL AND sig THEN price ELSE entry END AS entry, least(low, theory) AS low) FROM (
+             SELECT * REPLACE (nav * CASE WHEN rebalanced THEN 1 - 0.001 * turn * gross ELSE 1 END AS nav, CASE WHEN rebalanced THEN 0 ELSE since END AS since) FROM (
+              SELECT d.strategy, d.k, d.ix, s.nav * (1 + s.gross * d.ret) AS nav, s.gross, s.lv, CASE WHEN s.lv >= 0 THEN s.theory * (1 + d.ret) ELSE s.theory END AS theory, s.low, s.cnt, s.past, s.since + 1 AS since, s.sig, d.signal, s.price * (1 + d.hedge) AS price, s.entry, s.account, d.turn, s.since + 1 >= 4 AND d.turn > 0.2 AS rebalanced
+              FROM sim s JOIN din d ON d.strategy = s.strategy AND d.k = s.k + 1))))))))
+)
+SELECT strategy, ix, round(nav, 5) + 0.0 AS nav, gross, round(drawdown, 5) + 0.0 AS drawdown, rebalanced, event, round(account, 5) + 0.0 AS account FROM sim WHERE k > 0"""
+)
+
+
+def strategy_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(strategy, ix, ret, turnover, hedge, signal): three books, hedged with the market when it has fallen by 2 % in four sessions."""
     panel = base(spark, sf_dir)
     books = {"alpha": alpha_book(spark, sf_dir), "equal": size_book(spark, sf_dir), "blend": blended_book(spark, sf_dir)}
-    hedge = panel.groupBy("ix").agg((-0.5 * F.max("market")).alias("hedge"))
+    market = panel.groupBy("ix").agg(F.max("market").alias("hedge"))  # one row a session
+    market = market.withColumn("signal", F.sum("hedge").over(Window.orderBy("ix").rowsBetween(-3, 0)) < -0.02)
     days = None
     for name, book in books.items():
-        one = pf.held_returns(book, panel).join(pf.turnover(book), "ix", "left").join(hedge, "ix", "left").withColumn("strategy", F.lit(name))
+        one = pf.held_returns(book, panel).join(pf.turnover(book), "ix", "left").join(market, "ix", "left").withColumn("strategy", F.lit(name))
         days = one if days is None else days.unionByName(one)
-    out = pf.simulated(days, P.cost_bps / 10_000, 0.1, 0.1, 0.2, 4)
-    return out.select("strategy", "ix", r("nav", 5).alias("nav"), "gross", r("drawdown", 5).alias("drawdown"), "rebalanced")
+    return days
+
+
+@query("g10_strategy_simulation", SIM_SQL, recursive=True)
+def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pf.simulated(strategy_days(spark, sf_dir), RULES)
+    return out.select("strategy", "ix", r("nav", 5).alias("nav"), "gross", r("drawdown", 5).alias("drawdown"), "rebalanced", "event", r("account", 5).alias("account"))
 
 
 @query("g11_performance", NAV_SQL + """, yr AS (SELECT nd.*, CAST(year(d) AS INTEGER) AS year FROM nd JOIN (SELECT ix, min(d) AS d FROM mkt GROUP BY ix) USING (ix)),

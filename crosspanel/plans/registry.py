@@ -15,13 +15,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, panel: bool = True) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, panel: bool = True, recursive: bool = False) -> Callable[[Query], Query]:
     """Registers a plan; sql continues after the panel's common table expressions unless panel is False."""
 
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLE[name] = f"WITH {PANEL_SQL}\n{sql}" if panel else sql
+            ORACLE[name] = f"WITH{' RECURSIVE' * recursive} {PANEL_SQL}\n{sql}" if panel else sql
         return f
 
     return add

@@ -60,7 +60,7 @@ def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s7_stale_prices", """, rd AS (SELECT ticker, ix, round(close / 500) AS close FROM panel), mk AS (SELECT *, CASE WHEN close IS NOT DISTINCT FROM lag(close) OVER (PARTITION BY ticker ORDER BY ix) THEN 0 ELSE 1 END AS b FROM rd),
 rn AS (SELECT *, sum(b) OVER (PARTITION BY ticker ORDER BY ix) AS run FROM mk), ct AS (SELECT *, count(*) OVER (PARTITION BY ticker, run) AS n FROM rn), kp AS (SELECT ticker, ix, CASE WHEN n <= 2 THEN close END AS close FROM ct)
-SELECT ticker, ix, close FROM (SELECT *, count(close) OVER (PARTITION BY ticker) AS k FROM kp) WHERE k >= 50""")
+SELECT ticker, ix, close FROM (SELECT *, count(close) OVER (PARTITION BY ticker ORDER BY ix) AS k FROM kp) WHERE k >= 50""")
 def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded = base(spark, sf_dir).select("ticker", "ix", F.round(F.col("close") / 500).alias("close"))
     return jn.without_stale(rounded, 2, 50)
@@ -168,9 +168,9 @@ def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarters(spark, sf_dir).select("ticker", "q", r(slope, 3).alias("slope"), r(r2, 4).alias("r2"))
 
 
-@query("f7_relative_volatility", "WITH " + QUARTER_SQL + " SELECT ticker, q, round(CASE WHEN count(rev) OVER e >= 4 AND abs(avg(rev) OVER f) > 0 THEN stddev_samp(rev) OVER e / abs(avg(rev) OVER f) * 100 END, 3) + 0.0 AS vol FROM qs WINDOW f AS (PARTITION BY ticker ORDER BY q RANGE BETWEEN 3 PRECEDING AND CURRENT ROW), e AS (PARTITION BY ticker ORDER BY q RANGE BETWEEN 7 PRECEDING AND CURRENT ROW)", panel=False)
+@query("f7_relative_volatility", "WITH " + QUARTER_SQL + ", qw AS (SELECT *, pow(2.0, (q - max(q) OVER (PARTITION BY ticker)) / 4.0) AS w FROM qs) SELECT ticker, q, round(CASE WHEN count(rev) OVER e >= 4 AND abs(avg(rev) OVER f) > 0 THEN sqrt(greatest(sum(w * rev * rev) OVER e / sum(CASE WHEN rev IS NOT NULL THEN w END) OVER e - pow(sum(w * rev) OVER e / sum(CASE WHEN rev IS NOT NULL THEN w END) OVER e, 2), 0) * pow(sum(CASE WHEN rev IS NOT NULL THEN w END) OVER e, 2) / (pow(sum(CASE WHEN rev IS NOT NULL THEN w END) OVER e, 2) - sum(CASE WHEN rev IS NOT NULL THEN w * w END) OVER e)) / abs(avg(rev) OVER f) * 100 END, 2) + 0.0 AS vol FROM qw WINDOW f AS (PARTITION BY ticker ORDER BY q RANGE BETWEEN 3 PRECEDING AND CURRENT ROW), e AS (PARTITION BY ticker ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", panel=False)
 def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quarters(spark, sf_dir).select("ticker", "q", r(fu.relative_volatility("rev"), 3).alias("vol"))
+    return quarters(spark, sf_dir).select("ticker", "q", r(fu.relative_volatility("rev"), 2).alias("vol"))
 
 
 @query("f8_trailing_multiples", "WITH " + QUARTER_SQL + f", b AS (SELECT ticker, q, {_ts('rev', 4, 3, 0)} AS s, {_ts('inc', 4, 4, 0)} AS e, 1000.0 + q AS cap FROM qs) SELECT ticker, q, round(cap / s, 6) + 0.0 AS ps, round(CASE WHEN e <> 0 THEN cap / e END, 5) + 0.0 AS pe FROM b", panel=False)
@@ -202,7 +202,18 @@ def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fu.wide(long, ["cfo", "capex"]).select("ticker", "q", r(F.col("cfo") + F.coalesce("capex", F.lit(0.0)), 8).alias("fcf"))
 
 
-@query("f14_legacy_redating")
+@query(
+    "f14_legacy_redating",
+    "WITH "
+    + QUARTER_SQL
+    + """, ref AS (SELECT ticker, q, round(rev, 2) AS k FROM qs), leg AS (SELECT ticker, CAST(q // 4 AS INTEGER) AS "row", q % 4 AS col, round(rev, 2) AS k FROM qs),
+hit AS (SELECT DISTINCT leg.ticker, leg."row", col, ref.q - col AS "offset" FROM leg JOIN ref ON ref.ticker = leg.ticker AND ref.k = leg.k),
+isl AS (SELECT *, col - row_number() OVER (PARTITION BY ticker, "row", "offset" ORDER BY col) AS g FROM hit),
+rn AS (SELECT ticker, "row", "offset", g, count(*) AS n FROM isl GROUP BY ALL), by_o AS (SELECT ticker, "row", "offset", max(n) AS run, CAST(sum(n) AS BIGINT) AS matches FROM rn GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY ticker, "row" ORDER BY run DESC, matches DESC, "offset" DESC) AS k FROM by_o WHERE run >= 3)
+SELECT ticker, "row", CAST("offset" AS INTEGER) AS "offset", run, matches FROM best WHERE k = 1""",
+    panel=False,
+)
 def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quarters(spark, sf_dir).select("ticker", "q", F.col("rev").alias("value"))
     legacy = rows.select("ticker", F.floor(F.col("q") / 4).cast("int").alias("row"), (F.col("q") % 4).alias("col"), "value")
@@ -228,7 +239,12 @@ def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.runs(read(spark, sf_dir, "events", "user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type")
 
 
-@query("w3_thinned_dates")
+@query(
+    "w3_thinned_dates",
+    """WITH RECURSIVE x AS (SELECT DISTINCT l_suppkey, CAST(l_shipdate AS DATE) AS d FROM lineitem),
+t AS (SELECT l_suppkey, min(d) AS d FROM x GROUP BY l_suppkey UNION ALL SELECT t.l_suppkey, min(x.d) AS d FROM t JOIN x ON x.l_suppkey = t.l_suppkey AND x.d >= t.d + 30 GROUP BY t.l_suppkey) SELECT l_suppkey, d FROM t""",
+    panel=False,
+)
 def w3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate").select("l_suppkey", F.to_date("l_shipdate").alias("d"))
     return jn.thinned(rows, 30, ["l_suppkey"])

@@ -87,7 +87,7 @@ WEIGHT_SQL = (
 sn AS (SELECT cutoff, metric, unnest(['growth', 'tight']) AS regime, unnest([spread * (1 - q), spread * q]) AS x FROM sp JOIN reg USING (ix) JOIN cu ON ix + 4 < cutoff),
 st AS (SELECT cutoff, regime, metric, avg(x) AS mean, CASE WHEN stddev_samp(x) > 0 THEN avg(x) / (stddev_samp(x) / sqrt(count(x))) END AS t FROM sn GROUP BY ALL),
 md AS (SELECT *, median(mean) OVER w AS mm, median(t) OVER w AS mt FROM st WINDOW w AS (PARTITION BY cutoff, regime)),
-gd AS (SELECT *, row_number() OVER (PARTITION BY cutoff, regime ORDER BY t DESC, metric) AS place FROM md WHERE mean > 0 AND mean >= mm AND t >= mt),
+gd AS (SELECT *, row_number() OVER (PARTITION BY cutoff, regime ORDER BY t DESC, metric) AS place FROM md WHERE mean > 0 AND mean > mm AND t > mt),
 w0 AS (SELECT cutoff, regime, metric, t / sum(t) OVER (PARTITION BY cutoff, regime) AS weight FROM gd WHERE place <= 3),
 weights AS (SELECT * FROM w0 UNION ALL SELECT cutoff, 'tight', metric, weight FROM w0 WHERE regime = 'growth' AND cutoff NOT IN (SELECT cutoff FROM w0 WHERE regime = 'tight'))"""
 )
@@ -239,10 +239,21 @@ def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.similarity_weights(ics, rates(spark, sf_dir), cutoffs, P.horizon, 52.0).select("cutoff", "metric", r("weight").alias("weight"))
 
 
-@query("d5_bounded_weights")
+BOUND = "list_transform(list_transform(v, lambda x: least(greatest(x, 0.10), 0.50)), lambda x: x / list_sum(list_transform(v, lambda y: least(greatest(y, 0.10), 0.50))))"
+
+
+@query(
+    "d5_bounded_weights",
+    WEIGHT_SQL
+    + """, ls AS (SELECT cutoff, regime, list(metric ORDER BY metric) AS names, list(greatest(weight, 0.0) ORDER BY metric) AS v FROM weights GROUP BY cutoff, regime),
+v0 AS (SELECT cutoff, regime, names, CASE WHEN list_sum(v) > 0 THEN list_transform(v, lambda x: x / list_sum(v)) ELSE list_transform(v, lambda x: 1.0 / len(v)) END AS v FROM ls)"""
+    + "".join(f", v{k + 1} AS (SELECT cutoff, regime, names, {BOUND} AS v FROM v{k})" for k in range(10))
+    + " SELECT cutoff, regime, unnest(names) AS metric, unnest(list_transform(v, lambda x: round(x, 4))) AS weight FROM v10",
+)
 def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = weights(spark, sf_dir).groupBy("cutoff", "regime").agg(F.sort_array(F.collect_list(F.struct("metric", "weight"))).alias("x"))
-    return sc.bounded_weights(rows.select("cutoff", "regime", F.col("x.metric").alias("names"), F.col("x.weight").alias("values")), 0.10, 0.50)
+    out = sc.bounded_weights(rows.select("cutoff", "regime", F.col("x.metric").alias("names"), F.col("x.weight").alias("values")), 0.10, 0.50)
+    return out.select("cutoff", "regime", F.explode(F.arrays_zip("names", "values")).alias("x")).select("cutoff", "regime", F.col("x.names").alias("metric"), F.col("x.values").alias("weight"))
 
 
 @query(

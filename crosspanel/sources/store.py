@@ -2,7 +2,8 @@
 
 Tables are Parquet folders, partitioned by a key column where rows are replaced by key, so that a
 run touches only the partitions it brings. Nothing is updated in place; a rewritten table goes to
-a new folder first and takes the old one's place by rename.
+a new folder first and takes the old one's place by rename. The old folder is set aside until then:
+a table that a crash left without its folder is found there and put back.
 """
 
 from __future__ import annotations
@@ -24,13 +25,23 @@ class Table:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _aside(self):  # noqa: ANN202
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.before")
+
     def exists(self) -> bool:
         path, fs = self._fs()
+        if not fs.exists(path) and fs.exists(self._aside()):  # a replacement that did not get to its end
+            fs.rename(self._aside(), path)
         return fs.exists(path)
 
     def read(self) -> DataFrame:
+        self.exists()
         return self.spark.read.parquet(self.path)
 
+    def columns(self) -> list[tuple[str, str]]:
+        """Names and types of the columns, from the schema alone; none if there is no table."""
+        return self.read().dtypes if self.exists() else []
+
     def _write(self, df: DataFrame, mode: str, path: str | None = None) -> None:
         writer = df.write.mode(mode)
         (writer.partitionBy(self.partition) if self.partition else writer).parquet(path or self.path)
@@ -43,8 +54,11 @@ class Table:
         path, fs = self._fs()
         fresh = f"{self.path}.{uuid.uuid4().hex}"
         self._write(df, "error", fresh)
-        fs.delete(path, True)
+        if self.exists():
+            fs.delete(self._aside(), True)
+            fs.rename(path, self._aside())
         fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(fresh), path)
+        fs.delete(self._aside(), True)
 
     def replace_partitions(self, df: DataFrame) -> None:
         """Only the partitions that df brings (dynamic overwrite)."""

@@ -1,6 +1,7 @@
 """Matrix and sequential operators against plain formulas, and invariants."""
 
 import datetime
+import random
 
 import numpy as np
 import pandas as pd
@@ -200,3 +201,38 @@ def test_streaming_equals_batch(spark, tmp_path):
     table = Table(spark, str(tmp_path / "out"), "user_id")
     ev.panel_sink(stream, table, str(tmp_path / "ck")).awaitTermination(120)
     assert table.read().count() == 200
+
+
+def test_strategy_goes_on_from_its_state(spark):
+    """Half a run and its state give the other half of the whole run; each rule takes effect."""
+    r = random.Random(5)
+    rows = [(s, i, r.gauss(-0.004 if i % 40 < 20 else 0.006, 0.02), 0.5 if i % 5 == 0 else None, r.gauss(0, 0.02), r.random() < 0.3) for s in ("a", "b") for i in range(120)]
+    days = spark.createDataFrame(rows, "strategy string, ix int, ret double, turnover double, hedge double, signal boolean")
+    rules = pf.Rules(levels=((0.05, 0.25), (0.08, 0.5)), back=0.03, confirm=2, high_sessions=30)
+    whole = pf.simulated(days, rules).collect()
+    first = pf.simulated(days.where("ix < 57"), rules)
+    later = pf.simulated(days.where("ix >= 57"), rules, first.select("strategy", "state")).collect()
+    key = lambda x: (x.strategy, x.ix)
+    assert sorted(later, key=key) == sorted((x for x in whole if x.ix >= 57), key=key)
+    assert {x.event for x in whole} == {None, "cut", "back"} and any(x.account for x in whole) and any(x.rebalanced for x in whole)
+    by = {key(x): x for x in whole}
+    for x in whole:
+        if x.event == "cut":
+            assert x.gross < by.get((x.strategy, x.ix - 1), x).gross or x.ix == 0
+    assert sum(x.state is not None for x in whole) == 2
+
+
+def test_bounded_weights_of_zeros_and_negatives(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], [0.0, -1.0]), (2, ["a", "b", "c"], [0.5, -0.2, 0.5]), (3, ["a", "b"], [None, 2.0])], "group int, names array<string>, values array<double>")
+    got = {x.group: list(x["values"]) for x in sc.bounded_weights(df, 0.1, 0.6).collect()}
+    assert got[1] == [0.5, 0.5] and sum(got[2]) == pytest.approx(1, abs=1e-3) and got[2][0] == got[2][2] > got[2][1] > 0
+    assert got[3][1] > got[3][0] > 0
+
+
+def test_table_survives_a_crash_between_renames(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t"))
+    t.append(spark.range(3))
+    (tmp_path / "t").rename(tmp_path / "t.before")  # as far as a crashed replacement came
+    assert t.exists() and t.read().count() == 3 and t.columns() == [("id", "bigint")]
+    t.replace(t.read().where("id > 0"))
+    assert sorted(x.id for x in t.read().collect()) == [1, 2] and not (tmp_path / "t.before").exists()
