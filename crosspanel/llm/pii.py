@@ -63,6 +63,7 @@ _SOLID = re.compile(r"(?<![0-9])[0-9]{14,19}(?![0-9])")
 
 _KEY = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{16,4096}+={0,2}(?![A-Za-z0-9+/_-])")
 _ASSIGNED = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|key)[\"']? ?(?:[:=]|is) ?[\"']?([^\s\"'<>]{6,128}+)", re.I)
+_PASS = re.compile(r"pass|pwd|secret", re.I)
 _NAMES = re.compile(r"passw|passp|pwd|secret|token|key", re.I)
 _DIGITS = re.compile(r"(?<![0-9A-Za-z.,:/#-])[0-9]{9,20}+(?![0-9A-Za-z/:-]|[.,][0-9])")
 _IDENTITY = re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9A-Za-z-])|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -174,7 +175,7 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
     letters = sum(c.isalpha() for c in span)
     hexes = sum(c in "0123456789abcdefABCDEF" for c in span)
     turns = sum(x.isdigit() != y.isdigit() for x, y in pairwise(span))
-    row += [len(set(span)), len(set(span)) / len(span), hexes / len(span), len(digits) / len(span), turns / len(span), letters - sum(c.islower() for c in span), float(before.rstrip(" \"'")[-1:] in "=:"), float(before[-1:] in "\"'" and after[:1] in "\"'"), float(sum(c in "-_/" for c in span)), float(digits == span)]
+    row += [len(set(span)), len(set(span)) / len(span), hexes / len(span), len(digits) / len(span), turns / len(span), letters - sum(c.islower() for c in span), float(before.rstrip(" \"'")[-1:] in "=:"), float(before[-1:] in "\"'" and after[:1] in "\"'"), float(sum(c in "-_/" for c in span)), float(digits == span), float(bool(_PASS.search(before[-16:]))), float(sum(not c.isalnum() for c in span))]
     return row
 
 
@@ -260,10 +261,10 @@ def _generated(rows: int, seed: int, unseen: bool = False) -> Iterator[tuple[str
         chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
         some = lambda c, lo, hi: "".join(r.choice(c) for _ in range(r.randint(lo, hi)))
         if yes:
-            lead = more(["token = ", "api_key: ", "password=", "secret: ", "key = ", "password is ", "", word(1) + " "], ["auth token ", "access_key=", "passwd: ", "bearer ", "private key ", "credentials ", word(2) + " "])
+            lead = more(["token = ", "api_key: ", "password=", "secret: ", "key = ", "password is ", "password: ", "", word(1) + " "], ["auth token ", "access_key=", "passwd: ", "bearer ", "private key ", "credentials ", word(2) + " "])
             body = r.choice([lambda: some("0123456789abcdef", 32, 64), lambda: "AK" + some(chars[26:], 16, 18), lambda: some(chars, 24, 60), lambda: some(chars, 3, 5) + "_" + some(chars, 20, 36), lambda: some(chars + "+/", 30, 86) + r.choice(["", "=", "=="])])()
             if ("pass" in lead or "secret" in lead) and r.random() < 0.6:
-                body = some(chars + "!#$%", 8, 14)
+                body = r.choice([some(chars + "!#$%", 8, 14), name() + num(r.randint(1, 4)) + r.choice(["", "!", "#", "!x9", name()]), name() + r.choice("!_-#") + name() + num(2)])
             quote = r.choice(["", '"', "'"])
             body = body.upper() if r.random() < 0.1 else body
             return lead + quote, body, quote + r.choice([" ", "\n", ";", ","])

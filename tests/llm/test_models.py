@@ -112,6 +112,51 @@ def test_languages(spark, tmp_path, empty_dir):
     assert none.first().lang_pred == "und"
 
 
+def plain_prediction(text, models):
+    """The language of least cross-entropy, by one model after the other."""
+    short = normal(text or "")
+    if not short:
+        return "und"
+    grams = packed([short])[0]
+    bits = {lang: -np.log2(m.probability(grams)).mean() for lang, m in sorted(models.items())}
+    return min(bits, key=bits.get)
+
+
+def test_languages_equal_the_plain_models(spark, tmp_path):
+    """Whole query against plain models of all texts that are neither held out nor for calibration; letters beyond the basic plane and very long texts."""
+    values = language_rows(300) + [(1000, "\U0001f600", "en"), (1001, "123 \U0001f600 4", "de"), (1002, "\U00010400\U00010401", None), (1003, "the of and that " * 40_000 + "\n", None), (1003, "the of and that " * 40_000 + "\n", None), (1004, "die " + "x" * 600_000, None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", 0, "x", True) for i, t, lang in values], "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, held_out boolean").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = defaultdict(list)
+    for r in op3_language_id(spark, str(tmp_path)).collect():
+        got[r.doc_id].append(r)
+    assert [r.lang_pred for i in (1000, 1001) for r in got[i]] == ["und", "und"] and got[1000][0].score == 0
+    assert got[1002][0].lang_pred != "und" and [r.lang_pred for r in got[1003]] == ["en", "en"]
+    from crosspanel.llm.language_id import HELD_OUT, _draw
+
+    learnt = docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("lang").isNotNull() & (_draw() >= HELD_OUT)).collect()
+    models = {}
+    for lang in WORDS:
+        grams, n = np.unique(packed([normal(r.text) for r in learnt if r.lang == lang])[0], return_counts=True)
+        models[lang] = KneserNey(grams, n)
+    for i, t, _ in values:
+        if i < 1003:
+            assert got[i][0].lang_pred == plain_prediction(t, models), t
+
+
+def test_long_texts_keep_their_context(monkeypatch):
+    from crosspanel.llm import language_id
+
+    grams, n = np.unique(packed([normal(t) for t, in [(x[1],) for x in language_rows(60)]])[0], return_counts=True)
+    one = Identifier(["a"], [KneserNey(grams, n)])
+    texts = [normal("the of and that with this " * 50), normal("der und die")]
+    whole, counts = one.entropies(texts)
+    monkeypatch.setattr(language_id, "PART_CHARS", 37)
+    parts, again = one.entropies(texts)
+    assert np.allclose(whole, parts, rtol=1e-6) and (counts == again).all()
+    assert normal("ab, cd. " * 30) == "ab cd " * 30 and normal(" 1 ") == "" and normal("a1b") == "a b"
+
+
 def test_quality_scores_equal_the_model(spark):
     good = sentences(1, 60)
     noise = ["".join(random.Random(i).choice("!#$%&*QZXW ") for _ in range(200)) for i in range(10)]

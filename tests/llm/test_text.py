@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import defaultdict
@@ -46,6 +47,24 @@ def test_main_text_of_odd_pages():
     assert main_text("<article><header><h1>Title</h1><p>By me</p></header><p>Text</p></article>") == "Title\nText"
 
 
+STORY = "A story of some length, told in plain words, with commas, and so on. " * 6
+
+
+def test_pages_that_lost_their_text():
+    assert main_text(f"<body><form id=aspnetForm><div><p>{STORY}</p></div><input type=text></form></body>") == STORY.strip()
+    assert main_text("<p>foo<img src=x>bar</p>") == "foobar"
+    assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be.</p></article>") == "Let x=1 be."
+    page = f"<article><p>{STORY}</p><section class='related-work'><p>{STORY}</p></section><div class='related-links'><a>x</a></div><div class=share-buttons>Share</div><div class='post-comments'><p>{STORY}</p></div></article>"
+    assert main_text(page) == f"{STORY.strip()}\n{STORY.strip()}"
+
+
+@pytest.mark.parametrize("page", ["<div>a " * 100_000, "<a " * 100_000, "<blockquote>a, " * 100_000, "<article>" + "<header><h2>x</h2>" * 50_000, "<p><table>" + "<span><div>" * 50_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<svg>x" * 100_000, "<!" * 100_000, "<div class=comments>a" * 50_000, "<article>a" * 100_000])
+def test_time_is_linear_in_open_tags(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 8
+
+
 def test_pages(spark, empty_dir):
     pages = spark.createDataFrame([(1, "u", f"<article>{STORY}</article>", "x"), (2, None, None, "x"), (1, "u", f"<article>{STORY}</article>", "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     got = sorted(map(tuple, extract(pages).collect()), key=str)
@@ -96,6 +115,29 @@ def test_numbers_next_to_other_numbers():
     assert len(pii.proposals("12 " * 20_000)) < 20 * 20_000
 
 
+def test_secrets_and_accounts():
+    trees, limits = pii.model()
+    for text, want in [
+        ('here token = "ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e" ok', 'here token = "<SECRET>" ok'),
+        ("password: hunter2!x9 ok", "password: <SECRET> ok"),
+        ("the payment 6044423740532315 came", "the payment <ACCOUNT> came"),
+        ("ssn 123-45-6789 ok", "ssn <ACCOUNT> ok"),
+        ("order 6044423740532 came", None),
+        ("see http://site/path-to-some-long-page-name-2024", None),
+        ("Licensed under the Apache License, Version 2.0.", None),
+    ]:
+        assert redact_text(text, trees, limits) == (want or text)
+
+
+def test_proposals_in_long_texts_and_repeated_rows(spark):
+    long = "word " * 300_000 + "call (555) 123-4567 now"
+    values = [(1, long, "x", 7), (1, long, "x", 7), (2, "a@b.cc", "y", 8)]
+    df = spark.createDataFrame(values, "doc_id long, text string, spans string, n_email long")
+    got = sorted((r.doc_id, r.spans, r.n_email, r.n_spans) for r in pii.spans(df).collect())
+    at = len("word ") * 300_000 + 5
+    assert got == [(1, f"phone:{at}:{at + 14}", 0, 1)] * 2 + [(2, "email:0:6", 1, 1)]
+
+
 def test_pii_rows(spark, tmp_path, empty_dir):
     values = [(1, "x@y.zz at 1.2.3.4", "en", "s", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (None, "é +1 555 123 4567", "en", "s", 0)]
     df = spark.createDataFrame(values, "doc_id long, text string, lang string, source string, n_chars long")
