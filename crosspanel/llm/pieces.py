@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Merges, merge_all
-from .shared import chunks, mix
+from .shared import mix, text_parts
 
 MARK = "▁"
 RATE = 0.1
@@ -132,12 +132,11 @@ def encoded(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for b in batches:
-            names = b.column(0).to_pylist()
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in chunks(texts):
-                ids, counts = model.encode(texts[lo:hi], keys_of(names[lo:hi], seed), rate)
+            for lo, part in text_parts(b.column(1)):
+                own, texts = b.column(0).slice(lo, len(part)), [t or "" for t in part]
+                ids, counts = model.encode(texts, keys_of(own.to_pylist(), seed), rate)
                 offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -161,14 +160,13 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for b in batches:
-            names = b.column(0).to_pylist()
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in chunks(texts):
-                ids, counts = model.encode(texts[lo:hi], keys_of(names[lo:hi], SEED), RATE)
+            for lo, part in text_parts(b.column(1)):
+                own, texts = b.column(0).slice(lo, len(part)), [t or "" for t in part]
+                ids, counts = model.encode(texts, keys_of(own.to_pylist(), SEED), RATE)
                 ends = np.cumsum(counts)
                 flat = ids.astype("<u4")
                 parts = [flat[e - n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                back = [model.decode(p.tolist()) == t for p, t in zip(parts, texts[lo:hi], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(counts), pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()), pa.array(back)], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
+                back = [model.decode(p.tolist()) == t for p, t in zip(parts, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([own, pa.array(counts), pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()), pa.array(back)], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
     return docs.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
