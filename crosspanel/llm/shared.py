@@ -171,18 +171,6 @@ def runs_of(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def chunks(texts: list[bytes], size: int = HASH_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about size bytes."""
-    begin = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= size:
-            yield begin, i + 1
-            begin, total = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def text_parts(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, list]]:
     """A text or binary column as Python objects, in parts of about size bytes: (first row, values).
 
