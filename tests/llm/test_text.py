@@ -47,15 +47,15 @@ def test_main_text_of_odd_pages():
     assert main_text("<article><header><h1>Title</h1><p>By me</p></header><p>Text</p></article>") == "Title\nText"
 
 
-STORY = "A story of some length, told in plain words, with commas, and so on. " * 6
+TALE = "A story of some length, told in plain words, with commas, and so on. " * 6
 
 
 def test_pages_that_lost_their_text():
-    assert main_text(f"<body><form id=aspnetForm><div><p>{STORY}</p></div><input type=text></form></body>") == STORY.strip()
+    assert main_text(f"<body><form id=aspnetForm><div><p>{TALE}</p></div><input type=text></form></body>") == TALE.strip()
     assert main_text("<p>foo<img src=x>bar</p>") == "foobar"
     assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be.</p></article>") == "Let x=1 be."
-    page = f"<article><p>{STORY}</p><section class='related-work'><p>{STORY}</p></section><div class='related-links'><a>x</a></div><div class=share-buttons>Share</div><div class='post-comments'><p>{STORY}</p></div></article>"
-    assert main_text(page) == f"{STORY.strip()}\n{STORY.strip()}"
+    page = f"<article><p>{TALE}</p><section class='related-work'><p>{TALE}</p></section><div class='related-links'><a>x</a></div><div class=share-buttons>Share</div><div class='post-comments'><p>{TALE}</p></div></article>"
+    assert main_text(page) == f"{TALE.strip()}\n{TALE.strip()}"
 
 
 @pytest.mark.parametrize("page", ["<div>a " * 100_000, "<a " * 100_000, "<blockquote>a, " * 100_000, "<article>" + "<header><h2>x</h2>" * 50_000, "<p><table>" + "<span><div>" * 50_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<svg>x" * 100_000, "<!" * 100_000, "<div class=comments>a" * 50_000, "<article>a" * 100_000])
