@@ -97,11 +97,12 @@ def test_books_and_covariances_are_solved_at_every_rebalance(spark, tmp_path):
 
 def test_simulation_recovers_and_ignores_order(spark):
     rets = [0.05] * 5 + [-0.06] * 6 + [0.04] * 15
-    rows = spark.createDataFrame([("s", i, r, 0.3, 0.01) for i, r in enumerate(rets)], "strategy string, ix int, ret double, turnover double, hedge double").orderBy(F.desc("ix"))
-    out = pf.simulated(rows, 0.001, 0.1, 0.1, 0.2, 4).orderBy("ix").toPandas()
+    rows = spark.createDataFrame([("s", i, r, 0.3, 0.01, False) for i, r in enumerate(rets)], "strategy string, ix int, ret double, turnover double, hedge double, signal boolean").orderBy(F.desc("ix"))
+    rules = pf.Rules(levels=((0.1, 0.5),), back=0.1, cost=0.001, drift=0.2, hold=4)
+    out = pf.simulated(rows, rules).orderBy("ix").toPandas()
     assert (out.gross == 0.5).any() and out.gross.iloc[-1] == 1.0
     assert out.drawdown.max() <= 0 and out.rebalanced.sum() >= 5
-    first = pf.simulated(rows.where("ix < 12"), 0.001, 0.1, 0.1, 0.2, 4).orderBy("ix").toPandas()
+    first = pf.simulated(rows.where("ix < 12"), rules).orderBy("ix").toPandas()
     assert np.allclose(first.nav, out.nav[:12])
 
 
