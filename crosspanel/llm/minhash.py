@@ -114,6 +114,7 @@ def _buckets(vertices: DataFrame) -> DataFrame:
                 ids = b.column(0)[lo : lo + 2000]
                 found = _bucket_hashes(_fixed(b.column(1)[lo : lo + 2000], "<u4"))
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(ids.to_numpy(), BANDS))], names=["bucket", "id"])
+        trim()
 
     return vertices.select("id", "signature").mapInArrow(run, "bucket long, id long")
 
@@ -130,6 +131,7 @@ def _agreeing(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
                 agree = (_fixed(b.column(2), "<u4") == _fixed(b.column(3), "<u4")).sum(1)
                 ok = pa.array(agree >= AGREE)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(agree.astype(np.int32)).filter(ok)], names=["a", "b", "agree"])
+        trim()
 
     return joined.mapInArrow(run, "a long, b long, agree int")
 
@@ -276,6 +278,7 @@ def _marked(members: DataFrame, labels: DataFrame, vertices: DataFrame, percent:
             if hit.any():
                 ids = np.unique(c.id[lo:hi][hit])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c.bucket[lo])), pa.array(ids)], names=["bucket", "id"])
+        trim()
 
     return _dealt(rows, ["id", "root", "n", "signature"]).mapInArrow(run, "bucket long, id long").distinct()
 
@@ -319,6 +322,7 @@ def _linked(docs: DataFrame, marked: DataFrame, labels: DataFrame, vertices: Dat
                         b.append(int(c.id[z]))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        trim()
 
     return _dealt(rows, ["id", "root", "n", "signature", "members"]).mapInArrow(run, "a long, b long")
 
