@@ -72,3 +72,39 @@ def business_days(start: str, end: str, step: int = 1) -> Column:
     """Array of every step-th weekday between two dates."""
     days = F.filter(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date")), lambda d: ~F.dayofweek(d).isin(1, 7))
     return F.filter(F.transform(days, lambda d, i: F.when(i % step == 0, d)), lambda d: d.isNotNull())
+
+
+def midpoint_growth(new: Column | str, old: Column | str) -> Column:
+    """Change over the mean size of both values, at least -1; NULL if one is missing or both are 0."""
+    a, b = col(new), col(old)
+    size = (F.abs(a) + F.abs(b)) / 2
+    return F.when(size > 0, F.greatest((a - b) / size, F.lit(-1.0)))
+
+
+def yearly_rate(growth: Column, years: int) -> Column:
+    """Growth over some years as a yearly rate: geometric for gains, an even share for losses."""
+    return F.when(growth > 0, F.pow(1 + growth, F.lit(1.0 / years)) - 1).otherwise(growth / years)
+
+
+def median_of(*xs: Column) -> Column:
+    """Median of a row's values that are there; NULL if there are none."""
+    kept = F.array_sort(F.filter(F.array(*xs), lambda x: x.isNotNull()))
+    n = F.size(kept)
+    middle = lambda i: F.try_element_at(kept, i.cast("int"))
+    return F.when(n > 0, (middle(F.floor((n + 1) / 2)) + middle(F.floor(n / 2) + 1)) / 2)
+
+
+def blended_metric(value: Column, reference: Column, income: Column, reference_income: Column, adjustment: Column, gross_up: float = 0.75, least: float = 1000.0) -> Column:
+    """A pretax metric between as reported, adjusted, and adjusted before tax.
+
+    Each candidate weighs exp of the others' distance from the reference, in units of the adjusted
+    income's distance from its own (`least` at least). Weights beyond 200 are shifted to begin at 0
+    and cut at 100.
+    """
+    candidates = [value, value + adjustment, value + adjustment / gross_up]
+    unit = F.greatest(F.abs(income + adjustment - reference_income), F.lit(least))
+    far = [F.abs(c - reference) for c in candidates]
+    weights = [(far[(i + 1) % 3] + far[(i + 2) % 3]) / unit for i in range(3)]
+    low, high = F.least(*weights), F.greatest(*weights)
+    powers = [F.exp(F.when(high > 200, F.least(w - low, F.lit(100.0))).otherwise(w)) for w in weights]
+    return sum((c * p for c, p in zip(candidates[1:], powers[1:], strict=True)), candidates[0] * powers[0]) / (powers[0] + powers[1] + powers[2])

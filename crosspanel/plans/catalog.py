@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import characteristics, more, portfolio, regimes, relational, scores  # noqa: F401
+from . import characteristics, more, portfolio, regimes, relational, scores, valuation  # noqa: F401
 from .registry import ORACLE, QUERIES, Query
 
 
