@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Lists of dates or parameters are broadcast up to this many rows.
+SHORT = 100_000
+
+
+def short(df: DataFrame, most: int = SHORT) -> DataFrame:
+    """df, marked for broadcast if a count that stops after `most` rows finds no more; else the planner chooses by size."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, values: list[str], strict: bool = False) -> DataFrame:
     """left with the values of the last right row at or before `on` (before, if strict).
 
@@ -33,9 +42,9 @@ def next_session(dates: DataFrame, sessions: DataFrame, date: str = "date", sess
 def latest_vintage(rows: DataFrame, known: DataFrame, keys: list[str], period: str, download: str, value: str) -> DataFrame:
     """(as_of, keys, period, value): for each as-of date the last non-null value downloaded by then.
 
-    known is a short list of dates (as_of).
+    known is a list of dates (as_of), broadcast if it is short.
     """
-    seen = rows.where(F.col(value).isNotNull()).join(F.broadcast(known), F.col(download) <= F.col("as_of"))
+    seen = rows.where(F.col(value).isNotNull()).join(short(known), F.col(download) <= F.col("as_of"))
     return seen.groupBy("as_of", *keys, period).agg(F.max_by(value, F.struct(download, value)).alias(value))
 
 

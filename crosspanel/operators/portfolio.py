@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Params
+from .joins import as_of
 
 
 def top_names(scores: DataFrame, n: int, score: str = "score") -> DataFrame:
@@ -196,8 +197,7 @@ def turnover(book: DataFrame) -> DataFrame:
 
 def held_returns(book: DataFrame, panel: DataFrame) -> DataFrame:
     """(ix, ret): a book's return by session; weights hold from the session after they are set until the next set is in force."""
-    spans = book.select("ix").distinct().select(F.col("ix").alias("set_at"), F.lead("ix").over(Window.orderBy("ix")).alias("until"))
-    days = panel.select("ix").distinct().join(F.broadcast(spans), (F.col("ix") > F.col("set_at")) & (F.col("until").isNull() | (F.col("ix") <= F.col("until"))))
+    days = as_of(panel.select("ix").distinct(), book.select("ix", F.col("ix").alias("set_at")).distinct(), [], "ix", ["set_at"], strict=True)  # a calendar: one row a session
     held = days.join(book.select(F.col("ix").alias("set_at"), "ticker", "weight"), "set_at").join(panel.select("ix", "ticker", "ret"), ["ix", "ticker"], "left")
     return held.groupBy("ix").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("ret"))
 

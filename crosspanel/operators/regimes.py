@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import short
 from .windows import ewm_std, rolling_fit, trailing
 
 
@@ -55,7 +56,7 @@ def fit_thresholds(series: DataFrame, refits: DataFrame, grid: list[tuple[float,
     weight: Column = F.lit(0.0)
     for limit, w in reversed(years):
         weight = F.when(age <= limit, F.lit(w)).otherwise(weight)
-    rows = lagged.join(F.broadcast(refits), F.col("ix") < F.col("refit")).withColumn("w", weight).where("w > 0")
+    rows = lagged.join(short(refits), F.col("ix") < F.col("refit")).withColumn("w", weight).where("w > 0")
     points = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in grid))
     each = rows.select("*", F.explode(points).alias("g")).select("refit", "w", "g.a", "g.b", F.when((F.col("x") > F.col("g.a")) & (F.col("y") > F.col("g.b")), F.col("ret")).otherwise(0.0).alias("r"))
     root = F.signum("r") * F.pow(F.abs("r"), F.lit(1.0 / 3.0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Params
+from .joins import as_of, short
 from .windows import average_rank, percent_rank, winsor
 
 
@@ -88,7 +89,7 @@ def point_in_time_weights(ics: DataFrame, cutoffs: DataFrame, h: int, p: Params)
     mean is positive and above the median of means and its t is above the median of t; the best by
     t share the weight. A tight regime without survivors takes the growth weights.
     """
-    seen = ics.join(F.broadcast(cutoffs), F.col("ix") + F.lit(h) < F.col("cutoff"))  # cutoffs: a short list of dates
+    seen = ics.join(short(cutoffs), F.col("ix") + F.lit(h) < F.col("cutoff"))
     scaled = seen.select("cutoff", "metric", F.explode(F.create_map(F.lit("growth"), F.col("ic") * (1 - F.col("q")), F.lit("tight"), F.col("ic") * F.col("q"))).alias("regime", "x"))
     stats = scaled.groupBy("cutoff", "regime", "metric").agg(F.avg("x").alias("mean"), t_statistic(F.col("x")).alias("t"))
     w = Window.partitionBy("cutoff", "regime")
@@ -107,10 +108,10 @@ def composite(scores: DataFrame, weights: DataFrame, regime: DataFrame) -> DataF
     Weights hold from their cutoff to the next one. A missing score counts 0 while its weight stays
     in the denominator.
     """
-    spans = weights.select("cutoff").distinct().withColumn("until", F.lead("cutoff").over(Window.orderBy("cutoff")))
-    spans = weights.join(spans, "cutoff")
     names = scores.select("ix", "ticker").distinct()
-    held = names.join(F.broadcast(spans), (F.col("ix") >= F.col("cutoff")) & (F.col("until").isNull() | (F.col("ix") < F.col("until"))))
+    cutoffs = weights.select(F.col("cutoff").alias("ix"), "cutoff").distinct()
+    days = as_of(names.select("ix").distinct(), cutoffs, [], "ix", ["cutoff"])  # a calendar: one row a session
+    held = names.join(days, "ix").join(weights, "cutoff")
     parts = held.join(scores.select("ix", "ticker", "metric", "score"), ["ix", "ticker", "metric"], "left")
     by = parts.groupBy("ix", "ticker").agg(*((F.sum(F.when(F.col("regime") == g, F.col("weight") * F.coalesce("score", F.lit(0.0)))) / F.sum(F.when(F.col("regime") == g, F.col("weight")))).alias(g) for g in ("growth", "tight")))
     q = F.col("q")
@@ -132,7 +133,7 @@ def bounded_weights(weights: DataFrame, low: float, high: float, rounds: int = 1
 def similarity_weights(ics: DataFrame, regime: DataFrame, cutoffs: DataFrame, h: int, half_life: float) -> DataFrame:
     """(cutoff, metric, weight): ICs averaged by closeness of regime and by age, windows closed before the cutoff; negative means count 0."""
     now = cutoffs.join(regime.toDF("cutoff", "r_now"), "cutoff")
-    rows = ics.join(regime.toDF("ix", "r_then"), "ix").join(F.broadcast(now), F.col("ix") + F.lit(h) < F.col("cutoff"))
+    rows = ics.join(regime.toDF("ix", "r_then"), "ix").join(short(now), F.col("ix") + F.lit(h) < F.col("cutoff"))
     kernel = F.greatest(F.lit(0.0), 1 - F.abs(F.col("r_now") - F.col("r_then"))) * F.exp(-F.log(F.lit(2.0)) * (F.col("cutoff") - F.col("ix")) / half_life)
     mean = rows.withColumn("k", kernel).groupBy("cutoff", "metric").agg((F.sum(F.col("k") * F.col("ic")) / F.sum("k")).alias("mean"))
     kept = F.greatest("mean", F.lit(0.0))

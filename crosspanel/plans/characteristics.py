@@ -164,8 +164,7 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.sector_dummies(base(spark, sf_dir), list("12345"), 2).select("ticker", "ix", *(f"sector_{s}" for s in "12345"))
 
 
-@query(
-    "a13_mean_reversion",
+OU_SQL = (
     """, l AS (SELECT ticker, ix, resid, exp(sum(ln(1 + coalesce(resid, 0.0))) OVER (PARTITION BY ticker ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS y0 FROM mkt),
 b AS (SELECT *, lag(y0) OVER (PARTITION BY ticker ORDER BY ix) AS x FROM l),
 c AS (SELECT *, CASE WHEN x IS NOT NULL THEN y0 END AS y FROM b),
@@ -180,9 +179,10 @@ g AS (SELECT ticker, ix, distance, least(1.0, 10.0 / (ln(2.0) / k)) * ("""
     + pct("away")
     + ") + (1 - least(1.0, 10.0 / (ln(2.0) / k))) * ("
     + pct("rec")
-    + ") AS blend FROM e) SELECT ticker, ix, round(distance, 4) + 0.0 AS distance, round("
-    + z("blend")
-    + ", 3) + 0.0 AS ou FROM g",
+    + ") AS blend FROM e)"
 )
+
+
+@query("a13_mean_reversion", OU_SQL + " SELECT ticker, ix, round(distance, 4) + 0.0 AS distance, round(" + z("blend") + ", 3) + 0.0 AS ou FROM g")
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.mean_reversion(base(spark, sf_dir), P).select("ticker", "ix", r("distance", 4).alias("distance"), r("ou", 3).alias("ou"))

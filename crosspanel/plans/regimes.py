@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from ..config import small
 from ..operators import characteristics as ch
 from ..operators import regimes as rg
+from ..operators.joins import short
 from ..operators.windows import rolling_fit
-from .characteristics import MACRO_SQL, macro_changes
+from .characteristics import MACRO_SQL, OU_SQL, macro_changes, z
 from .registry import base, query, r
 
 P = small()
@@ -108,7 +109,7 @@ def e5(spark: SparkSession, sf_dir: str) -> DataFrame:
     sectors = panel.groupBy("sector", "ix").agg(F.avg("ret").alias("ret"))
     market = panel.groupBy("ix").agg(F.max("market").alias("market"))
     refits = spark.createDataFrame([(x,) for x in REFITS], "refit int")
-    rows = sectors.join(market, "ix").where("ret is not null and market is not null").join(F.broadcast(refits), (F.col("ix") < F.col("refit")) & (F.col("ix") >= F.col("refit") - 104))
+    rows = sectors.join(market, "ix").where("ret is not null and market is not null").join(short(refits), (F.col("ix") < F.col("refit")) & (F.col("ix") >= F.col("refit") - 104))
     rows = rows.withColumn("hedged", F.col("market") - F.col("ret"))
     ratio = lambda c: F.avg(c) / F.stddev_samp(c)
     st = rows.groupBy("refit", "sector").agg(F.exp(F.sum(F.log1p("hedged")) - F.sum(F.log1p("market"))).alias("nav"), ratio("hedged").alias("sh"), ratio("market").alias("sm"))
@@ -166,6 +167,30 @@ def e8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return excluded(spark, sf_dir).select("ix", "ticker", r("score").alias("score"))
 
 
+#: Windows of returns in sessions; their limits are the pooled 95 % quantiles.
+EXCLUSION_WINDOWS = (4, 13)
+
+
+@query(
+    "e8_reversion_exclusions",
+    OU_SQL
+    + ", zo AS (SELECT ticker, ix, round("
+    + z("blend")
+    + ", 3) + 0.0 AS ou FROM g)"
+    + POOL_SQL
+    + """, lm AS (SELECT max(CASE WHEN "window" = 4 THEN p[3] END) AS l4, max(CASE WHEN "window" = 13 THEN p[3] END) AS l13 FROM mo),
+ov AS (SELECT ticker, ix, ln(close / lag(close, 4) OVER w) - (SELECT l4 FROM lm) AS o4, ln(close / lag(close, 13) OVER w) - (SELECT l13 FROM lm) AS o13 FROM mkt WINDOW w AS (PARTITION BY ticker ORDER BY ix))
+SELECT ix, ticker, round(greatest(o4, o13) * -ou, 5) + 0.0 AS score FROM ov JOIN zo USING (ticker, ix) WHERE ou < 0 AND greatest(o4, o13) > 0""",
+)
+def e8_reversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joint exclusion of the mean-reversion score and the pooled distributions (one row of limits a window comes to the driver)."""
+    panel = base(spark, sf_dir)
+    pooled = {n: rg.pooled_distribution(panel, n).first()["p"] for n in EXCLUSION_WINDOWS}
+    limits = {n: p[2] if p else float("inf") for n, p in pooled.items()}
+    scored = ch.mean_reversion(panel, P).withColumn("ou", F.round("ou", 3))
+    return rg.exclusions(scored, limits).select("ix", "ticker", r("score", 5).alias("score"))
+
+
 @query("e9_exclusion_report", EXCLUDE_SQL + " SELECT ticker, count(*) AS sessions, min(ix) AS first_ix, max(ix) AS last_ix, round(avg(score), 6) + 0.0 AS mean, round(quantile_cont(score, 0.9), 6) + 0.0 AS p90, CAST(sum(CASE WHEN score > 0.2 THEN 1 ELSE 0 END) AS BIGINT) AS strong FROM ex GROUP BY ticker")
 def e9(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = excluded(spark, sf_dir).groupBy("ticker")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import small
 from ..operators import scores as sc
+from ..operators.joins import short
 from ..operators.windows import percent_rank, zscore
 from .characteristics import pct, rank, z
 from .registry import base, query, r, read
@@ -166,7 +167,7 @@ def c9(spark: SparkSession, sf_dir: str) -> DataFrame:
     fwd = sc.forward_residual(base(spark, sf_dir), P.horizon).select("ix", "ticker", "fwd")
     ics = sc.spearman(multiples(spark, sf_dir).join(fwd, ["ix", "ticker"]), "value", "fwd", "ix", "metric")
     cutoffs = spark.createDataFrame([(c,) for c in CUTOFFS], "cutoff int")
-    st = ics.join(F.broadcast(cutoffs), F.col("ix") + P.horizon < F.col("cutoff")).groupBy("cutoff", "metric").agg(sc.t_statistic(F.col("ic")).alias("t"))
+    st = ics.join(short(cutoffs), F.col("ix") + P.horizon < F.col("cutoff")).groupBy("cutoff", "metric").agg(sc.t_statistic(F.col("ic")).alias("t"))
     w = Window.partitionBy("cutoff")
     good = F.when(F.col("t") > 0, F.col("t"))
     total = F.sum(good).over(w)
