@@ -195,6 +195,29 @@ def turnover(book: DataFrame) -> DataFrame:
     return both.groupBy("ix").agg((F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))) / 2).alias("turnover"))
 
 
+def drifted(book: DataFrame, panel: DataFrame) -> DataFrame:
+    """(ix, ticker, old): each set of weights moved by prices up to the next set's session, ix, and scaled to the same sum of 1.
+
+    A price missing on either session moves a name by nothing; the last set has no next one.
+    """
+    days = book.select("ix").distinct().select("ix", F.lead("ix").over(Window.orderBy("ix")).alias("after"))
+    held = book.join(days.where("after is not null"), "ix")
+    price = panel.select("ticker", "ix", "close")
+    held = held.join(price.withColumnRenamed("close", "then"), ["ticker", "ix"], "left")
+    held = held.join(price.select("ticker", F.col("ix").alias("after"), F.col("close").alias("now")), ["ticker", "after"], "left")
+    moved = held.withColumn("m", F.col("weight") * F.coalesce(F.try_divide("now", "then"), F.lit(1.0)))
+    total = F.sum("m").over(Window.partitionBy("after"))
+    return moved.select(F.col("after").alias("ix"), "ticker", F.when(total > 0, F.col("m") / total).otherwise(F.col("weight")).alias("old"))
+
+
+def trading_costs(book: DataFrame, panel: DataFrame, bps: float) -> DataFrame:
+    """(ix, turnover, cost, spent): half the change against the drifted weights before, its cost, and all costs so far; the first set is all turnover."""
+    both = book.select("ix", "ticker", "weight").join(drifted(book, panel), ["ix", "ticker"], "full")
+    by = both.groupBy("ix").agg((F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))) / 2).alias("t"), F.count("old").alias("n"))
+    out = by.select("ix", F.when(F.col("n") > 0, F.col("t")).otherwise(1.0).alias("turnover")).withColumn("cost", F.col("turnover") * bps / 10_000)
+    return out.withColumn("spent", F.sum("cost").over(Window.orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)))  # one row a rebalance
+
+
 def held_returns(book: DataFrame, panel: DataFrame) -> DataFrame:
     """(ix, ret): a book's return by session; weights hold from the session after they are set until the next set is in force."""
     days = as_of(panel.select("ix").distinct(), book.select("ix", F.col("ix").alias("set_at")).distinct(), [], "ix", ["set_at"], strict=True)  # a calendar: one row a session

@@ -264,6 +264,20 @@ def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.turnover(blended_book(spark, sf_dir)).select("ix", r("turnover").alias("turnover"))
 
 
+@query(
+    "g8_drift_and_cost",
+    BLEND_SQL
+    + """, dy AS (SELECT ix, lead(ix) OVER (ORDER BY ix) AS after FROM (SELECT DISTINCT ix FROM blend)),
+mv AS (SELECT dy.after AS ix, b.ticker, weight, weight * coalesce(n.close / t.close, 1.0) AS m FROM blend b JOIN dy USING (ix) LEFT JOIN panel t ON t.ix = b.ix AND t.ticker = b.ticker LEFT JOIN panel n ON n.ix = dy.after AND n.ticker = b.ticker WHERE dy.after IS NOT NULL),
+dr AS (SELECT ix, ticker, CASE WHEN sum(m) OVER (PARTITION BY ix) > 0 THEN m / sum(m) OVER (PARTITION BY ix) ELSE weight END AS old FROM mv),
+tu AS (SELECT ix, CASE WHEN count(old) > 0 THEN sum(abs(coalesce(weight, 0) - coalesce(old, 0))) / 2 ELSE 1.0 END AS turnover FROM blend FULL JOIN dr USING (ix, ticker) GROUP BY ix)
+SELECT ix, round(turnover, 6) + 0.0 AS turnover, round(turnover * 10.0 / 10000, 8) + 0.0 AS cost, round(sum(turnover * 10.0 / 10000) OVER (ORDER BY ix), 6) + 0.0 AS spent FROM tu""",
+)
+def g8_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pf.trading_costs(blended_book(spark, sf_dir), base(spark, sf_dir), P.cost_bps)
+    return out.select("ix", r("turnover").alias("turnover"), r("cost", 8).alias("cost"), r("spent").alias("spent"))
+
+
 NAV_SQL = BLEND_SQL + """, spn AS (SELECT ix AS set_at, lead(ix) OVER (ORDER BY ix) AS until FROM (SELECT DISTINCT ix FROM blend)),
 dys AS (SELECT ix, set_at FROM (SELECT DISTINCT ix FROM mkt) JOIN spn ON ix > set_at AND (until IS NULL OR ix <= until)),
 hr AS (SELECT dys.ix, sum(weight * coalesce(mkt.ret, 0)) AS ret FROM dys JOIN blend ON blend.ix = set_at LEFT JOIN mkt ON mkt.ix = dys.ix AND mkt.ticker = blend.ticker GROUP BY dys.ix),
