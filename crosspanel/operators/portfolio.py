@@ -60,6 +60,39 @@ def liquid(n: int, least: int, aum: float, share: float, weight: float) -> Colum
     return (F.count(traded).over(w) >= least) & (F.percentile(traded, F.lit(0.5)).over(w) * share / aum >= weight)
 
 
+def liquidity_cap(n: int, least: int, aum: float, share: float, low: float, high: float) -> Column:
+    """Largest weight that the median traded value over n sessions allows, within [low, high]; high for too few values. Sessions without trades don't count."""
+    w = Window.partitionBy("ticker").orderBy("ix").rowsBetween(-n + 1, 0)
+    traded = F.nullif(F.col("close") * F.col("volume"), F.lit(0.0))
+    cap = F.percentile(traded, F.lit(0.5)).over(w) * share / aum
+    return F.when((F.count(traded).over(w) >= least) & (cap < high), F.greatest(cap, F.lit(low))).otherwise(F.lit(high))
+
+
+def tiered_book(scores: DataFrame, n: int, concentration: float, cap: str = "cap", rounds: int = 20) -> DataFrame:
+    """(ix, ticker, weight): the halves' budgets of `concentrated_book`, within each half cut to the names' caps and scaled to the budget again, `rounds` times.
+
+    Scaling comes last, so that where all caps of a half are too low for its budget its names stay above them.
+    """
+    book = top_names(scores, n)
+    count = F.count(F.lit(1)).over(Window.partitionBy("ix"))
+    half = F.ceil(count / 2)
+    lead = concentration / (concentration + 1)
+    alone = F.lit(concentration == 1) | (count == half)
+    book = book.select("ix", "ticker", "place", cap, (F.col("place") <= half).alias("top"), F.when(F.col("place") <= half, F.when(alone, 1.0).otherwise(lead)).otherwise(F.when(alone, 0.0).otherwise(1 - lead)).alias("budget"))
+    tiers = book.groupBy("ix", "top", "budget").agg(F.array_sort(F.collect_list(F.struct("place", "ticker", cap))).alias("names"))  # half a book
+
+    def scaled(w: Column) -> Column:
+        return F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda s, y: s + y) * F.col("budget"))
+
+    def cut(w: Column, _: Column) -> Column:
+        return scaled(F.zip_with(w, "names", lambda x, name: F.when(x > name[cap] + 1e-9, name[cap]).otherwise(x)))
+
+    start = F.transform("names", lambda _: F.col("budget") / F.size("names"))
+    weights = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, cut)
+    flat = tiers.where("budget > 0").select("ix", F.explode(F.arrays_zip(F.col("names").alias("names"), weights.alias("w"))).alias("e")).select("ix", F.col("e.names.ticker").alias("ticker"), F.col("e.w").alias("weight"))
+    return flat.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("ix")))
+
+
 def floor_then_cap(w: np.ndarray, low: float, high: float, rounds: int = 50) -> np.ndarray:
     """All weights raised to low and cut at high, renormalised until they fit (zeros are raised too)."""
     w = np.maximum(np.asarray(w, float), low)

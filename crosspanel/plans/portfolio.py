@@ -223,6 +223,26 @@ def g5_liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).select("ticker", "ix", F.coalesce(pf.liquid(20, 3, 1_000_000.0, 0.1, 0.02), F.lit(False)).alias("liquid"))
 
 
+@query(
+    "g5_tiered_book",
+    BOOK_SQL
+    + """, tv AS (SELECT ticker, ix, nullif(close * volume, 0) AS v FROM mkt),
+lc AS (SELECT ticker, ix, count(v) OVER w AS n, quantile_cont(v, 0.5) OVER w * 0.1 / 1000000.0 AS c FROM tv WINDOW w AS (PARTITION BY ticker ORDER BY ix ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+cp AS (SELECT ticker, ix, CASE WHEN n >= 3 AND c < 0.15 THEN greatest(c, 0.01) ELSE 0.15 END AS cap FROM lc),
+bt AS (SELECT tp.ix, tp.ticker, place, cap, place <= ceil(c / 2.0) AS top, CASE WHEN place <= ceil(c / 2.0) THEN CASE WHEN c = ceil(c / 2.0) THEN 1.0 ELSE 2.0 / 3.0 END ELSE 1 - 2.0 / 3.0 END AS budget FROM tp JOIN cp USING (ix, ticker)),
+tr AS (SELECT ix, top, CAST(max(budget) AS DOUBLE) AS budget, list(ticker ORDER BY place) AS names, list(CAST(cap AS DOUBLE) ORDER BY place) AS caps FROM bt GROUP BY ix, top),
+st AS (SELECT *, list_transform(caps, lambda x: budget / len(caps)) AS w, 0 AS k FROM tr),
+rn AS (SELECT * FROM st UNION ALL SELECT ix, top, budget, names, caps, list_transform(m, lambda x: x / list_sum(m) * budget), k + 1 FROM (SELECT *, list_transform(list_zip(w, caps), lambda z: CASE WHEN z[1] > z[2] + 1e-9 THEN z[2] ELSE z[1] END) AS m FROM rn WHERE k < 20)),
+fl AS (SELECT ix, unnest(names) AS ticker, unnest(w) AS weight FROM rn WHERE k = 20)
+SELECT ix, ticker, round(weight / sum(weight) OVER (PARTITION BY ix), 6) + 0.0 AS weight FROM fl""",
+    recursive=True,
+)
+def g5_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = base(spark, sf_dir).withColumn("cap", pf.liquidity_cap(20, 3, 1_000_000.0, 0.1, 0.01, 0.15)).select("ticker", "ix", "cap")
+    scores = scored(spark, sf_dir).where("ix % 4 = 0").select("ticker", "ix", "score").join(panel, ["ticker", "ix"])
+    return pf.tiered_book(scores, P.books, P.concentration).select("ix", "ticker", r("weight").alias("weight"))
+
+
 BLEND_SQL = BOOK_SQL + """, bl0 AS (SELECT ix, ticker, (coalesce(a.weight, 0) + coalesce(e.weight, 0)) / 2 AS m FROM alpha a FULL JOIN equal e USING (ix, ticker)),
 blend AS (SELECT ix, ticker, m / sum(m) OVER (PARTITION BY ix) AS weight FROM bl0)"""
 
