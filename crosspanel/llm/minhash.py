@@ -13,10 +13,12 @@ connected are looked for:
    held against all members, in blocks of BLOCK x BLOCK. A first pass, on signatures alone, marks
    the members that have a possible partner; the second brings their full sets together and
    checks each possible pair in the first bucket that it shares, most similar partners first and
-   only while its ends are not connected in the block.
+   only while its ends are not connected in the block. A member with too few minima that any
+   member of another component has, too, is dropped before its pairs are looked at.
 
-A bucket therefore costs its size times the vertices that the first round left over, in blocks of
-fixed size, and emits at most one row a member, never its pairs.
+A block emits at most one row a member, never its pairs. So a bucket makes rows in proportion to
+its members up to BLOCK of them; beyond, each is sent once for each block of the vertices that the
+first round left over. Comparisons are the members times those vertices, without the dropped ones.
 
 Defined results: null texts and texts without words have an empty set and no links; a null doc_id
 is a vertex of its own (component_id null, kept); rows that repeat a doc_id are one vertex, linked
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -40,7 +42,12 @@ HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
 #: Shared minima of 128 that a pair of similarity 0.8 has but for 3 in 100,000.
 AGREE = 84
-BLOCK = 256
+#: Members on each side of a block of a bucket: 4 MB of signatures.
+BLOCK = 8192
+#: Shingles that count as one member where full sets are brought together: 8 MB a side.
+SHINGLES = 128
+#: Pairs of a block from which on members without a possible partner are dropped first.
+DENSE = 1 << 14
 #: Partners that are held against one copy of a hub's set, on average.
 PARTNERS = 256
 
@@ -189,17 +196,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _open(members: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(bucket, id, root, main, n_left, n_right) of buckets that hold several components.
+def _open(members: DataFrame, load: Column, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Members (bucket, id and more) of buckets that hold several components, with root, main, n_left and n_right.
 
-    main is the largest; n_left and n_right are the blocks of the members outside it and of all. It
-    is a written table, so that the join with a bucket of very many members can be split.
+    main is the largest; n_left and n_right are the blocks of the members outside it and of all,
+    load a member's part of the BLOCK that a block holds. The blocks are a written table, so that
+    the join with a bucket of very many members can be split.
     """
-    now = members.join(labels.toDF("id", "root"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    now = members.join(labels.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(load).alias("load"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root", "load")).alias("most"), F.sum("load").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     count = lambda n: F.ceil(n / BLOCK).cast("int")
-    main = scratch.save(main.select("bucket", F.col("most.root").alias("main"), count(F.col("all") - F.col("most.n")).alias("n_left"), count(F.col("all")).alias("n_right")), name)
+    main = scratch.save(main.select("bucket", F.col("most.root").alias("main"), count(F.col("all") - F.col("most.load")).alias("n_left"), count(F.col("all")).alias("n_right")), name)
     return now.join(main, "bucket")
 
 
@@ -252,10 +260,30 @@ class _Columns:
             self.marks = _fixed(rows["signature"].combine_chunks(), "<u4")
         return self
 
-    def partners(self, x: int, mid: int, hi: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of mid to hi that may be linked to row x and are of other components, and which minima they share."""
-        n, own = self.n[mid:hi], self.n[x]
-        y = mid + np.flatnonzero((self.root[mid:hi] != self.root[x]) & (100 * np.minimum(n, own) >= percent * np.maximum(n, own)))
+    def meeting(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The rows of which AGREE minima are those of any others of other components: all that can have a partner there."""
+        found, own, theirs = np.zeros(len(rows), np.int64), self.root[rows], self.root[others]
+        for j in range(HASHES if len(others) else 0):
+            values, order = self.marks[others, j], np.argsort(self.marks[others, j])
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(values[order]) != 0)))
+            kinds, least, most = values[order][starts], np.minimum.reduceat(theirs[order], starts), np.maximum.reduceat(theirs[order], starts)
+            mine = self.marks[rows, j]
+            at = np.minimum(np.searchsorted(kinds, mine), len(kinds) - 1)
+            found += (kinds[at] == mine) & ((least[at] != own) | (most[at] != own))
+        return rows[found >= AGREE]
+
+    def sides(self, lo: int, mid: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of lo to mid and of mid to hi, in dense blocks without those that can't have a partner on the other side."""
+        left, right = np.arange(lo, mid), np.arange(mid, hi)
+        if len(left) * len(right) > DENSE:
+            left = self.meeting(left, right)
+            right = self.meeting(right, left)
+        return left, right
+
+    def partners(self, x: int, among: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of those given that may be linked to row x and are of other components, and which minima they share."""
+        n, own = self.n[among], self.n[x]
+        y = among[(self.root[among] != self.root[x]) & (100 * np.minimum(n, own) >= percent * np.maximum(n, own))]
         same = self.marks[y] == self.marks[x]
         ok = same.sum(1) >= AGREE
         return y[ok], same[ok]
@@ -263,15 +291,16 @@ class _Columns:
 
 def _marked(members: DataFrame, labels: DataFrame, vertices: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(bucket, id) of members that may be linked to one of another component, by their signatures."""
-    rows = _open(members, labels, scratch, "open_buckets").join(vertices, "id")
+    rows = _open(members, F.lit(1), labels, scratch, "open_buckets").join(vertices, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _Columns()
         for table, lo, mid, hi in _whole_blocks(batches):
             c = columns.of(table)
             hit = np.zeros(hi - lo, bool)
-            for x in range(lo, mid):
-                y, _ = c.partners(x, mid, hi, percent)
+            left, right = c.sides(lo, mid, hi)
+            for x in left.tolist():
+                y, _ = c.partners(x, right, percent)
                 if len(y):
                     hit[x - lo] = True
                     hit[y - lo] = True
@@ -286,7 +315,7 @@ def _marked(members: DataFrame, labels: DataFrame, vertices: DataFrame, percent:
 def _linked(docs: DataFrame, marked: DataFrame, labels: DataFrame, vertices: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): verified links that connect the components of marked members, a forest in each block."""
     ids = marked.select("id").distinct()
-    rows = _open(marked, labels, scratch, "marked_buckets").join(vertices, "id").join(_full_sets(docs, ids, ids.count(), words), "id")
+    rows = _open(marked.join(vertices, "id"), F.ceil(F.col("n") / SHINGLES), labels, scratch, "marked_buckets").join(_full_sets(docs, ids, ids.count(), words), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _Columns()
@@ -308,8 +337,9 @@ def _linked(docs: DataFrame, marked: DataFrame, labels: DataFrame, vertices: Dat
                 return sets[i]
 
             a, b = [], []
-            for x in range(lo, mid):
-                y, same = c.partners(x, mid, hi, percent)
+            left, right = c.sides(lo, mid, hi)
+            for x in left.tolist():
+                y, same = c.partners(x, right, percent)
                 if not len(y):
                     continue
                 here = same.reshape(len(y), BANDS, ROWS).all(2).argmax(1) == band

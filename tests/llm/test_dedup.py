@@ -1,6 +1,7 @@
 """Exact, near and passage deduplication against plain versions."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -102,6 +103,63 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == want
 
 
+def near_misses(n):
+    """Texts with two words of 80 replaced, most of them just too far from each other."""
+    base = sentences(6, 1, 80)[0].split()
+    values = []
+    for i in range(n):
+        words = list(base)
+        for k in random.Random(i).sample(range(80), 2):
+            words[k] = f"new{i}x{k}"
+        values.append((1000 + i, " ".join(words)))
+    return values
+
+
+def test_rows_of_a_large_bucket_follow_its_members(spark, monkeypatch):
+    """No member of a bucket of some hundreds, most of them unconnected, is sent more than once as either side."""
+    seen = []
+
+    def counted(rows, columns, dealt=minhash._dealt):
+        out = dealt(rows, columns)
+        seen.append((rows.groupBy("bucket").count().agg(F.max("count")).first()[0], rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "_dealt", counted)
+    values = near_misses(500)
+    got = near_duplicates(spark, table(spark, values), Scratch(spark, "t"), words=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(values, 4)
+    assert len({r.component_id for r in got}) > 100
+    assert len(seen) == 2 and all(largest > 260 and sent <= 2 * members for largest, members, sent in seen)
+
+
+def test_near_duplicates_in_small_dense_blocks(spark, monkeypatch):
+    """Blocks bounded by shingles too, each without the members that can't have a partner."""
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    monkeypatch.setattr(minhash, "SHINGLES", 20)
+    monkeypatch.setattr(minhash, "DENSE", 0)
+    values = near_misses(120)
+    got = near_duplicates(spark, table(spark, values), Scratch(spark, "t"), words=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(values, 4)
+
+
+def test_members_without_a_possible_partner_are_dropped():
+    """And no others: those left have all pairs that agree on enough minima."""
+    r = np.random.default_rng(3)
+    c = minhash._Columns()
+    base = r.integers(0, 2**32, 128, dtype=np.uint32)
+    marks = np.where(r.random((300, 128)) < np.linspace(0.5, 1, 300)[r.permutation(300), None], base, r.integers(0, 2**32, (300, 128), dtype=np.uint32))
+    side = np.sort(r.permutation(300)[:200])
+    c.marks = np.concatenate([marks[side], marks])
+    c.root = np.where(np.arange(300) % 3, np.arange(300), 0)[np.concatenate([side, np.arange(300)])]
+    c.n = np.full(500, 100)
+    left, right = c.sides(0, 200, 500)
+    every = np.arange(200, 500)
+    for x in range(200):
+        want = c.partners(x, every, 80)[0].tolist()
+        assert want == (c.partners(x, right, 80)[0].tolist() if x in left else [])
+    assert 0 < len(left) < 150 and 0 < len(right) < 250
+
+
 def test_rows_that_repeat_an_id_keep_all_links(spark):
     texts = sentences(31, 3)
     values = [(1, texts[0]), (2, texts[1]), (5, texts[0] + " tail"), (5, texts[1] + " tail"), (7, texts[2]), (8, None), (9, "  ")]
