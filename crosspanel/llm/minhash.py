@@ -315,7 +315,8 @@ def _marked(members: DataFrame, labels: DataFrame, vertices: DataFrame, percent:
 def _linked(docs: DataFrame, marked: DataFrame, labels: DataFrame, vertices: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): verified links that connect the components of marked members, a forest in each block."""
     ids = marked.select("id").distinct()
-    rows = _open(marked.join(vertices, "id"), F.ceil(F.col("n") / SHINGLES), labels, scratch, "marked_buckets").join(_full_sets(docs, ids, ids.count(), words), "id")
+    loads = vertices.groupBy("id").agg(F.ceil(F.max("n") / SHINGLES).alias("load"))
+    rows = _open(marked.join(loads, "id"), F.col("load"), labels, scratch, "marked_buckets").join(vertices, "id").join(_full_sets(docs, ids, ids.count(), words), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _Columns()
